@@ -206,7 +206,7 @@ def schedule_feed(spark: SparkSession, sf_dir: str) -> Feed:
         )
 
     def fare_rules() -> DataFrame:
-        base = routes().selectExpr("*", "cast(substr(gtfs_id, 2) as int) as f")
+        base = routes().filter("nation_no % 9 <> 4").selectExpr("*", "cast(substr(gtfs_id, 2) as int) as f")
         return base.selectExpr(
             "gtfs_id", "route_id",
             "explode(filter(array(nation_no + 1, if(nation_no % 3 = 0, nation_no + 30, null)), "
@@ -386,8 +386,8 @@ CTES: dict[str, str] = {
         from part""",
     "fare_rules": """
         select gtfs_id, gtfs_id || (5 * k + cast(substr(gtfs_id, 2) as integer)) as fare_id, route_id
-        from (select gtfs_id, route_id, nation_no + 1 as k from routes
-              union all select gtfs_id, route_id, nation_no + 30 from routes where nation_no % 3 = 0)""",
+        from (select gtfs_id, route_id, nation_no + 1 as k from routes where nation_no % 9 <> 4
+              union all select gtfs_id, route_id, nation_no + 30 from routes where nation_no % 9 <> 4 and nation_no % 3 = 0)""",
     "fare_products": f"""
         select {_PF} as gtfs_id, {_PF} || p_partkey as fare_product_id, p_name as fare_product_name,
           {_PF} || (p_size % 6) as fare_media_id, p_retailprice as amount, 'USD' as currency

@@ -24,16 +24,16 @@ def _(feed):
     group by 1, 2, 3""")
 def _(feed):
     return V.stop_times_norm(feed).groupBy("gtfs_id", "stop_id", "departure_day_offset").agg(
-        F.count(F.lit(1)).alias("events"),
+        F.count("*").alias("events"),
         F.min("arrival_ts").cast("string").alias("first_arrival_ts"),
         F.max("departure_ts").cast("string").alias("last_departure_ts"),
     )
 
 
 @check("c3_departures", "C3", """
-    select s.gtfs_id, cast(service_date as varchar) as service_date, t.route_id, t.direction_id, r.route_type,
+    select s.gtfs_id, cast(service_date as varchar) as service_date, t.direction_id, r.route_type, r.agency_id,
       count(*) as departures, cast(max(service_date + to_seconds(departure_secs)) as varchar) as last_ts,
-      min(r.route_long_name) as route_long_name, min(r.agency_id) as agency_id
+      min(r.route_long_name) as route_long_name, min(s.stop_id) as min_stop, max(t.shape_id) as max_shape
     from stop_times s join trips t on s.gtfs_id = t.gtfs_id and s.trip_id = t.trip_id
       join service_days d on t.gtfs_id = d.gtfs_id and t.service_id = d.service_id
       join routes r on t.gtfs_id = r.gtfs_id and t.route_id = r.route_id
@@ -42,27 +42,33 @@ def _(feed):
     return (
         V.departures(feed)
         .groupBy("gtfs_id", F.col("service_date").cast("string").alias("service_date"),
-                 "route_id", "direction_id", "route_type")
+                 "direction_id", "route_type", "agency_id")
         .agg(
-            F.count(F.lit(1)).alias("departures"),
+            F.count("*").alias("departures"),
             F.max("departure_ts").cast("string").alias("last_ts"),
             F.min("route_long_name").alias("route_long_name"),
-            F.min("agency_id").alias("agency_id"),
+            F.min("stop_id").alias("min_stop"),
+            F.max("shape_id").alias("max_shape"),
         )
     )
 
 
 @check("c4_trip_start_times", "C4 F6", """
-    select s.gtfs_id, s.first_stop as start_stop_id, cast(service_date as varchar) as service_date,
-      count(*) as trips, cast(min(service_date + to_seconds(start_secs)) as varchar) as first_start
+    select s.gtfs_id, cast(service_date as varchar) as service_date, count(*) as trips,
+      count(distinct s.first_stop) as start_stops,
+      cast(min(service_date + to_seconds(start_secs)) as varchar) as first_start
     from trip_spans s join trips t on s.gtfs_id = t.gtfs_id and s.trip_id = t.trip_id
       join service_days d on t.gtfs_id = d.gtfs_id and t.service_id = d.service_id
-    group by 1, 2, 3""")
+    group by 1, 2""")
 def _(feed):
     return (
         V.trip_start_times(feed)
-        .groupBy("gtfs_id", "start_stop_id", F.col("service_date").cast("string").alias("service_date"))
-        .agg(F.count(F.lit(1)).alias("trips"), F.min("start_departure_ts").cast("string").alias("first_start"))
+        .groupBy("gtfs_id", F.col("service_date").cast("string").alias("service_date"))
+        .agg(
+            F.count("*").alias("trips"),
+            F.count_distinct("start_stop_id").alias("start_stops"),
+            F.min("start_departure_ts").cast("string").alias("first_start"),
+        )
     )
 
 
@@ -96,7 +102,7 @@ def _(feed):
     where exists (select 1 from calendar c where c.gtfs_id = t.gtfs_id and c.service_id = t.service_id and c.friday = 1)
     group by 1, 2""")
 def _(feed):
-    return V.typical_trips(feed, "friday").groupBy("gtfs_id", "route_id").agg(F.count(F.lit(1)).alias("trips"))
+    return V.typical_trips(feed, "friday").groupBy("gtfs_id", "route_id").agg(F.count("*").alias("trips"))
 
 
 @check("a9_registered_views", "A9", """

@@ -69,7 +69,7 @@ def positions(
     )
     offsets = (
         sliced.groupBy(*keys, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count("*").alias("_n"))
         .withColumn("_offset", F.sum("_n").over(before))
         .filter("_offset is not null")
         .drop("_n")
@@ -80,18 +80,27 @@ def positions(
     ).drop("_slice", "_rank", "_offset")
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", buckets: int = 4096) -> DataFrame:
+def exact_median(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    name: str = "median",
+    *,
+    weight: str | None = None,
+    buckets: int = 4096,
+) -> DataFrame:
     """Exact median per group without holding a group's values in one place.
 
     Values are counted, the counts are summed into ``buckets`` equal ranges
     between a group's least and greatest value, the ranges that hold the middle
     ranks are found from those sums, and only the values of these ranges are
-    ranked.
+    ranked. ``weight`` names a column of multiplicities.
     """
+    amount = F.count("*") if weight is None else F.sum(weight)
     value_counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(amount.alias("_n"))
     )
     spans = value_counts.groupBy(*keys).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
