@@ -3,5 +3,7 @@
 from dayrunner.catalog import (  # noqa: F401
     entries_joins,
     entries_metrics,
+    entries_sequences,
+    entries_spatial,
     entries_views,
 )

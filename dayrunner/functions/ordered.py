@@ -129,3 +129,25 @@ def exact_median(
             (F.max(F.when(takes("_r1"), F.col("_v"))) + F.max(F.when(takes("_r2"), F.col("_v")))) / 2
         ).alias(name)
     )
+
+
+def running_total(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, width: int = SLICE
+) -> DataFrame:
+    """Inclusive running sum of ``value`` within ``keys`` by a unique numeric ``order``."""
+    within = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sliced = df.withColumn("_slice", F.floor(F.col(order) / width)).withColumn(
+        "_part", F.sum(value).over(within)
+    )
+    offsets = (
+        sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_s"))
+        .withColumn("_offset", F.sum("_s").over(before))
+        .filter("_offset is not null").drop("_s")
+    )
+    joined = sliced.join(offsets, [*keys, "_slice"], "left")
+    return joined.withColumn(
+        name, F.col("_part") + F.coalesce(F.col("_offset"), F.lit(0))
+    ).drop("_slice", "_part", "_offset")
