@@ -5,5 +5,6 @@ from dayrunner.catalog import (  # noqa: F401
     entries_metrics,
     entries_sequences,
     entries_spatial,
+    entries_text,
     entries_views,
 )

@@ -92,7 +92,8 @@ def _(feed):
 
 
 @check("s5_stop_lines_without_shapes", "S5", """
-    with bare as (select * from trips where direction_id = 1),
+    with bare as (select * from trips t where not exists (select 1 from shapes h
+      where h.gtfs_id = t.gtfs_id and h.shape_id = t.shape_id and h.shape_id like '%-0')),
     sample as (select gtfs_id, route_id, direction_id, min(trip_id) as trip_id from bare group by 1, 2, 3)
     select s.gtfs_id, x.route_id || '-' || x.direction_id as shape_id, stop_sequence as shape_pt_sequence,
       stop_lat as shape_pt_lat, stop_lon as shape_pt_lon
@@ -117,7 +118,7 @@ def _(feed):
         lead(shape_pt_lat) over w as y1, lead(shape_pt_lon) over w as x1
       from shapes window w as (partition by gtfs_id, shape_id order by shape_pt_sequence)),
     len as (select gtfs_id, shape_id, coalesce(max(shape_dist_traveled), sum(2 * 6371008.8::double * asin(least(1.0::double, sqrt(
-        pow(sin(radians(y1 - y0) / 2), 2) + cos(radians(y0)) * cos(radians(y1)) * pow(sin(radians(x1 - x0) / 2), 2)))))) as length
+        pow(sin(radians(y1 - y0) / 2), 2) + cos(radians(y0)) * cos(radians(y1)) * pow(sin(radians(x1 - x0) / 2), 2))))) filter (where x1 is not null)) as length
       from seg group by 1, 2)
     select gtfs_id, route_id, shape_id, round(length, 4) as length from (
       select t.gtfs_id, t.route_id, t.shape_id, length,

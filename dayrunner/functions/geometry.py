@@ -16,7 +16,8 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     h = F.pow(F.sin(dlat), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(dlon), F.lit(2)
     )
-    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # Clamped by when(), because least() would turn a NULL distance into a number.
+    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -32,7 +33,8 @@ def angle_at(x0: Column, y0: Column, x1: Column, y1: Column, x2: Column, y2: Col
     ax, ay, bx, by = x0 - x1, y0 - y1, x2 - x1, y2 - y1
     norms = F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by)
     cosine = F.try_divide(ax * bx + ay * by, norms)
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    clamped = F.when(cosine > 1, F.lit(1.0)).when(cosine < -1, F.lit(-1.0)).otherwise(cosine)
+    return F.degrees(F.acos(clamped))
 
 
 def cell(value: Column, size: float) -> Column:
