@@ -4,6 +4,7 @@ from dayrunner.catalog import (  # noqa: F401
     entries_joins,
     entries_metrics,
     entries_sequences,
+    entries_sources,
     entries_spatial,
     entries_text,
     entries_views,

@@ -16,7 +16,7 @@ from dayrunner.schemas import CORE_TABLES
 def norm_sql(c: str) -> str:
     return (
         f"array_to_string(list_sort(list_filter(string_split_regex(regexp_replace(lower({c}), '\\([^)]*\\)', ' ', 'g'), "
-        "'[^\\p{L}\\p{N}]+'), w -> w <> '')), ' ')"
+        "'[^\\p{L}\\p{N}]+'), lambda w: w <> '')), ' ')"
     )
 
 
@@ -104,9 +104,9 @@ def _(feed):
 
 # --- retrieval -------------------------------------------------------------
 
-TOKENS_SQL = """list_transform(regexp_extract_all(lower(text), '[0-9a-z_]+|[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]+'), tok ->
+TOKENS_SQL = """list_transform(regexp_extract_all(lower(text), '[0-9a-z_]+|[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]+'), lambda tok:
       case when regexp_matches(tok, '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]') and length(tok) >= 3
-        then list_concat([tok], list_transform(range(1, least(length(tok) - 1, 20) + 1), i -> substring(tok, i, 2)))
+        then list_concat([tok], list_transform(range(1, least(length(tok) - 1, 20) + 1), lambda i: substring(tok, i, 2)))
         else [tok] end)"""
 INDEX_SQL = f"""doc_terms as (
       select doc_id, term, count(*) as tf from (select doc_id, unnest(flatten({TOKENS_SQL})) as term from documents) group by 1, 2),

@@ -67,7 +67,7 @@ PREFIXED: dict[str, tuple[str, ...]] = {
     "routes": ("route_id", "agency_id", "network_id"),
     "shapes": ("shape_id",),
     "stop_times": ("trip_id", "stop_id"),
-    "stops": ("stop_id", "zone_id", "parent_station"),
+    "stops": ("stop_id", "zone_id", "parent_station", "level_id"),
     "transfers": ("from_stop_id", "to_stop_id"),
     "translations": ("record_id", "record_sub_id"),
     "trips": ("route_id", "service_id", "trip_id", "block_id", "shape_id"),
