@@ -152,7 +152,7 @@ def _(feed):
     with {INDEX_SQL} select doc_id, round(norm, 6) as norm from doc_norm""")
 def _(feed):
     index = R.Index(corpus(feed))
-    return rounded(index.members.join(index.norms, "text_key").select("doc_id", "norm"), "norm")
+    return rounded(index.members.join(index.norms, "text_id").select("doc_id", "norm"), "norm")
 
 
 @check("r4_cosine_top_k", "R4 G4", f"""

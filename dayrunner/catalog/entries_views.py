@@ -33,7 +33,7 @@ def _(feed):
 @check("c3_departures", "C3", """
     select s.gtfs_id, cast(service_date as varchar) as service_date, t.direction_id, r.route_type, r.agency_id,
       count(*) as departures, cast(max(service_date + to_seconds(departure_secs)) as varchar) as last_ts,
-      min(r.route_long_name) as route_long_name, min(s.stop_id) as min_stop, max(t.shape_id) as max_shape
+      count(r.route_long_name) as named, count(t.shape_id) as shaped, count(s.stop_id) as stopped
     from stop_times s join trips t on s.gtfs_id = t.gtfs_id and s.trip_id = t.trip_id
       join service_days d on t.gtfs_id = d.gtfs_id and t.service_id = d.service_id
       join routes r on t.gtfs_id = r.gtfs_id and t.route_id = r.route_id
@@ -46,9 +46,9 @@ def _(feed):
         .agg(
             F.count("*").alias("departures"),
             F.max("departure_ts").cast("string").alias("last_ts"),
-            F.min("route_long_name").alias("route_long_name"),
-            F.min("stop_id").alias("min_stop"),
-            F.max("shape_id").alias("max_shape"),
+            F.count("route_long_name").alias("named"),
+            F.count("shape_id").alias("shaped"),
+            F.count("stop_id").alias("stopped"),
         )
     )
 

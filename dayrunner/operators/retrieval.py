@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayrunner.operators import choose as G
+from dayrunner.session import written
 
 # Token pattern, bigram limit, snippet caps, marker and header.
 CJK = r"[぀-ヿ㐀-鿿]"
@@ -37,15 +38,23 @@ def tokens(text: Column | str) -> Column:
             token.rlike(CJK) & (F.length(token) >= 3), F.concat(F.array(token), bigrams)
         ).otherwise(F.array(token))
 
-    return F.flatten(F.transform(found, expand))
+    # Most texts have no CJK run at all and need no expansion.
+    return F.when(c.rlike(CJK), F.flatten(F.transform(found, expand))).otherwise(found)
 
 
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts (text_key, copies, text) and the documents of each key."""
-    keyed = docs.withColumn("text_key", F.sha2("text", 256))
-    first = keyed.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
-    texts = keyed.select("text_key", "doc_id", "text").join(first, ["text_key", "doc_id"]).drop("doc_id")
-    return texts, keyed.drop("text")
+    """Distinct texts (text_id, copies, text) and the documents of each text.
+
+    A text is named by its first document, so that only numbers travel with
+    the terms.
+    """
+    keyed = docs.withColumn("_digest", F.sha2("text", 256))
+    first = keyed.groupBy("_digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("text_id"))
+    texts = docs.join(first.select(F.col("text_id").alias("doc_id"), "copies"), "doc_id").select(
+        F.col("doc_id").alias("text_id"), "copies", "text"
+    )
+    members = keyed.select("doc_id", "_digest").join(first.select("_digest", "text_id"), "_digest").drop("_digest")
+    return texts, members
 
 
 def term_counts(texts: DataFrame, key: str, *carry: str) -> DataFrame:
@@ -74,40 +83,93 @@ def norms(vectors: DataFrame, key: str) -> DataFrame:
 
 
 class Index:
-    """Weights and norms of a corpus; persist its tables to answer many batches."""
+    """Weights and norms of a corpus.
+
+    With ``keep`` they are written as tables in the shared folder, so that several
+    passes or batches of questions do not tokenize the corpus again.
+    """
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, *, keep: bool = False):
         texts, self.members = distinct_texts(docs)
-        counts = term_counts(texts, "text_key", "copies")
+        counts = term_counts(texts, "text_id", "copies")
+        if keep:
+            counts = written(counts)
         self.idf = smoothed_idf(counts, docs)
-        self.vectors = weights(counts, self.idf, "text_key")
-        self.norms = norms(self.vectors, "text_key")
+        self.vectors = weights(counts, self.idf, "text_id")
+        self.norms = norms(self.vectors, "text_id")
+        if keep:
+            self.norms = written(self.norms)
+
 
+def _cosine(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """Summed products of the given terms for given (query_id, text_id) pairs."""
+    return (
+        pairs.select("query_id", "text_id").join(asked, "query_id").join(postings, ["text_id", "term"])
+        .groupBy("query_id", "text_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("part"))
+    )
 
-def retrieve(docs: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
+
+def retrieve(docs: DataFrame | Index, queries: DataFrame, k: int = 4, seeds: int = 8) -> DataFrame:
     """Top ``k`` documents by cosine for each query; ties by document order.
 
-    ``docs``: (doc_id, text), ``queries``: (query_id, text). Of equal texts only
+    ``docs``: (doc_id, text) or an index, ``queries``: (query_id, text). The
+    result is exact, yet common words do not pair every text with every query:
+
+    1. the texts in which a query's strongest terms weigh most are scored in
+       full; the k-th best of them is a floor for the query's k-th best score;
+    2. terms whose greatest possible products add up to less than the floor
+       cannot lift a text to it alone, so only the other terms find candidates;
+    3. candidates that could still reach the floor are scored in full.
+
+    Scores count as equal when they agree to ten places. Of equal texts only
     the first k documents can rank, so at most k copies are expanded.
     """
-    index = Index(docs)
-    asked = weights(term_counts(queries, "query_id"), index.idf, "query_id")
-    dots = (
-        index.vectors.withColumnRenamed("w", "dw").join(asked.withColumnRenamed("w", "qw"), "term")
-        .groupBy("query_id", "text_key").agg(F.sum(F.col("dw") * F.col("qw")).alias("dot"))
+    index = docs if isinstance(docs, Index) else Index(docs, keep=True)
+    raw = weights(term_counts(queries, "query_id"), index.idf, "query_id")
+    asked = written(raw.join(norms(raw, "query_id"), "query_id").select(
+        "query_id", "term", (F.col("w") / F.col("norm")).alias("qw")
+    ))
+    # Only the questions' own terms are kept of the corpus for the passes below.
+    postings = written(
+        index.vectors.join(asked.select("term"), "term", "left_semi").join(index.norms, "text_id")
+        .select("text_id", "term", (F.col("w") / F.col("norm")).alias("dw"))
+    )
+    tops = G.top_per(postings, ["term"], [F.desc("dw"), "text_id"], max(k, seeds))
+    strongest = G.top_per(
+        asked.join(tops.groupBy("term").agg(F.max("dw").alias("cap")), "term"),
+        ["query_id"], [F.desc(F.col("qw") * F.col("cap")), "term"], seeds,
+    )
+    first = _cosine(tops.join(strongest, "term").select("query_id", "text_id").distinct(), asked, postings)
+    floors = (
+        G.top_per(first, ["query_id"], [F.desc("part"), "text_id"], k)
+        .groupBy("query_id")
+        .agg(F.when(F.count("*") >= k, F.min("part")).otherwise(F.lit(0.0)).alias("floor"))
+    )
+    caps = postings.groupBy("term").agg(F.max("dw").alias("cap"))
+    rising = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    margin = 1e-9
+    bounded = (
+        asked.join(caps, "term").join(floors, "query_id").withColumn("bound", F.col("qw") * F.col("cap"))
+        .withColumn("finds", F.sum("bound").over(rising) >= F.col("floor") - margin)
+    )
+    slack = bounded.groupBy("query_id", "floor").agg(
+        F.sum(F.when(F.col("finds"), F.lit(0.0)).otherwise(F.col("bound"))).alias("slack")
     )
-    scored = (
-        dots.join(index.norms, "text_key")
-        .join(norms(asked, "query_id").withColumnRenamed("norm", "query_norm"), "query_id")
-        .select("query_id", "text_key", (F.col("dot") / (F.col("query_norm") * F.col("norm"))).alias("score"))
-        .filter("score > 0")
+    candidates = (
+        bounded.filter("finds").select("query_id", "term", "qw").join(postings, "term")
+        .groupBy("query_id", "text_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("found"))
+        .join(slack, "query_id").filter(F.col("found") + F.col("slack") >= F.col("floor") - margin)
     )
-    # Any k texts hold at least k documents, so k texts per query are enough;
-    # equal scores at the edge are kept until document order decides.
+    rest = _cosine(candidates, bounded.filter("not finds").select("query_id", "term", "qw"), postings)
+    scored = candidates.join(rest, ["query_id", "text_id"], "left").select(
+        "query_id", "text_id", F.round(F.col("found") + F.coalesce("part", F.lit(0.0)), 10).alias("score")
+    ).filter("score > 0")
+    # Any k texts hold at least k documents, so the texts ranked up to k are
+    # enough; equal scores at the edge are kept until document order decides.
     edge = Window.partitionBy("query_id").orderBy(F.desc("score"))
     best = scored.withColumn("place", F.rank().over(edge)).filter(F.col("place") <= k).drop("place")
-    first = G.top_per(index.members.select("text_key", "doc_id"), ["text_key"], ["doc_id"], k)
-    return G.top_per(best.join(first, "text_key"), ["query_id"], [F.desc("score"), "doc_id"], k, rank="place").select(
+    copies = G.top_per(index.members.select("text_id", "doc_id"), ["text_id"], ["doc_id"], k)
+    return G.top_per(best.join(copies, "text_id"), ["query_id"], [F.desc("score"), "doc_id"], k, rank="place").select(
         "query_id", "doc_id", "score", "place"
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="dayrunner-")
 
 
+def written(df):
+    """The rows as a Parquet table in the shared folder: computed once, and
+    readable by any executor however many are lost later."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def checkpointed(df):
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
