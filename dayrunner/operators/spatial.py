@@ -302,7 +302,10 @@ def project_stops(feed: Feed, samples: DataFrame, reach_degrees: float = 0.01) -
         measured = pairs.withColumn("t", share).withColumn("off", off)
         return measured.groupBy(*key).agg(
             F.min("off").alias("off"),
-            F.min_by(F.col("before") + F.col("t") * F.col("size"), F.struct("off", "shape_pt_sequence")).alias("along"),
+            # Distances equal to twelve places are ties; the earlier segment wins.
+            F.min_by(
+                F.col("before") + F.col("t") * F.col("size"), F.struct(F.round("off", 12), "shape_pt_sequence")
+            ).alias("along"),
         )
 
     cells = events.withColumn("cx", around("px")).withColumn("cy", around("py"))

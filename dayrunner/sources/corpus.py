@@ -13,7 +13,7 @@ ANSWER_FIELD = r"(?ms)^\s*answer:\s*\|\s*?\n(.*)\z"
 
 
 def _whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.option("wholetext", True).text(paths).select(
+    return spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")
     )
 
