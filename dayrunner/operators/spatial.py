@@ -296,22 +296,24 @@ def project_stops(feed: Feed, samples: DataFrame, reach_degrees: float = 0.01) -
         F.pow(F.col("px") - (F.col("x0") + F.col("t") * dx), F.lit(2))
         + F.pow(F.col("py") - (F.col("y0") + F.col("t") * dy), F.lit(2))
     )
-    key = [*TRIP, "route_id", "shape_id", "stop_id", "stop_sequence"]
+    key = [*TRIP, "route_id", "shape_id", "stop_id", "stop_sequence", "px", "py"]
 
     def nearest(pairs: DataFrame) -> DataFrame:
-        measured = pairs.withColumn("t", share).withColumn("off", off)
+        measured = pairs.withColumn("t", share).withColumn("off", F.when(F.col("x0").isNotNull(), off))
         return measured.groupBy(*key).agg(
             F.min("off").alias("off"),
             # Distances equal to twelve places are ties; the earlier segment wins.
             F.min_by(
-                F.col("before") + F.col("t") * F.col("size"), F.struct(F.round("off", 12), "shape_pt_sequence")
+                F.col("before") + F.col("t") * F.col("size"),
+                F.when(F.col("off").isNotNull(), F.struct(F.round("off", 12), "shape_pt_sequence")),
             ).alias("along"),
         )
 
     cells = events.withColumn("cx", around("px")).withColumn("cy", around("py"))
-    close = nearest(cells.join(gridded, [*SHAPE, "cx", "cy"])).filter(F.col("off") <= reach_degrees)
-    far = nearest(events.join(close.select(*key), key, "left_anti").join(lines, SHAPE))
-    return close.unionByName(far)
+    close = nearest(cells.join(gridded, [*SHAPE, "cx", "cy"], "left"))
+    in_reach = F.coalesce(F.col("off") <= reach_degrees, F.lit(False))
+    far = nearest(close.filter(~in_reach).select(*key).join(lines, SHAPE))
+    return close.filter(in_reach).unionByName(far).drop("px", "py")
 
 
 def spacing_along_shapes(feed: Feed, samples: DataFrame | None = None) -> DataFrame:
