@@ -93,15 +93,14 @@ def _(feed):
 
 @check("s5_stop_lines_without_shapes", "S5", """
     with bare as (select * from trips t where not exists (select 1 from shapes h
-      where h.gtfs_id = t.gtfs_id and h.shape_id = t.shape_id and h.shape_id like '%-0')),
+      where h.gtfs_id = t.gtfs_id and h.shape_id = t.shape_id)),
     sample as (select gtfs_id, route_id, direction_id, min(trip_id) as trip_id from bare group by 1, 2, 3)
     select s.gtfs_id, x.route_id || '-' || x.direction_id as shape_id, stop_sequence as shape_pt_sequence,
       stop_lat as shape_pt_lat, stop_lon as shape_pt_lon
     from stop_times s join sample x on x.gtfs_id = s.gtfs_id and x.trip_id = s.trip_id
       join stops p on p.gtfs_id = s.gtfs_id and p.stop_id = s.stop_id""")
 def _(feed):
-    drawn = feed.shapes.filter(F.col("shape_id").endswith("-0"))
-    return P.stop_lines(feed.replace(shapes=drawn))
+    return P.stop_lines(feed)
 
 
 @check("s6_route_shapes", "S6 D3", """

@@ -245,12 +245,12 @@ def _(feed):
 
 @check("v3_duplicates", "V3", """
     with doubled as (select gtfs_id, stop_id, count(*) as n from (
-      select gtfs_id, stop_id from stops union all select gtfs_id, stop_id from stops where location_type = 1) group by 1, 2 having count(*) > 1)
+      select gtfs_id, stop_id from stops union all select gtfs_id, stop_id from stops) group by 1, 2 having count(*) > 1)
     select 'stops' as "table", gtfs_id, count(*) as keys, cast(sum(n) as bigint) as rows from doubled group by 2
     union all select 'trips', gtfs_id, count(*), cast(sum(n) as bigint) from (
       select gtfs_id, trip_id, count(*) as n from trips group by 1, 2 having count(*) > 1) group by 2""")
 def _(feed):
-    doubled = feed.stops.unionByName(feed.stops.filter("location_type = 1"))
+    doubled = feed.stops.unionByName(feed.stops)
     return V.duplicates(feed.replace(stops=doubled), ["stops", "trips"])
 
 
@@ -262,16 +262,15 @@ def _(feed):
 
 
 @check("v4_availability", "V4", """
-    select gtfs_id, bool_or(t = 'trips') as trips, bool_or(t = 'shapes') as shapes, bool_or(t = 'frequencies') as frequencies
-    from (select gtfs_id, 'trips' as t from trips union all select gtfs_id, 'shapes' from shapes where gtfs_id <> 'r2'
-      union all select gtfs_id, 'frequencies' from frequencies where exact_times = 1 and gtfs_id < 'r4') group by 1""")
+    select gtfs_id, bool_or(t = 'trips') as trips, bool_or(t = 'shapes') as shapes, bool_or(t = 'frequencies') as frequencies, false as pathways
+    from (select gtfs_id, 'trips' as t from trips union all select gtfs_id, 'shapes' from shapes
+      union all select gtfs_id, 'frequencies' from frequencies) group by 1""")
 def _(feed):
     tag = lambda df, t: df.select("gtfs_id", F.lit(t).alias("table"), F.lit(True).alias("found")).distinct()
     files = (
-        tag(feed.trips, "trips").unionByName(tag(feed.shapes.filter("gtfs_id <> 'r2'"), "shapes"))
-        .unionByName(tag(feed.frequencies.filter("exact_times = 1 and gtfs_id < 'r4'"), "frequencies"))
+        tag(feed.trips, "trips").unionByName(tag(feed.shapes, "shapes")).unionByName(tag(feed.frequencies, "frequencies"))
     )
-    return V.availability(files, ["trips", "shapes", "frequencies"])
+    return V.availability(files, ["trips", "shapes", "frequencies", "pathways"])
 
 
 @check("v5_agency_lookup", "V5", """

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = 4096
@@ -81,53 +81,34 @@ def positions(
 
 
 def exact_median(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    name: str = "median",
-    *,
-    weight: str | None = None,
-    buckets: int = 4096,
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", margin: float = 0.01
 ) -> DataFrame:
     """Exact median per group without holding a group's values in one place.
 
-    Values are counted, the counts are summed into ``buckets`` equal ranges
-    between a group's least and greatest value, the ranges that hold the middle
-    ranks are found from those sums, and only the values of these ranges are
-    ranked. ``weight`` names a column of multiplicities.
+    A mergeable sketch brackets the middle ranks with room to spare; values
+    below the bracket are only counted and those inside are ranked.
     """
-    amount = F.count("*") if weight is None else F.sum(weight)
-    value_counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(amount.alias("_n"))
-    )
-    spans = value_counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
-    )
-    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    bucketed = value_counts.join(spans, list(keys)).withColumn(
-        "_b", F.floor(F.coalesce(share, F.lit(0.0)) * (buckets - 1))
+    keys = list(keys)
+    values = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    sketch = F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], 10_000)
+    bounds = values.groupBy(*keys).agg(sketch.alias("_q"), F.count("*").alias("_total"))
+    inside = (
+        values.join(bounds, keys).filter(F.col("_v") <= F.col("_q")[1])
+        .groupBy(*keys, F.when(F.col("_v") >= F.col("_q")[0], F.col("_v")).alias("_v"))
+        .agg(F.count("*").alias("_n"), F.max("_total").alias("_total"))
     )
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = (
-        bucketed.groupBy(*keys, "_b")
-        .agg(F.sum("_n").alias("_bn"), F.first("_total").alias("_total"))
-        .withColumn("_below", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
-        .withColumn("_r1", F.floor((F.col("_total") + 1) / 2))
-        .withColumn("_r2", F.floor((F.col("_total") + 2) / 2))
-    )
-    holds = lambda r: (F.col(r) > F.col("_below")) & (F.col(r) <= F.col("_below") + F.col("_bn"))
-    middle = sums.filter(holds("_r1") | holds("_r2")).select(*keys, "_b", "_below", "_r1", "_r2")
-    upto = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = bucketed.join(middle, [*keys, "_b"]).withColumn(
-        "_start", F.col("_below") + F.coalesce(F.sum("_n").over(upto), F.lit(0))
+    upto = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    takes = lambda r: (F.col(r) > F.col("_start")) & (F.col(r) <= F.col("_start") + F.col("_n"))
+    ranked = inside.withColumn("_upto", F.sum("_n").over(upto))
+
+    def at(rank: Column) -> Column:
+        here = (rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_n"))
+        return F.max(F.when(here, F.col("_v")))
+
+    total = F.col("_total")
     return ranked.groupBy(*keys).agg(
-        (
-            (F.max(F.when(takes("_r1"), F.col("_v"))) + F.max(F.when(takes("_r2"), F.col("_v")))) / 2
-        ).alias(name)
+        ((at(F.floor((total + 1) / 2)) + at(F.floor((total + 2) / 2))) / 2).alias(name)
     )
 
 

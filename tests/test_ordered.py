@@ -45,14 +45,10 @@ def test_positions_and_totals(spark, data, width):
             assert sums[key, r[1]] == total
 
 
-@pytest.mark.parametrize("buckets", [2, 3, 4096])
-def test_exact_median(spark, data, buckets):
-    df = spark.createDataFrame(data, "k string, seq int, v int")
-    got = {r.k: r.median for r in exact_median(df, ["k"], "v", buckets=buckets).collect()}
-    assert got == {k: statistics.median([r[2] for r in data if r[0] == k]) for k in {r[0] for r in data}}
-
-
-def test_weighted_median(spark):
-    df = spark.createDataFrame([("a", 1, 5), ("a", 10, 4), ("b", 2, 1), ("b", 4, 1)], "k string, v int, n int")
-    got = {r.k: r.median for r in exact_median(df, ["k"], "v", weight="n").collect()}
-    assert got == {"a": 1.0, "b": 3.0}
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 50, 51, 1000, 3001])
+def test_exact_median(spark, n):
+    rng = random.Random(n)
+    values = {"even": [rng.randint(0, 9) for _ in range(n)], "wide": [rng.random() ** 9 * 1e6 for _ in range(n)]}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, v double")
+    got = {r.k: r.median for r in exact_median(df, ["k"], "v").collect()}
+    assert got == {k: statistics.median(vs) for k, vs in values.items()}
