@@ -19,6 +19,7 @@ from dayrunner.operators import joins as J
 from dayrunner.operators import sequences as Q
 from dayrunner.operators import trips as T
 from dayrunner.plans.views import FEED, ROUTE, STOP, TRIP
+from dayrunner.session import written
 
 SHAPE = [FEED, "shape_id"]
 
@@ -281,7 +282,8 @@ def project_stops(feed: Feed, samples: DataFrame, reach_degrees: float = 0.01) -
         feed.stop_times.select(*TRIP, "stop_id", "stop_sequence").join(samples, TRIP)
         .join(feed.stops.select(*STOP, F.col("stop_lon").alias("px"), F.col("stop_lat").alias("py")), STOP)
     )
-    lines = _measured_segments(feed.shapes.join(samples.select(*SHAPE), SHAPE, "left_semi"))
+    # Read by both searches below, so computed once.
+    lines = written(_measured_segments(feed.shapes.join(samples.select(*SHAPE), SHAPE, "left_semi")))
     gridded = (
         lines.withColumn("cx", F.explode(M.cell_range(F.col("x0"), F.col("x1"), reach_degrees)))
         .withColumn("cy", F.explode(M.cell_range(F.col("y0"), F.col("y1"), reach_degrees)))
@@ -320,7 +322,7 @@ def spacing_along_shapes(feed: Feed, samples: DataFrame | None = None) -> DataFr
     """Consecutive stops of a sample trip per route: where both lie on the shape,
     their straight distance and its class."""
     samples = sample_trips(feed) if samples is None else samples
-    placed = project_stops(feed, samples)
+    placed = written(project_stops(feed, samples))
     legs = neighbours(
         placed, TRIP, "stop_sequence", next={"to_stop": "stop_id", "to_along": "along"}
     ).filter("to_stop is not null").withColumnRenamed("stop_id", "from_stop")
