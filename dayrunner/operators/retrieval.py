@@ -118,7 +118,8 @@ def retrieve(docs: DataFrame | Index, queries: DataFrame, k: int = 4, seeds: int
     1. the texts in which a query's strongest terms weigh most are scored in
        full; the k-th best of them is a floor for the query's k-th best score;
     2. terms whose greatest possible products add up to less than the floor
-       cannot lift a text to it alone, so only the other terms find candidates;
+       cannot lift a text to it alone, so only the other terms find candidates
+       (where that spares most of a question's postings);
     3. candidates that could still reach the floor are scored in full.
 
     Scores count as equal when they agree to ten places. Of equal texts only
@@ -145,16 +146,24 @@ def retrieve(docs: DataFrame | Index, queries: DataFrame, k: int = 4, seeds: int
         .groupBy("query_id")
         .agg(F.when(F.count("*") >= k, F.min("part")).otherwise(F.lit(0.0)).alias("floor"))
     )
-    caps = postings.groupBy("term").agg(F.max("dw").alias("cap"))
+    caps = postings.groupBy("term").agg(F.max("dw").alias("cap"), F.count("*").alias("df"))
     rising = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     margin = 1e-9
-    bounded = (
+    # One row per term of a question; written, as the steps below all read it.
+    bounded = written(
         asked.join(caps, "term").join(floors, "query_id").withColumn("bound", F.col("qw") * F.col("cap"))
-        .withColumn("finds", F.sum("bound").over(rising) >= F.col("floor") - margin)
+        .withColumn("strong", F.sum("bound").over(rising) >= F.col("floor") - margin)
     )
-    slack = bounded.groupBy("query_id", "floor").agg(
-        F.sum(F.when(F.col("finds"), F.lit(0.0)).otherwise(F.col("bound"))).alias("slack")
+    # Leaving terms out pays only where it spares most of a question's postings;
+    # elsewhere all terms find, and what is found is the full score.
+    plans = bounded.groupBy("query_id", "floor").agg(
+        F.sum(F.when(F.col("strong"), F.lit(0.0)).otherwise(F.col("bound"))).alias("slack"),
+        (F.sum(F.when(F.col("strong"), F.col("df")).otherwise(0)) * 4 <= F.sum("df")).alias("prunes"),
     )
+    bounded = bounded.join(plans.select("query_id", "prunes"), "query_id").withColumn(
+        "finds", F.col("strong") | ~F.col("prunes")
+    )
+    slack = plans.select("query_id", "floor", F.when(F.col("prunes"), F.col("slack")).otherwise(F.lit(0.0)).alias("slack"))
     candidates = (
         bounded.filter("finds").select("query_id", "term", "qw").join(postings, "term")
         .groupBy("query_id", "text_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("found"))
