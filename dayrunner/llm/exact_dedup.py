@@ -92,7 +92,8 @@ def _same_bytes(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -
     sides = pairs.select("digest", F.explode(F.array("old_id", "new_id")).alias("wanted"))
     texts = id_and_text(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("norm"))
     compared = (
-        texts.join(sides, texts.doc_id.eqNullSafe(sides.wanted))
+        # The groups to compare grow with the corpus, so neither side is broadcast.
+        texts.join(sides.hint("merge"), texts.doc_id.eqNullSafe(sides.wanted))
         .filter(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)) == F.col("digest"))
         .groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same"))
     )
@@ -142,7 +143,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_digest"))
     digest = F.unhex(F.sha2(normalised(F.coalesce(docs[text_col], F.lit(""))).cast("binary"), 256))
     marked = docs.withColumn("_digest", digest)
-    joined = marked.join(chosen, marked[id_col].eqNullSafe(chosen["_kept_id"]) & (marked["_digest"] == chosen["_kept_digest"]))
+    joined = marked.join(chosen.hint("merge"), marked[id_col].eqNullSafe(chosen["_kept_id"]) & (marked["_digest"] == chosen["_kept_digest"]))
     # Copies that repeat id and text lie side by side after the join already.
     order = Window.partitionBy(F.col("_kept_digest"), F.col("_kept_id")).orderBy(F.lit(1))
     return joined.withColumn("_copy", F.row_number().over(order)).filter("_copy = 1").select(*[docs[c] for c in docs.columns])
