@@ -5,26 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dayrunner.llm import exact_dedup, minhash
+from dayrunner.llm import bpe, exact_dedup, langid, minhash, mixing
 from dayrunner.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op6_minhash, op9_exact_dedup)
+    f.__name__: f for f in (op2_mixing, op5_byte_bpe, op6_minhash, op7_language_id, op9_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.oracle(),
     "op9_exact_dedup": """
         with d as (
             select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm from documents
