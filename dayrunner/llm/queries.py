@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayrunner.llm import bpe, exact_dedup, langid, minhash, mixing
+from dayrunner.llm import bpe, exact_dedup, langid, minhash, mixing, partitions, pii, quality
 from dayrunner.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
 
 
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitions.search(table(spark, sf_dir, "embeddings"))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -34,8 +42,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.learn(docs, labels))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_mixing, op5_byte_bpe, op6_minhash, op7_language_id, op9_exact_dedup)
+    f.__name__: f for f in (
+        op2_mixing, op3_learned_partitions, op4_personal_data, op5_byte_bpe, op6_minhash, op7_language_id, op9_exact_dedup,
+        op10_quality,
+    )
 }
 
 ORACLES: dict[str, str] = {
