@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayrunner.llm import bpe, exact_dedup, langid, minhash, mixing, partitions, pii, quality
+from dayrunner.llm import bpe, exact_dedup, langid, licenses, minhash, mixing, partitions, pii, quality, spans
 from dayrunner.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    families = F.array_sort(F.array_distinct(F.transform("licences", lambda s: s["family"])))
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licences"), F.array_join(families, ",").alias("families"),
+        F.round(F.array_min(F.transform("licences", lambda s: s["probability"])), 6).alias("least_probability"), "n_unknown")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
 
@@ -38,6 +46,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.learn(docs))
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,8 +61,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op2_mixing, op3_learned_partitions, op4_personal_data, op5_byte_bpe, op6_minhash, op7_language_id, op9_exact_dedup,
-        op10_quality,
+        op1_licences, op2_mixing, op3_learned_partitions, op4_personal_data, op5_byte_bpe, op6_minhash, op7_language_id,
+        op8_sentence_spans, op9_exact_dedup, op10_quality,
     )
 }
 
