@@ -8,41 +8,39 @@ from pyspark.sql import functions as F
 from dayrunner.session import written
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """One step over edges (u, v): hang neighbours on the least node around u.
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Hang the neighbours above each node on the least node around it.
 
-    The large star moves the neighbours above u, the small star those below it
-    and u itself. The least node is an aggregate that combines before the
-    shuffle; joining it back leaves a hot node to skew splitting.
+    The least node is an aggregate that combines before the shuffle; joining it
+    back leaves a hot node to skew splitting.
     """
-    if larger:
-        around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        moved = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        below = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = below.groupBy("u").agg(F.min("v").alias("m"))
-        moved = (
-            below.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-        )
-    return moved.filter("u <> v").distinct()
+    around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Hang the neighbours below each node, and the node itself, on the least of them."""
+    below = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = below.groupBy("u").agg(F.min("v").alias("m"))
+    moved = below.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """One row per node of an edge: node, component (its least reachable node).
 
-    Ends when every edge hangs on a node that hangs on nothing itself, so that
+    Ends when every node hangs on one other that hangs on nothing itself, so that
     the edges are stars around the least nodes. Self-links and repeated links
     change nothing; without links there are no rows.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     while True:
-        now = written(_star(_star(now, larger=True), larger=False))
-        roots = now.select(F.col("v").alias("root")).distinct()
-        hung = now.join(roots, now.u == roots.root, "left_semi").limit(1).count()
-        twice = now.groupBy("u").count().filter("count > 1").limit(1).count()
-        if not hung and not twice:
+        now = written(_small_star(_large_star(now)).filter("u <> v").distinct())
+        ends = now.select(F.col("u").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")) \
+            .unionByName(now.select(F.col("v").alias("n"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        loose = ends.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        if not loose.filter("hangs > 1 or (hangs = 1 and holds = 1)").limit(1).count():
             break
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")) \
+        .unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

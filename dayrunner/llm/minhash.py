@@ -6,8 +6,10 @@ probability of 3 in a million, more similar ones far less often. Equal sets are
 one class from the start. Classes that share a band are a bucket:
 
 1. each member is linked to the least member of its bucket;
-2. components of the confirmed links are formed;
-3. in buckets that still hold several components, members outside the least
+2. components of the confirmed links are formed; in buckets that hold several,
+   each member is linked to a member picked for that bucket at random, so that a
+   text far from one member of its group still meets many others;
+3. in buckets that hold several components after that, members outside the least
    member's component are held against all members of other components. So no
    candidate pair is left out, and pairs inside a component are never listed.
 
@@ -130,7 +132,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
 
     return (
-        id_and_text(docs, id_col, text_col).join(nodes, "doc_id", "left_semi")
+        # The nodes grow with the corpus, so they are never broadcast.
+        id_and_text(docs, id_col, text_col).join(nodes.hint("merge"), "doc_id", "left_semi")
         .mapInArrow(hashed, "doc_id long, hashes array<long>")
     )
 
@@ -142,7 +145,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shared = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - F.col("shared")
     return (
-        pairs.join(right, "b").join(left, "a").withColumn("shared", shared)
+        pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").withColumn("shared", shared)
         .filter(100 * F.col("shared") >= percent * union).select("a", "b")
     )
 
@@ -170,54 +173,59 @@ def near_dedup(
     classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
     member = full.select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "node").distinct()
     # Ids that stand for a class; the signature comes with the class's own row.
-    heads = (
-        full.join(classes, "set_hash").filter("doc_id = node")
-        .dropDuplicates(["doc_id", "set_hash"])
+    heads = written(
+        full.join(classes.hint("merge"), "set_hash").filter("doc_id = node").dropDuplicates(["doc_id", "set_hash"])
         .select("node", F.col("n_shingles").alias("n"), "bands", *[F.col("bits")[k].alias(f"s{k}") for k in range(5)])
     )
-    heads = written(heads)
     banded = heads.select("node", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lead")).filter("size > 1")
-    members = written(banded.join(buckets, "key"))
+    members = written(banded.join(buckets.hint("merge"), "key"))
     brief = heads.drop("bands")
+    sets = written(_sets(docs, members.select(F.col("node").alias("doc_id")).distinct(), words, id_col, text_col))
 
-    def with_signature(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b) that agree in signature and size, held against their full sets."""
         x, y = brief.alias("x"), brief.alias("y")
-        return (
-            pairs.join(y, F.col("b") == F.col("y.node")).join(x, F.col("a") == F.col("x.node"))
-            .filter(_alike(percent)).select("a", "b")
+        alike = (
+            pairs.distinct().join(y.hint("merge"), F.col("b") == F.col("y.node"))
+            .join(x.hint("merge"), F.col("a") == F.col("x.node")).filter(_alike(percent)).select("a", "b")
         )
-
-    first = written(with_signature(
-        members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()))
-    sets = _sets(docs, first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words, id_col, text_col)
-    linked = written(_confirmed(first, written(sets), percent))
-    label = written(components(linked))
-
-    wide = (
-        members.filter("size > 2").join(label.withColumnRenamed("component", "c"), "node", "left")
-        .withColumn("c", F.coalesce("c", "node"))
-    )
+        return written(_confirmed(alike, sets, percent))
+
+    def labelled(names: DataFrame) -> DataFrame:
+        """Members of the larger buckets with their component ``c``."""
+        found = members.filter("size > 2").join(names.select("node", F.col("component").alias("c")).hint("merge"), "node", "left")
+        return found.withColumn("c", F.coalesce("c", "node"))
+
+    linked = confirmed(members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    wide = written(labelled(written(components(linked))))
+    chance = F.struct(F.xxhash64("node", "key").alias("draw"), "node", "c")
+    picked = wide.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min(chance).alias("pick")).filter("c1 <> c2")
+    again = wide.join(picked, "key").filter(F.col("c") != F.col("pick.c")) \
+        .select(F.least("node", "pick.node").alias("a"), F.greatest("node", "pick.node").alias("b"))
+    linked = linked.unionByName(confirmed(again))
+
+    wide = written(labelled(written(components(linked))))
     mixed = (
         wide.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min(F.struct("node", "c"))["c"].alias("lead_c"))
-        .filter("c1 <> c2")
+        .filter("c1 <> c2").select("key", "lead_c")
     )
-    open_members = written(wide.join(mixed.select("key", "lead_c"), "key").join(brief, "node"))
+    open_members = written(wide.join(mixed, "key").join(heads, "node"))
     x, y = open_members.filter("c <> lead_c").alias("x"), open_members.alias("y")
     apart = (F.col("x.c") != F.col("y.c")) & (F.col("y.node") != F.col("y.lead")) \
         & ((F.col("y.c") == F.col("y.lead_c")) | (F.col("x.node") < F.col("y.node")))
-    second = written(
-        x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _alike(percent))
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    )
-    sets = _sets(docs, second.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words, id_col, text_col)
-    linked = linked.unionByName(_confirmed(second, written(sets), percent))
+    # A pair that shares several buckets is listed in one of them.
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _alike(percent) & once) \
+        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    linked = linked.unionByName(confirmed(rest))
+
     # An id that repeats with different texts belongs to several classes.
     linked = written(linked.unionByName(member.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")))
     ends = written(components(linked))
     degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     found = ends.join(degree, "node").select(F.col("node").alias("doc_id"), "component", "n_links")
-    return signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
+    return signed.select("doc_id", "n_shingles").join(found.hint("merge"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
@@ -227,4 +235,4 @@ def near_dedup(
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept documents with all their columns."""
     dropped = near_dedup(docs, words, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+    return docs.join(dropped.hint("merge"), docs[id_col] == dropped["_dropped"], "left_anti")
