@@ -44,3 +44,10 @@ def share(id_col: Column, salt: str) -> Column:
     """A number in [0, 1) that depends on the id and the salt alone."""
     digest = F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(f"/{salt}")).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
+
+
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name

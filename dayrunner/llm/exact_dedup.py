@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayrunner.llm import fuse
-from dayrunner.llm.common import id_and_text, prepared
+from dayrunner.llm.common import id_and_text, prepared, spare
 from dayrunner.session import written
 
 BUCKET_KEYS = 32_768
@@ -139,11 +139,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept documents with all their columns, one row each."""
+    names = [spare(docs, n) for n in ("_kept_id", "_kept_digest", "_digest", "_copy")]
+    kept_id, kept_digest, own_digest, copy = names
     chosen = exact_dedup(docs, id_col, text_col).filter("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_digest"))
+        F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(kept_digest))
     digest = F.unhex(F.sha2(normalised(F.coalesce(docs[text_col], F.lit(""))).cast("binary"), 256))
-    marked = docs.withColumn("_digest", digest)
-    joined = marked.join(chosen.hint("merge"), marked[id_col].eqNullSafe(chosen["_kept_id"]) & (marked["_digest"] == chosen["_kept_digest"]))
+    marked = docs.withColumn(own_digest, digest)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own_digest) == F.col(kept_digest))
     # Copies that repeat id and text lie side by side after the join already.
-    order = Window.partitionBy(F.col("_kept_digest"), F.col("_kept_id")).orderBy(F.lit(1))
-    return joined.withColumn("_copy", F.row_number().over(order)).filter("_copy = 1").select(*[docs[c] for c in docs.columns])
+    order = Window.partitionBy(kept_digest, kept_id).orderBy(F.lit(1))
+    return marked.join(chosen.hint("merge"), same).withColumn(copy, F.row_number().over(order)) \
+        .filter(F.col(copy) == 1).select(*docs.columns)

@@ -170,42 +170,44 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return train(windows, labels, languages) if len(windows) else None
 
 
+def told(texts: list[str], network: Network | None) -> list[tuple[str, float]]:
+    """Language and score of each text, windows of several texts in a batch."""
+    out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+    lettered = [k for k, t in enumerate(texts) if network is not None and any(map(str.isalpha, t))]
+    group: list[tuple[int, int, np.ndarray]] = []
+
+    def settle() -> None:
+        p = network.probabilities(np.concatenate([w for *_, w in group]))
+        at = 0
+        for k, size, w in group:
+            covered = np.full(len(w), WINDOW, dtype=np.float64)
+            covered[-1] = size - WINDOW * (len(w) - 1)
+            mean = covered @ p[at:at + len(w)] / size
+            at += len(w)
+            best = int(mean.argmax())
+            out[k] = network.languages[best], float(min(1.0, max(0.0, mean[best])))
+        group.clear()
+
+    held = 0
+    for k in lettered:
+        raw = texts[k].encode()
+        group.append((k, len(raw), windows_of(raw)))
+        held += len(group[-1][2])
+        if held >= 4 * BLOCK:
+            settle()
+            held = 0
+    if group:
+        settle()
+    return out
+
+
 def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     prepared(docs.sparkSession)
 
-    def scored(texts: list[str]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-        lettered = [k for k, t in enumerate(texts) if network is not None and any(map(str.isalpha, t))]
-        group: list[tuple[int, int, np.ndarray]] = []
-
-        def settle() -> None:
-            p = network.probabilities(np.concatenate([w for *_, w in group]))
-            at = 0
-            for k, size, w in group:
-                covered = np.full(len(w), WINDOW, dtype=np.float64)
-                covered[-1] = size - WINDOW * (len(w) - 1)
-                mean = covered @ p[at:at + len(w)] / size
-                at += len(w)
-                best = int(mean.argmax())
-                out[k] = network.languages[best], float(min(1.0, max(0.0, mean[best])))
-            group.clear()
-
-        held = 0
-        for k in lettered:
-            raw = texts[k].encode()
-            group.append((k, len(raw), windows_of(raw)))
-            held += len(group[-1][2])
-            if held >= 4 * BLOCK:
-                settle()
-                held = 0
-        if group:
-            settle()
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = scored(batch.column(2).to_pylist())
+            rows = told(batch.column(2).to_pylist(), network)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.string()),
                  pa.array([r[1] for r in rows], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -220,7 +222,12 @@ def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", te
 def keep_identified(docs: DataFrame, least_score: float = 0.3, id_col: str = "doc_id",
                     text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents whose language is told with at least ``least_score``, with all their columns."""
-    known = predict(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col)
-    rejected = known.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score))
-    rejected = rejected.select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, docs[id_col].eqNullSafe(rejected["_rejected"]), "left_anti")
+    network = learn(docs, id_col, text_col, lang_col)
+    place = docs.columns.index(text_col)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = told([t or "" for t in batch.column(place).to_pylist()], network)
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in rows], pa.bool_()))
+
+    return docs.mapInArrow(sift, docs.schema)

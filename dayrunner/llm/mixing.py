@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayrunner.llm.common import prepared, share
+from dayrunner.llm.common import prepared, share, spare
 from dayrunner.session import checkpointed, written
 
 ROUNDS = 12
@@ -116,23 +116,39 @@ def probabilities(cells: DataFrame, portion: float = PORTION) -> DataFrame:
         "probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), rate * F.lit(scale))).otherwise(1.0))
 
 
+def fitted(rows: DataFrame, targets: dict[str, DataFrame] | None, rounds: int, portion: float) -> DataFrame:
+    """source, lang, topic and probability of every cell of the described rows."""
+    cells = written(cells_of(rows))
+    return probabilities(raked(cells, targets or flattened(cells), rounds), portion).select(*MARGINS, "probability")
+
+
 def mix(
     docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, rounds: int = ROUNDS,
-    portion: float = PORTION, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+    portion: float = PORTION, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    lang_col: str = "lang",
 ) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, probability, kept."""
     prepared(docs.sparkSession)
     rows = written(described(docs, id_col, text_col, source_col, lang_col, topic))
-    cells = written(cells_of(rows))
-    fitted = probabilities(raked(cells, targets or flattened(cells), rounds), portion).select(*MARGINS, "probability")
-    return rows.join(fitted, list(MARGINS)).select(
+    return rows.join(fitted(rows, targets, rounds, portion), list(MARGINS)).select(
         "doc_id", *MARGINS, "n_tokens", "probability", (share(F.col("doc_id"), seed) < F.col("probability")).alias("kept"))
 
 
-def keep_sampled(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The sampled documents with all their columns."""
-    left = mix(docs, id_col=id_col, **options).filter("not kept").select(F.col("doc_id").alias("_left")).distinct()
-    return docs.join(left, docs[id_col].eqNullSafe(left["_left"]), "left_anti")
+def keep_sampled(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, rounds: int = ROUNDS,
+    portion: float = PORTION, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    lang_col: str = "lang",
+) -> DataFrame:
+    """The sampled documents with all their columns; their texts meet the cells where they are read."""
+    prepared(docs.sparkSession)
+    rows = described(docs, id_col, text_col, source_col, lang_col, topic)
+    names = {m: spare(docs, f"_{m}") for m in (*MARGINS, "probability")}
+    cells = fitted(rows, targets, rounds, portion).withColumnsRenamed(names)
+    text = F.coalesce(docs[text_col], F.lit(""))
+    values = {"source": docs[source_col], "lang": docs[lang_col], "topic": style(text) if topic is None else topic}
+    marked = docs.withColumns({names[m]: F.coalesce(v.cast("string"), F.lit("")) for m, v in values.items()})
+    chosen = marked.join(cells, [names[m] for m in MARGINS])
+    return chosen.filter(share(F.col(id_col).cast("long"), seed) < F.col(names["probability"])).select(*docs.columns)
 
 
 def oracle(rounds: int = ROUNDS, power: float = FLATTEN, portion: float = PORTION, seed: str = SEED) -> str:
