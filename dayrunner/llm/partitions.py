@@ -241,9 +241,9 @@ def search(
     base_blocks, query_blocks = blocks(held, BASE_BLOCK), blocks(waiting, QUERY_BLOCK)
     dealt = ["part", "base_block", "query_block"]
     held_rows = placed.withColumn("base_block", F.pmod(F.xxhash64("vec_id"), base_blocks).cast("int")) \
-        .withColumn("query_block", F.explode(F.sequence(F.lit(0), query_blocks - 1)).cast("int"))
+        .withColumn("query_block", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
     sent_rows = routed.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), query_blocks).cast("int")) \
-        .withColumn("base_block", F.explode(F.sequence(F.lit(0), base_blocks - 1)).cast("int"))
+        .withColumn("base_block", F.explode(F.sequence(F.lit(0), base_blocks - 1)))
 
     def compare(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
