@@ -21,9 +21,9 @@ def _new_folder(spark) -> str:
 
 def _write_csv(df, table: str, root: str, columns: list[str]) -> None:
     """One feed's rows as CSV below its folder, the id prefix taken off again."""
-    for feed_id in ("r0", "r1", "r2", "r3", "r4"):
+    for feed_id in sorted(r.gtfs_id for r in df.select("gtfs_id").distinct().collect()):
         mine = df.filter(F.col("gtfs_id") == feed_id)
-        bare = {c: F.substring(c, len(feed_id) + 1, 64) for c in schemas.PREFIXED[table] if c in columns}
+        bare = {c: F.substring(c, F.lit(len(feed_id) + 1), F.length(c)) for c in schemas.PREFIXED[table] if c in columns}
         order = columns if feed_id != "r3" else list(reversed(columns))
         (
             mine.withColumns(bare).select(*order).write.mode("overwrite")

@@ -12,12 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Feed(Mapping[str, DataFrame]):
-    """Lazy, read-only mapping of table name to DataFrame."""
+    """Lazy, read-only mapping of table name to DataFrame.
 
-    def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
-        self._sources = dict(tables)
+    Tables given as ``complete`` hold placeholder rows (``_missing``) of feeds
+    without the table. Those are left out of the tables that analyses see;
+    ``complete()`` returns them with the rest.
+    """
+
+    def __init__(
+        self,
+        tables: Mapping[str, DataFrame | Callable[[], DataFrame]],
+        complete: Mapping[str, DataFrame | Callable[[], DataFrame]] | None = None,
+    ):
+        self._complete = Feed(complete) if complete else {}
+        real = {t: (lambda t=t: self._complete[t].filter("not _missing")) for t in self._complete}
+        self._sources = {**real, **tables}
         self._frames: dict[str, DataFrame] = {}
 
+    def complete(self, name: str) -> DataFrame:
+        """The table with its placeholder rows, where it has any."""
+        return self._complete[name] if name in self._complete else self[name]
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
             source = self._sources[name]
@@ -43,7 +58,9 @@ class Feed(Mapping[str, DataFrame]):
 
     def replace(self, **tables: DataFrame) -> Feed:
         """A new feed with some tables swapped, e.g. pre-filtered trips."""
-        return Feed({**self._sources, **self._frames, **tables})
+        out = Feed({**self._sources, **self._frames, **tables})
+        out._complete = {t: self._complete[t] for t in self._complete if t not in tables} if self._complete else {}
+        return out
 
     def register(self, spark: SparkSession, prefix: str = "gtfs_") -> list[str]:
         """Expose every table as a temp view ``<prefix><table>``."""

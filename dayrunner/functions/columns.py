@@ -67,11 +67,11 @@ def _col(c: Column | str) -> Column:
 # --- casts -----------------------------------------------------------------
 
 
-def try_int(c: Column | str, *, round_fractions: bool = False) -> Column:
-    """Tolerant integer; ``round_fractions`` turns '1.5' into 2 instead of NULL."""
+def try_int(c: Column | str, *, round_fractions: bool = True) -> Column:
+    """Tolerant integer; '1.5' becomes 2, halves going away from zero, or NULL without ``round_fractions``."""
     c = _col(c)
     if round_fractions:
-        return F.rint(c.try_cast("double")).try_cast("int")
+        return F.round(c.try_cast("double")).try_cast("int")
     return c.try_cast("int")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayrunner.feed import Feed
@@ -38,7 +38,7 @@ def not_null_report(feed: Feed, columns: Sequence[str] = (FEED, "_missing"), tab
     for table in tables:
         if table not in feed:
             continue
-        sums = feed[table].agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+        sums = feed.complete(table).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
         reports.append(
             sums.unpivot([], list(columns), "column", "failures").withColumn("table", F.lit(table))
         )
@@ -95,7 +95,7 @@ def orphans(feed: Feed, references=REFERENCES) -> DataFrame:
         used = feed[table].filter(F.col(column).isNotNull()).groupBy(FEED, F.col(column).alias("_id")).agg(
             F.count("*").alias("n")
         )
-        known = feed[target].select(FEED, F.col(target_column).alias("_id"))
+        known = feed[target].select(FEED, F.col(target_column).alias("_id")).distinct()
         lost = used.join(known, [FEED, "_id"], "left_anti")
         reports.append(
             lost.groupBy(FEED).agg(F.count("*").alias("ids"), F.sum("n").alias("rows")).select(
@@ -128,9 +128,10 @@ def agency_lookup(feed: Feed) -> DataFrame:
     ).join(spans, FEED, "left")
 
 
-def local_now(feed: Feed) -> DataFrame:
-    """Current wall-clock time, service second and weekday in each agency's zone."""
-    now = F.from_utc_timestamp(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), F.col("agency_timezone"))
+def local_now(feed: Feed, instant: Column | None = None) -> DataFrame:
+    """Wall-clock time, service second and weekday in each agency's zone, now or at an instant."""
+    instant = F.current_timestamp() if instant is None else instant
+    now = F.from_utc_timestamp(F.to_utc_timestamp(instant, F.current_timezone()), F.col("agency_timezone"))
     return feed.agency.select(FEED, "agency_id", "agency_timezone", now.alias("now")).select(
         "*",
         (F.hour("now") * 3600 + F.minute("now") * 60 + F.second("now")).alias("now_secs"),

@@ -16,39 +16,75 @@ _TYPES = {
 }
 
 # The columns of each table in file order.
-COLUMNS: dict[str, str] = {
-    "agency": "agency_id agency_name agency_url agency_timezone agency_lang "
-    "agency_phone agency_fare_url agency_email",
-    "attributions": "attribution_id agency_id route_id trip_id organization_name "
-    "is_producer is_operator is_authority attribution_url attribution_email attribution_phone",
-    "calendar": "service_id monday:int tuesday:int wednesday:int thursday:int friday:int "
-    "saturday:int sunday:int start_date:date end_date:date",
-    "calendar_dates": "service_id date:date exception_type:int",
-    "fare_attributes": "fare_id price:double currency_type payment_method:int transfers:int "
-    "agency_id transfer_duration:int",
-    "fare_rules": "fare_id route_id origin_id destination_id contains_id",
-    "feed_info": "feed_publisher_name feed_publisher_url feed_lang feed_start_date:date "
-    "feed_end_date:date feed_version feed_contact_email feed_contact_url",
-    "frequencies": "trip_id start_time end_time headway_secs:int exact_times:int",
-    "routes": "route_id agency_id route_short_name route_long_name route_desc route_type:int "
-    "route_url route_color route_text_color route_sort_order:int continuous_pickup:int "
-    "continuous_drop_off:int network_id",
-    "shapes": "shape_id shape_pt_lat:double shape_pt_lon:double shape_pt_sequence:int "
-    "shape_dist_traveled:double",
-    "stop_times": "trip_id arrival_time departure_time stop_id stop_sequence:int stop_headsign "
-    "pickup_type:int drop_off_type:int continuous_pickup:int continuous_drop_off:int "
-    "shape_dist_traveled:double timepoint:int",
-    "stops": "stop_id stop_code stop_name stop_desc stop_lat:double stop_lon:double zone_id "
-    "stop_url location_type:int parent_station stop_timezone wheelchair_boarding:int "
-    "level_id platform_code",
-    "transfers": "from_stop_id to_stop_id transfer_type:int min_transfer_time:int",
-    "translations": "table_name field_name language translation record_id record_sub_id field_value",
-    "trips": "route_id service_id trip_id trip_headsign trip_short_name direction_id:int "
-    "block_id shape_id wheelchair_accessible:int bikes_allowed:int",
+COLUMNS: dict[str, tuple[str, ...]] = {
+    "agency": (
+        "agency_id", "agency_name", "agency_url", "agency_timezone", "agency_lang", "agency_phone",
+        "agency_fare_url", "agency_email",
+    ),
+    "attributions": (
+        "attribution_id", "agency_id", "route_id", "trip_id", "organization_name", "is_producer",
+        "is_operator", "is_authority", "attribution_url", "attribution_email", "attribution_phone",
+    ),
+    "calendar": (
+        "service_id", "monday:int", "tuesday:int", "wednesday:int", "thursday:int", "friday:int",
+        "saturday:int", "sunday:int", "start_date:date", "end_date:date",
+    ),
+    "calendar_dates": (
+        "service_id", "date:date", "exception_type:int",
+    ),
+    "fare_attributes": (
+        "fare_id", "price:double", "currency_type", "payment_method:int", "transfers:int", "agency_id",
+        "transfer_duration:int",
+    ),
+    "fare_rules": (
+        "fare_id", "route_id", "origin_id", "destination_id", "contains_id",
+    ),
+    "feed_info": (
+        "feed_publisher_name", "feed_publisher_url", "feed_lang", "feed_start_date:date",
+        "feed_end_date:date", "feed_version", "feed_contact_email", "feed_contact_url",
+    ),
+    "frequencies": (
+        "trip_id", "start_time", "end_time", "headway_secs:int", "exact_times:int",
+    ),
+    "routes": (
+        "route_id", "agency_id", "route_short_name", "route_long_name", "route_desc", "route_type:int",
+        "route_url", "route_color", "route_text_color", "route_sort_order:int", "continuous_pickup:int",
+        "continuous_drop_off:int", "network_id",
+    ),
+    "shapes": (
+        "shape_id", "shape_pt_lat:double", "shape_pt_lon:double", "shape_pt_sequence:int",
+        "shape_dist_traveled:double",
+    ),
+    "stop_times": (
+        "trip_id", "arrival_time", "departure_time", "stop_id", "stop_sequence:int", "stop_headsign",
+        "pickup_type:int", "drop_off_type:int", "continuous_pickup:int", "continuous_drop_off:int",
+        "shape_dist_traveled:double", "timepoint:int",
+    ),
+    "stops": (
+        "stop_id", "stop_code", "stop_name", "stop_desc", "stop_lat:double", "stop_lon:double", "zone_id",
+        "stop_url", "location_type:int", "parent_station", "stop_timezone", "wheelchair_boarding:int",
+        "level_id", "platform_code",
+    ),
+    "transfers": (
+        "from_stop_id", "to_stop_id", "transfer_type:int", "min_transfer_time:int",
+    ),
+    "translations": (
+        "table_name", "field_name", "language", "translation", "record_id", "record_sub_id", "field_value",
+    ),
+    "trips": (
+        "route_id", "service_id", "trip_id", "trip_headsign", "trip_short_name", "direction_id:int",
+        "block_id", "shape_id", "wheelchair_accessible:int", "bikes_allowed:int",
+    ),
     # Fare products: used by the fare analyses, loaded like the rest when present.
-    "fare_products": "fare_product_id fare_product_name fare_media_id amount:double currency",
-    "fare_leg_rules": "network_id fare_product_id",
-    "fare_media": "fare_media_id fare_media_name fare_media_type:int",
+    "fare_products": (
+        "fare_product_id", "fare_product_name", "fare_media_id", "amount:double", "currency",
+    ),
+    "fare_leg_rules": (
+        "network_id", "fare_product_id",
+    ),
+    "fare_media": (
+        "fare_media_id", "fare_media_name", "fare_media_type:int",
+    ),
 }
 
 # The fifteen tables every feed is checked for.
@@ -93,7 +129,7 @@ PROVENANCE = (("gtfs_id", T.StringType()), ("_path", T.StringType()), ("_missing
 def fields(table: str) -> list[tuple[str, str]]:
     """``(column, type name)`` pairs of a table, without provenance."""
     pairs = []
-    for item in COLUMNS[table].split():
+    for item in COLUMNS[table]:
         name, _, kind = item.partition(":")
         pairs.append((name, kind or "string"))
     return pairs

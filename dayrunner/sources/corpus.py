@@ -63,9 +63,11 @@ def parse_examples(files: DataFrame, kind: str) -> DataFrame:
 
 
 def parse_questions(files: DataFrame, kind: str) -> DataFrame:
-    """Question lists of whole files (path, raw): JSON arrays of strings,
-    trimmed, blanks dropped; other JSON gives no rows."""
-    items = F.from_json("raw", "array<string>")
+    """Question lists of whole files (path, raw): the strings of a JSON array,
+    trimmed, blanks dropped; its other items and other JSON give no rows."""
+    parsed = F.try_parse_json("raw")
+    elements = F.try_variant_get(parsed, "$", "array<variant>")
+    items = F.transform(elements, lambda e: F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string")))
     question = F.regexp_replace("item", r"^\s+|\s+\z", "")
     return (
         files.select("path", F.posexplode(items).alias("position", "item"))

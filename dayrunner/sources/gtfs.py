@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,11 +16,12 @@ from dayrunner.feed import Feed
 from dayrunner.functions import columns as C
 from dayrunner.sources import manifest as M
 
-# Tables whose files are large and hold no free text with line breaks; they
-# stay splittable. The others may have quoted line breaks.
-SPLITTABLE = frozenset({"stop_times", "shapes", "trips", "calendar_dates", "frequencies"})
-
-_HEADER_BYTES = 1 << 16
+# Encodings in which a quote or a line break is more than one byte: such files
+# are not looked through for quoted line breaks and never split.
+WIDE_ENCODING = re.compile(r"(?i)utf-?(16|32)")
+HEADER_THREADS = 16
+# Signs that mean something in a path pattern.
+PATTERN_SIGNS = re.compile(r"([\\{}\[\]*?,])")
 
 
 def empty_table(spark: SparkSession, table: str) -> DataFrame:
@@ -30,64 +29,76 @@ def empty_table(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], schemas.typed_schema(table))
 
 
-def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Header line of each file; reads only the start of the file."""
-    from pyarrow import fs
+def literal_path(path: str) -> str:
+    """A path that Spark's readers take as it is, not as a pattern."""
+    return PATTERN_SIGNS.sub(r"\\\1", path)
+
+
+def scanned_path() -> Column:
+    """The scanned file's path as listings spell it: the metadata column is URL-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
 
-    for batch in batches:
-        lines = []
-        for path in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-            with system.open_input_stream(inner) as stream:
-                head = stream.read(_HEADER_BYTES).decode("utf-8-sig", errors="replace")
-            row = next(csv.reader(io.StringIO(head)), [])
-            lines.append("\t".join(name.strip() for name in row))
-        yield batch.assign(header=lines)
+def _csv_options(encoding: str) -> dict[str, object]:
+    return {"header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "encoding": encoding}
 
 
-def header_layouts(files: DataFrame) -> dict[tuple[str, ...], list[str]]:
-    """File paths by their header; headers are read by the executors.
+def header_of(spark: SparkSession, path: str, encoding: str) -> tuple[str, ...]:
+    """Column names of a file's first record, however long it is; reads no further."""
+    names = spark.read.options(**_csv_options(encoding)).option("multiLine", True).csv(literal_path(path)).columns
+    return tuple(name.lstrip("\ufeff").strip() for name in names)
 
-    The result is as long as the list of files, which the scan needs anyway.
+
+def _bound(header: Sequence[str], wanted: Sequence[str]) -> tuple[str, ...]:
+    """The header with the first place of each wanted column under its name, others unused.
+
+    A reader puts the place after names that occur more than once.
     """
-    found = files.select("path").mapInPandas(_first_lines, "path string, header string").collect()
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for row in found:
-        layouts.setdefault(tuple(row.header.split("\t")), []).append(row.path)
-    return layouts
+    out = [f"_unused_{i}" for i in range(len(header))]
+    for name in wanted:
+        places = [i for i, h in enumerate(header) if h in (name, f"{name}{i}")]
+        if places:
+            out[places[0]] = name
+    return tuple(out)
+
 
+def files_with_line_breaks(spark: SparkSession, paths: Sequence[str]) -> set[str]:
+    """The files with a line of unbalanced quotes, found in one scan of their lines.
 
-def _scan(spark: SparkSession, names: Sequence[str], paths: Sequence[str], table: str, encoding: str) -> DataFrame:
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return (
-        spark.read.schema(schema)
-        .option("header", True).option("quote", '"').option("escape", '"')
-        .option("mode", "PERMISSIVE").option("encoding", encoding)
-        .option("multiLine", table not in SPLITTABLE)
-        .csv(list(paths))
-    )
+    The result is at most as long as the list of files.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    found = spark.read.text([literal_path(p) for p in paths]).filter(quotes % 2 == 1).select(scanned_path().alias("path")).distinct()
+    return {_plain(r.path) for r in found.collect()}
 
 
 def read_raw(
-    spark: SparkSession, table: str, files: DataFrame, *, positional: bool = False, encoding: str = "UTF-8"
+    spark: SparkSession, table: str, files: DataFrame, *, positional: bool = False, encoding: str | Mapping[str, str] = "UTF-8"
 ) -> DataFrame:
-    """All-string rows of a table's files plus ``path``.
+    """All-string rows of a table's files plus ``path``, spelled as in the listing.
 
     Columns are bound by header name, in any order, absent ones NULL; with
-    ``positional`` by their place in the declared column list.
+    ``positional`` by their place in the declared column list. Files with quoted
+    line breaks are read whole, the others may be split. ``encoding`` holds for
+    all files, or is given by feed (UTF-8 where it names none).
     """
     wanted = schemas.names(table)
-    path = F.col("_metadata.file_path").alias("path")
-    if positional:
-        paths = [r.path for r in files.select("path").collect()]
-        return _scan(spark, wanted, paths, table, encoding).select(path, *wanted)
+    chosen = files.select("path", "gtfs_id").distinct().collect()
+    encodings = {r.path: encoding if isinstance(encoding, str) else encoding.get(r.gtfs_id) or "UTF-8" for r in chosen}
+    narrow = [p for p, e in encodings.items() if not WIDE_ENCODING.match(e)]
+    whole = files_with_line_breaks(spark, narrow) if narrow else set()
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        headers = dict(zip(encodings, pool.map(lambda item: header_of(spark, *item), encodings.items()), strict=True))
+    layouts: dict[tuple, list[str]] = {}
+    for path, code in encodings.items():
+        names = tuple(wanted) if positional else _bound(headers[path], wanted)
+        layouts.setdefault((names, code, path not in narrow or _plain(path) in whole), []).append(path)
     parts = []
-    for header, paths in header_layouts(files).items():
-        names = [n if n and header.index(n) == i else f"_unused_{i}" for i, n in enumerate(header)]
-        rows = _scan(spark, names, paths, table, encoding)
-        parts.append(
-            rows.select(path, *[F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in wanted])
-        )
+    for (names, code, multi_line), paths in layouts.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        rows = spark.read.schema(schema).options(**_csv_options(code)).option("multiLine", multi_line).csv([literal_path(p) for p in paths])
+        columns = [F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in wanted]
+        parts.append(rows.select(scanned_path().alias("path"), *columns))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -101,7 +112,7 @@ def _typed(name: str, kind: str, round_fractions: bool) -> Column:
     return F.col(name)
 
 
-def typed(raw: DataFrame, table: str, *, round_fractions: bool = False) -> DataFrame:
+def typed(raw: DataFrame, table: str, *, round_fractions: bool = True) -> DataFrame:
     """Types, namespaced keys and parsed service times over all-string columns.
 
     ``raw`` carries gtfs_id, _path, _missing and the table's columns.
@@ -141,21 +152,25 @@ def read_table(
     *,
     emit_missing: bool | None = None,
     positional: bool = False,
-    round_fractions: bool = False,
+    round_fractions: bool = True,
+    encoding: str | Mapping[str, str] = "UTF-8",
 ) -> DataFrame:
     """One table over all feeds.
 
-    ``found``: (gtfs_id, table, path, relative) from ``table_files``. Feeds
-    without the table appear as placeholder rows where ``emit_missing`` says so
-    (by default per table).
+    ``found``: (gtfs_id, table, path, relative) from ``table_files``. Feed and
+    relative path of a row come from its own file's path. Feeds without the table
+    appear as placeholder rows where ``emit_missing`` says so (by default per
+    table).
     """
     files = found.filter(F.col("table") == table)
     if files.isEmpty():
         out = empty_table(spark, table)
     else:
-        raw = read_raw(spark, table, files, positional=positional)
-        places = files.select(_plain_path("path").alias("_plain"), "gtfs_id", F.col("relative").alias("_path"))
-        rows = raw.withColumn("_plain", _plain_path("path")).join(places, "_plain").withColumn("_missing", F.lit(False))
+        raw = read_raw(spark, table, files, positional=positional, encoding=encoding)
+        one = files.select("path", "relative").first()
+        root = _plain(one.path.removesuffix(one.relative))
+        relative = F.substring(_plain_path("path"), F.lit(len(root) + 1), F.length("path"))
+        rows = raw.withColumn("_path", relative).withColumns({"gtfs_id": C.feed_id_from_path("_path"), "_missing": F.lit(False)})
         out = typed(rows, table, round_fractions=round_fractions)
     emit = table in schemas.PLACEHOLDER_TABLES if emit_missing is None else emit_missing
     if emit and feeds is not None:
@@ -163,8 +178,12 @@ def read_table(
     return out
 
 
-def _plain_path(c: str) -> Column:
+def _plain(path: str) -> str:
     """'file:/x', 'file:///x' and '/x' alike."""
+    return re.sub(r"^file:/+", "/", path)
+
+
+def _plain_path(c: str) -> Column:
     return F.regexp_replace(c, r"^file:/+", "/")
 
 
@@ -177,7 +196,10 @@ def read_feed(
     sandbox_ids: Sequence[str] = (),
     **options,
 ) -> Feed:
-    """All tables of all active feeds below ``root``, each read when first used."""
+    """All tables of all active feeds below ``root``, each read when first used.
+
+    Analyses see real rows only; ``Feed.complete`` has the placeholder rows too.
+    """
     feeds = M.active_feeds(manifest)
     found = M.table_files(M.list_files(spark, root), feeds, sandbox_ids)
-    return Feed({t: (lambda t=t: read_table(spark, t, found, feeds, **options)) for t in tables})
+    return Feed({}, {t: (lambda t=t: read_table(spark, t, found, feeds, **options)) for t in tables})

@@ -13,9 +13,9 @@ from dayrunner.functions.columns import feed_id_from_path
 
 # Manifest columns and the words that mean yes.
 MANIFEST_COLUMNS = (
-    "id source url headers_json params_json license active write_stable encoding epsg "
-    "origin stat_year created_year info_url"
-).split()
+    "id", "source", "url", "headers_json", "params_json", "license", "active", "write_stable", "encoding",
+    "epsg", "origin", "stat_year", "created_year", "info_url",
+)
 TRUE_WORDS = ("true", "1", "yes", "y")
 
 # Folders below the root that hold table files. They are named one by one, as

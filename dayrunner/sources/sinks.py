@@ -28,10 +28,13 @@ def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int)
 
 def write_feed(feed: Feed, root: str, tables: Iterable[str] | None = None) -> str:
     for table in tables or feed:
-        write_table(feed[table], f"{root}/{table}")
+        write_table(feed.complete(table), f"{root}/{table}")
     return root
 
 
 def load_feed(spark: SparkSession, root: str, tables: Iterable[str]) -> Feed:
     """A feed written by ``write_feed``; filters on gtfs_id prune partitions."""
-    return Feed({t: (lambda t=t: spark.read.parquet(f"{root}/{t}")) for t in tables})
+    tables = list(tables)
+    held = {t: (lambda t=t: spark.read.parquet(f"{root}/{t}")) for t in tables}
+    placed = {t: held[t] for t in tables if "_missing" in held[t]().columns}
+    return Feed({t: f for t, f in held.items() if t not in placed}, placed)

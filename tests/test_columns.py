@@ -20,7 +20,7 @@ def test_hms_to_seconds(spark, text, want):
     assert one(spark, text, C.hms_to_seconds) == want
 
 
-@pytest.mark.parametrize("text, want", [("", None), (" 7 ", 7), ("1.5", None), ("x", None), ("-3", -3)])
+@pytest.mark.parametrize("text, want", [("", None), (" 7 ", 7), ("1.5", 2), ("-2.5", -3), ("x", None), ("-3", -3)])
 def test_try_int(spark, text, want):
     assert one(spark, text, C.try_int) == want
 

@@ -15,6 +15,11 @@ box,sandbox,u4,,,L,TRUE,TRUE,UTF-8,4326,o,1,1,
 three,gtfs,u6,,,L,1,TRUE,UTF-8,4326,o,1,1,
 """
 
+MORE_MANIFEST = MANIFEST + """sp ace+50%25,gtfs,u7,,,L,1,TRUE,UTF-8,4326,o,1,1,
+latin,gtfs,u8,,,L,1,TRUE,ISO-8859-1,4326,o,1,1,
+long,gtfs,u9,,,L,1,TRUE,UTF-8,4326,o,1,1,
+"""
+
 FILES = {
     "gtfs/one/latest/_extracted/stops.txt": '﻿stop_id,stop_name,stop_lat,stop_lon,parent_station,location_type\r\n'
     'a,"A ""x"" B",35.5,139,p,0\r\nb,"line\nbreak",,bad,,1.0\r\nshort,row\r\nlong,x,1,2,,0,extra,extra2\r\n',
@@ -26,6 +31,11 @@ FILES = {
     "sandbox/rail/stops.txt": "stop_id,stop_name\nr1,txt\n",
     "gtfs/one/latest/_extracted/stop_times.txt": "trip_id,arrival_time,departure_time,stop_id,stop_sequence\n"
     "t1,25:35:00,25:36:00,a,1\nt1,ab:cd:ef,,b, 7 \nt1,8:05:00,8:05:00,b,1.5\n",
+    "gtfs/sp ace+50%25/latest/_extracted/trips.txt": 'route_id,trip_headsign,trip_id\nr,"To\nTown, ""X""",t1\nr,plain,t2\n',
+    "gtfs/sp ace+50%25/latest/_extracted/stop_times.txt": 'stop_headsign,trip_id,stop_sequence\n"a\r\nb",t1,2.5\n,t1,3\n',
+    "gtfs/latin/latest/_extracted/stops.txt": "stop_id,stop_name\nü1,Zürich\n".encode("latin-1"),
+    "gtfs/long/latest/_extracted/trips.txt": ",".join(f"extra_{k:08d}" for k in range(8000)) + ",trip_id,route_id,trip_id\n"
+    + "," * 8000 + "t9,r9,other\n",
 }
 
 
@@ -36,7 +46,8 @@ def root(tmp_path_factory):
     for name, text in FILES.items():
         path = top / "data" / name
         path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(text, encoding="utf-8", newline="")
+        path.write_bytes(text if isinstance(text, bytes) else text.encode())
+    (top / "more.csv").write_text(MORE_MANIFEST, encoding="utf-8")
     return top
 
 
@@ -65,18 +76,48 @@ def test_stops(feed):
     assert got["twoa"]._path == "gtfs/two/latest/_extracted/stops.csv"
 
 
+@pytest.fixture(scope="module")
+def more(spark, root):
+    listed = manifest.read_manifest(spark, str(root / "more.csv"))
+    return gtfs.read_feed(spark, str(root / "data"), listed, encoding={"latin": "ISO-8859-1"})
+
+
+def test_odd_paths_and_line_breaks_lose_nothing(more):
+    odd = "sp ace+50%25"
+    got = rows(more.trips, "gtfs_id", "trip_id", "trip_headsign", "_path")
+    assert (odd, f"{odd}t1", 'To\nTown, "X"', f"gtfs/{odd}/latest/_extracted/trips.txt") in got
+    assert [g[1] for g in got if g[0] == odd] == [f"{odd}t1", f"{odd}t2"]
+    events = rows(more.stop_times.filter(f"gtfs_id = '{odd}'"), "trip_id", "stop_headsign", "stop_sequence")
+    assert len(events) == 2 and {(e[1] or "").replace("\r\n", "\n") for e in events} == {"", "a\nb"}
+    assert {e[2] for e in events} == {3}
+
+
+def test_long_headers_and_repeated_names(more):
+    assert rows(more.trips.filter("gtfs_id = 'long'"), "trip_id", "route_id") == [("longt9", "longr9")]
+
+
+def test_encoding_by_feed(more):
+    assert rows(more.stops.filter("gtfs_id = 'latin'"), "stop_id", "stop_name") == [("latinü1", "Zürich")]
+
+
+def test_analyses_see_no_placeholders(more):
+    assert more.stop_times.filter("_missing or trip_id is null").count() == 0
+    assert more.complete("stop_times").filter("_missing").count() == 4
+    assert more.replace(trips=more.trips.limit(1)).complete("stop_times").filter("_missing").count() == 4
+
+
 def test_placeholders(feed):
-    missing = feed.stops.filter("_missing").collect()
+    missing = feed.complete("stops").filter("_missing").collect()
     assert [(r.gtfs_id, r.stop_id, r._path) for r in missing] == [("three", None, None)]
     assert feed.agency.count() == 0
-    assert {r.gtfs_id for r in feed.calendar.collect()} == {"one", "two", "three"}
-    assert feed.calendar.schema == schemas.typed_schema("calendar")
+    assert {r.gtfs_id for r in feed.complete("calendar").collect()} == {"one", "two", "three"}
+    assert feed.calendar.count() == 0 and feed.calendar.schema == schemas.typed_schema("calendar")
 
 
 def test_stop_times(feed):
     got = rows(feed.stop_times.filter("not _missing"), "trip_id", "arrival_time", "arrival_secs", "departure_secs", "stop_sequence")
     assert got == [
-        ("onet1", "25:35:00", 92100, 92160, 1), ("onet1", "8:05:00", 29100, 29100, None), ("onet1", "ab:cd:ef", None, None, 7),
+        ("onet1", "25:35:00", 92100, 92160, 1), ("onet1", "8:05:00", 29100, 29100, 2), ("onet1", "ab:cd:ef", None, None, 7),
     ]
 
 
@@ -87,11 +128,11 @@ def test_positional_binding_shifts_columns(spark, root):
     assert two.first().stop_id == "two1.5"
 
 
-def test_fractions_can_round(spark, root):
+def test_fractions_can_be_null(spark, root):
     listed = manifest.active_feeds(manifest.read_manifest(spark, str(root / "manifest.csv")))
     found = manifest.table_files(manifest.list_files(spark, str(root / "data")), listed)
-    got = gtfs.read_table(spark, "stop_times", found, round_fractions=True)
-    assert rows(got.filter("arrival_time = '8:05:00'"), "stop_sequence") == [(2,)]
+    got = gtfs.read_table(spark, "stop_times", found, round_fractions=False)
+    assert rows(got.filter("arrival_time = '8:05:00'"), "stop_sequence") == [(None,)]
 
 
 def test_report_of_files(spark, root):
@@ -105,6 +146,7 @@ def test_sink_prunes_feeds(spark, feed, tmp_path):
     sinks.write_feed(feed, str(tmp_path / "out"), ["stops"])
     back = sinks.load_feed(spark, str(tmp_path / "out"), ["stops"]).stops
     assert back.count() == feed.stops.count()
+    assert sinks.load_feed(spark, str(tmp_path / "out"), ["stops"]).complete("stops").count() == feed.complete("stops").count()
     plan = back.filter("gtfs_id = 'one'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(gtfs_id" in plan
 
@@ -129,7 +171,7 @@ example_x: no label
 
 def test_corpus(spark, tmp_path):
     (tmp_path / "e.yaml").write_text(EXAMPLES, encoding="utf-8")
-    (tmp_path / "q.json").write_text('["  one ", "", "二つ", null, "four"]', encoding="utf-8")
+    (tmp_path / "q.json").write_text('["  one ", "", "二つ", null, 7, {"a": "b"}, ["c"], "four"]', encoding="utf-8")
     (tmp_path / "bad.json").write_text("{not json", encoding="utf-8")
     docs = corpus.read_corpus(
         spark, examples={str(tmp_path / "e.yaml"): "few_shot"},
