@@ -220,6 +220,29 @@ for _n in (2, 3):
         return Q.shared_sequences(feed, n)
 
 
+@check("f15_longest_shared_sequences", "F15", f"""
+    with walks as (
+      select t.gtfs_id, t.route_id, s.trip_id, s.stop_id, row_number() over (partition by s.gtfs_id, s.trip_id order by s.stop_sequence) as place
+      from stop_times s join trips t on {BY_TRIP}
+    ), paths as (
+      select gtfs_id, route_id, path, min(trip_id) as trip_id from (
+        select gtfs_id, route_id, trip_id, string_agg(stop_id, ' > ' order by place) as path from walks group by all) group by all
+    ), w as (select walks.* from walks join paths using (gtfs_id, route_id, trip_id)
+    ), runs as (
+      select gtfs_id, ta, tb, min(pa) as start, count(*) as n from (
+        select a.gtfs_id, a.trip_id as ta, b.trip_id as tb, a.place as pa, a.place - b.place as shift,
+          a.place - row_number() over (partition by a.gtfs_id, a.trip_id, b.trip_id, a.place - b.place order by a.place) as island
+        from w a join w b on a.gtfs_id = b.gtfs_id and a.stop_id = b.stop_id and a.route_id <> b.route_id)
+      group by gtfs_id, ta, tb, shift, island
+    ), best as (select * from runs where n = (select max(n) from runs)
+    ), grams as (
+      select b.gtfs_id, w.route_id, b.ta, b.tb, b.start, b.n, string_agg(w.stop_id, ' > ' order by w.place) as gram
+      from best b join w on w.gtfs_id = b.gtfs_id and w.trip_id = b.ta and w.place between b.start and b.start + b.n - 1 group by all)
+    select gtfs_id, gram, count(distinct route_id) as routes, max(n) as n from grams group by 1, 2""")
+def _(feed):
+    return Q.longest_shared_sequences(feed)
+
+
 @check("e55_long_segments", "E55", f"""
     select t.gtfs_id, t.route_id, count(*) as segments, max(departure_secs - prev_departure) as longest_secs
     from steps s join trips t on {BY_TRIP} where departure_secs - prev_departure > 280 group by 1, 2""")

@@ -73,7 +73,7 @@ def routes_without(feed: Feed, what: str) -> DataFrame:
     if what == "trips":
         having = feed.trips
     elif what == "stop_times":
-        having = feed.trips.join(feed.stop_times.select(*TRIP), TRIP, "left_semi")
+        having = feed.trips.join(feed.stop_times.select(*TRIP).distinct(), TRIP, "left_semi")
     elif what == "fares":
         having = feed.fare_rules
     elif what == "weekend":
@@ -84,7 +84,7 @@ def routes_without(feed: Feed, what: str) -> DataFrame:
         having = served.join(shared, STOP, "left_semi")
     else:
         raise ValueError(f"unknown criterion {what!r}")
-    return feed.routes.join(having.select(*ROUTE), ROUTE, "left_anti")
+    return feed.routes.join(having.select(*ROUTE).distinct(), ROUTE, "left_anti")
 
 
 # --- route connectivity ----------------------------------------------------
@@ -225,19 +225,16 @@ def direct_trips(feed: Feed, requests: DataFrame, within_secs: int = 3600) -> Da
 def travel_time_counts(feed: Feed) -> DataFrame:
     """How often each travel time occurs between two stops of one trip, by route.
 
-    Trips with the same running times are collapsed to one profile first (two
-    64-bit sums identify a profile), and within a profile to distinct clock
-    seconds, so pairs are formed once per profile and are bounded by the
-    seconds of a service day.
+    A pair is an earlier and a later stop in stop order with a later arrival;
+    times that run backwards on the way only drop their own pairs. Trips with
+    the same order and running times are collapsed to one profile first (two
+    64-bit sums identify a profile), so pairs are formed once per profile.
     """
-    start = feed.stop_times.groupBy(*TRIP).agg(F.min("arrival_secs").alias("start"))
-    ticks = (
-        feed.stop_times.select(*TRIP, "arrival_secs")
-        .join(start, TRIP)
-        .groupBy(*TRIP, (F.col("arrival_secs") - F.col("start")).alias("sec"))
-        .agg(F.count("*").alias("c"))
-    )
-    h = F.xxhash64("sec", "c")
+    timed = feed.stop_times.filter("arrival_secs is not null").select(*TRIP, "stop_sequence", "arrival_secs")
+    start = timed.groupBy(*TRIP).agg(F.min("arrival_secs").alias("start"), F.min("stop_sequence").alias("first"))
+    ticks = timed.join(start, TRIP).select(
+        *TRIP, (F.col("stop_sequence") - F.col("first")).alias("place"), (F.col("arrival_secs") - F.col("start")).alias("sec"))
+    h = F.xxhash64("place", "sec")
     profiles = (
         ticks.groupBy(*TRIP)
         .agg(
@@ -251,12 +248,12 @@ def travel_time_counts(feed: Feed) -> DataFrame:
         .select(*TRIP, "route_id", "trips")
     )
     chosen = ticks.join(profiles, TRIP)
-    later = ticks.select(*TRIP, F.col("sec").alias("sec_b"), F.col("c").alias("c_b"))
+    later = ticks.select(*TRIP, F.col("place").alias("place_b"), F.col("sec").alias("sec_b"))
     return (
         chosen.join(later, TRIP)
-        .filter("sec_b > sec")
+        .filter("place_b > place and sec_b > sec")
         .groupBy(*ROUTE, (F.col("sec_b") - F.col("sec")).cast("bigint").alias("travel_secs"))
-        .agg(F.sum(F.col("trips") * F.col("c") * F.col("c_b")).alias("pairs"))
+        .agg(F.sum("trips").alias("pairs"))
     )
 
 

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from dayrunner.feed import Feed
 from dayrunner.functions import columns as C
 from dayrunner.functions.geometry import angle_at, bearing, haversine
-from dayrunner.functions.ordered import exact_median, neighbours
+from dayrunner.functions.ordered import exact_median, neighbours, positions
 from dayrunner.operators import choose as G
 from dayrunner.operators import service as S
 from dayrunner.operators import trips as T
 from dayrunner.plans import views as V
 from dayrunner.plans.views import FEED, ROUTE, SERVICE, STOP, TRIP
-from dayrunner.session import checkpointed
+from dayrunner.session import written
 
 LINE = [*ROUTE, "direction_id", "service_id"]
 
@@ -344,14 +344,47 @@ def shared_sequences(feed: Feed, n: int) -> DataFrame:
     return _shared(grams)
 
 
-def longest_shared_sequences(feed: Feed, most: int = 50) -> DataFrame:
-    """Shared sequences of the greatest length (up to ``most`` stops)."""
-    grams = checkpointed(_pattern_stops(feed).withColumn("gram", F.col("stop_id")))
-    best = checkpointed(_shared(grams).withColumn("n", F.lit(1)))
-    for n in range(2, most + 1):
-        grams = checkpointed(_extend(grams))
-        found = checkpointed(_shared(grams).withColumn("n", F.lit(n)))
-        if found.isEmpty():
+def _shared_hash(grams: DataFrame) -> DataFrame:
+    """The sequences, by hash, that several routes share."""
+    return grams.groupBy(FEED, "h").agg(F.count_distinct("route_id").alias("routes")).filter("routes > 1")
+
+
+def _joined(left: DataFrame, right: DataFrame, shift: int) -> DataFrame:
+    """Sequences of a left one and the right one that starts ``shift`` stops later."""
+    after = right.select(*TRIP, (F.col("place") - shift).alias("place"), F.col("h").alias("next_h"))
+    return left.join(after, [*TRIP, "place"]).withColumn("h", F.md5(F.concat("h", "next_h"))).drop("next_h")
+
+
+def _within(grams: DataFrame) -> DataFrame:
+    """Only sequences that are shared; longer ones start with one of them."""
+    return written(grams.join(_shared_hash(grams).select(FEED, "h"), [FEED, "h"], "left_semi"))
+
+
+def longest_shared_sequences(feed: Feed) -> DataFrame:
+    """Shared sequences of the greatest length there is, and that length.
+
+    Sequences are hashes; their length is doubled while any is shared, then
+    extended by falling powers of two. So the number of steps is logarithmic, and
+    stops are spelled out at the end, for the longest sequences alone.
+    """
+    events = written(positions(_pattern_stops(feed), TRIP, "stop_sequence", name="place"))
+    grams = _within(events.select(*TRIP, "route_id", "place", F.md5("stop_id").alias("h")))
+    if grams.isEmpty():
+        return events.select(FEED, F.lit("").alias("gram"), F.lit(0).cast("bigint").alias("routes"), F.lit(0).alias("n")).limit(0)
+    powers = [grams]
+    while True:
+        longer = _within(_joined(powers[-1], powers[-1], 1 << (len(powers) - 1)))
+        if longer.isEmpty():
             break
-        best = found
-    return best
+        powers.append(longer)
+    n, best = 1 << (len(powers) - 1), powers[-1]
+    for k in range(len(powers) - 2, -1, -1):
+        longer = _within(_joined(best, powers[k], n))
+        if not longer.isEmpty():
+            n, best = n + (1 << k), longer
+    one = best.groupBy(FEED, "h").agg(F.min(F.struct("trip_id", "place")).alias("at"), F.count_distinct("route_id").alias("routes"))
+    span = one.select(FEED, "h", "routes", F.col("at.trip_id").alias("trip_id"), F.explode(
+        F.sequence(F.col("at.place"), F.col("at.place") + n - 1)).alias("place"))
+    stops = F.transform(F.array_sort(F.collect_list(F.struct("place", "stop_id"))), lambda s: s["stop_id"])
+    return span.join(events.select(*TRIP, "place", "stop_id"), [*TRIP, "place"]).groupBy(FEED, "h", "routes").agg(
+        F.concat_ws(" > ", stops).alias("gram")).select(FEED, "gram", "routes", F.lit(n).alias("n"))

@@ -132,6 +132,22 @@ def test_sequences_of_any_length(spark, feed):
     )
     assert rows(Q.shared_sequences(made, 2), "gram", "routes") == [("b > c", 2), ("c > d", 2)]
     assert [(r.gram, r.n) for r in Q.longest_shared_sequences(made).collect()] == [("b > c > d", 3)]
+    long = [f"s{k}" for k in range(77)]
+    times = [("f", t, s, n) for t, path in {"t1": ["a", *long, "b"], "t2": ["c", "c", *long]}.items() for n, s in enumerate(path)]
+    made = made.replace(stop_times=spark.createDataFrame(times, "gtfs_id string, trip_id string, stop_id string, stop_sequence int"))
+    assert [(r.gram, r.routes, r.n) for r in Q.longest_shared_sequences(made).collect()] == [(" > ".join(long), 2, 77)]
+    alone = made.replace(trips=made.trips.filter("trip_id = 't1'"))
+    assert Q.longest_shared_sequences(alone).count() == 0
+
+
+def test_travel_times_follow_the_stop_order(spark, feed):
+    times = [("f", "t1", n, s) for n, s in enumerate([100, 160, 130, 250])] + [("f", "t2", 10 * n, s) for n, s in enumerate([0, 60, 30, 150])]
+    made = feed.replace(
+        trips=spark.createDataFrame([("f", "t1", "r"), ("f", "t2", "r")], "gtfs_id string, trip_id string, route_id string"),
+        stop_times=spark.createDataFrame(times, "gtfs_id string, trip_id string, stop_sequence int, arrival_secs int"),
+    )
+    counts = {r.travel_secs: r.pairs for r in J.travel_time_counts(made).collect()}
+    assert counts == {60: 2, 30: 2, 150: 2, 90: 2, 120: 2}
 
 
 def test_patterns_ignore_sequence_numbers(spark, feed):
