@@ -13,8 +13,8 @@ from dayrunner.operators import choose as G
 from dayrunner.session import written
 
 # Token pattern, bigram limit, snippet caps, marker and header.
-CJK = r"[぀-ヿ㐀-鿿]"
-TOKEN = r"[0-9a-z_]+|[぀-ヿ㐀-鿿]+"
+CJK = "[\u3040-\u30ff\u3400-\u9fff]"
+TOKEN = "[0-9a-z_]+|[\u3040-\u30ff\u3400-\u9fff]+"
 BIGRAMS = 20
 WORKED_EXAMPLE_CAP = 1800
 QUESTION_CAP = 400
@@ -109,69 +109,26 @@ def _cosine(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFram
     )
 
 
-def retrieve(docs: DataFrame | Index, queries: DataFrame, k: int = 4, seeds: int = 8) -> DataFrame:
+def retrieve(docs: DataFrame | Index, queries: DataFrame, k: int = 4) -> DataFrame:
     """Top ``k`` documents by cosine for each query; ties by document order.
 
-    ``docs``: (doc_id, text) or an index, ``queries``: (query_id, text). The
-    result is exact, yet common words do not pair every text with every query:
-
-    1. the texts in which a query's strongest terms weigh most are scored in
-       full; the k-th best of them is a floor for the query's k-th best score;
-    2. terms whose greatest possible products add up to less than the floor
-       cannot lift a text to it alone, so only the other terms find candidates
-       (where that spares most of a question's postings);
-    3. candidates that could still reach the floor are scored in full.
+    ``docs``: (doc_id, text) or an index, ``queries``: (query_id, text). Terms of
+    questions meet the weights of texts once; products are summed before they
+    move. Spark sends the question terms to the weights where they are small, and
+    splits a common term's rows where they are not.
 
     Scores count as equal when they agree to ten places. Of equal texts only
     the first k documents can rank, so at most k copies are expanded.
     """
-    index = docs if isinstance(docs, Index) else Index(docs, keep=True)
+    index = docs if isinstance(docs, Index) else Index(docs)
     raw = weights(term_counts(queries, "query_id"), index.idf, "query_id")
-    asked = written(raw.join(norms(raw, "query_id"), "query_id").select(
-        "query_id", "term", (F.col("w") / F.col("norm")).alias("qw")
-    ))
-    # Only the questions' own terms are kept of the corpus for the passes below.
-    postings = written(
-        index.vectors.join(asked.select("term"), "term", "left_semi").join(index.norms, "text_id")
-        .select("text_id", "term", (F.col("w") / F.col("norm")).alias("dw"))
-    )
-    tops = G.top_per(postings, ["term"], [F.desc("dw"), "text_id"], max(k, seeds))
-    strongest = G.top_per(
-        asked.join(tops.groupBy("term").agg(F.max("dw").alias("cap")), "term"),
-        ["query_id"], [F.desc(F.col("qw") * F.col("cap")), "term"], seeds,
-    )
-    first = _cosine(tops.join(strongest, "term").select("query_id", "text_id").distinct(), asked, postings)
-    floors = (
-        G.top_per(first, ["query_id"], [F.desc("part"), "text_id"], k)
-        .groupBy("query_id")
-        .agg(F.when(F.count("*") >= k, F.min("part")).otherwise(F.lit(0.0)).alias("floor"))
-    )
-    caps = postings.groupBy("term").agg(F.max("dw").alias("cap"), F.count("*").alias("df"))
-    rising = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    margin = 1e-9
-    # One row per term of a question; written, as the steps below all read it.
-    bounded = written(
-        asked.join(caps, "term").join(floors, "query_id").withColumn("bound", F.col("qw") * F.col("cap"))
-        .withColumn("strong", F.sum("bound").over(rising) >= F.col("floor") - margin)
-    )
-    # Leaving terms out pays only where it spares most of a question's postings;
-    # elsewhere all terms find, and what is found is the full score.
-    plans = bounded.groupBy("query_id", "floor").agg(
-        F.sum(F.when(F.col("strong"), F.lit(0.0)).otherwise(F.col("bound"))).alias("slack"),
-        (F.sum(F.when(F.col("strong"), F.col("df")).otherwise(0)) * 4 <= F.sum("df")).alias("prunes"),
-    )
-    bounded = bounded.join(plans.select("query_id", "prunes"), "query_id").withColumn(
-        "finds", F.col("strong") | ~F.col("prunes")
-    )
-    slack = plans.select("query_id", "floor", F.when(F.col("prunes"), F.col("slack")).otherwise(F.lit(0.0)).alias("slack"))
-    candidates = (
-        bounded.filter("finds").select("query_id", "term", "qw").join(postings, "term")
-        .groupBy("query_id", "text_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("found"))
-        .join(slack, "query_id").filter(F.col("found") + F.col("slack") >= F.col("floor") - margin)
+    asked = raw.join(norms(raw, "query_id"), "query_id").select("query_id", "term", (F.col("w") / F.col("norm")).alias("qw"))
+    products = (
+        index.vectors.join(asked, "term").groupBy("query_id", "text_id")
+        .agg(F.sum(F.col("qw") * F.col("w")).alias("product"))
     )
-    rest = _cosine(candidates, bounded.filter("not finds").select("query_id", "term", "qw"), postings)
-    scored = candidates.join(rest, ["query_id", "text_id"], "left").select(
-        "query_id", "text_id", F.round(F.col("found") + F.coalesce("part", F.lit(0.0)), 10).alias("score")
+    scored = products.join(index.norms, "text_id").select(
+        "query_id", "text_id", F.round(F.col("product") / F.col("norm"), 10).alias("score")
     ).filter("score > 0")
     # Any k texts hold at least k documents, so the texts ranked up to k are
     # enough; equal scores at the edge are kept until document order decides.
