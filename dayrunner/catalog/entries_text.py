@@ -203,11 +203,12 @@ def _(feed):
 
 
 @check("v1_not_null", "V1", " union all ".join(
-    f"select '{t}' as \"table\", unnest(['gtfs_id', '_missing']) as \"column\", unnest([count(*) filter (where gtfs_id is null), 0]) as failures from {t}"
+    f"select '{t}' as \"table\", unnest(['gtfs_id', '_missing']) as \"column\", unnest([count(*) filter (where gtfs_id is null), count(*) filter (where gtfs_id = 'r3')]) as failures from {t}"
     for t in CORE_TABLES
 ))
 def _(feed):
-    marked = {t: feed[t].withColumn("_missing", F.lit(False)) for t in CORE_TABLES}
+    # Rows of one feed break the rule on _missing.
+    marked = {t: feed[t].withColumn("_missing", F.when(F.col("gtfs_id") != "r3", False)) for t in CORE_TABLES}
     return V.not_null_report(feed.replace(**marked))
 
 

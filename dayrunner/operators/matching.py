@@ -92,16 +92,22 @@ def _match(names: DataFrame, keys: Sequence[str], queries: DataFrame, threshold:
     )
 
 
+def _bare(key: str) -> Column:
+    """A key without its feed's prefix."""
+    return F.when(F.startswith(key, FEED), F.substring(key, F.length(FEED) + 1, F.length(key)))
+
+
 def match_stops(stops: DataFrame, queries: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Stops whose id or name resembles each query; ``queries`` has a column ``query``."""
-    names = stops.select(*STOP, F.explode(F.array("stop_id", "stop_name")).alias("name"))
+    """Stops whose id, with or without the feed's prefix, or name resembles each
+    query; ``queries`` has a column ``query``."""
+    names = stops.select(*STOP, F.explode(F.array("stop_id", _bare("stop_id"), "stop_name")).alias("name"))
     return _match(names.filter("name is not null"), STOP, queries, threshold)
 
 
 def match_routes(routes: DataFrame, queries: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Routes whose id, short or long name resembles each query."""
+    """Routes whose id, with or without the feed's prefix, short or long name resembles each query."""
     names = routes.select(
-        *ROUTE, F.explode(F.array("route_id", "route_short_name", "route_long_name")).alias("name")
+        *ROUTE, F.explode(F.array("route_id", _bare("route_id"), "route_short_name", "route_long_name")).alias("name")
     )
     return _match(names.filter("name is not null"), ROUTE, queries, threshold)
 

@@ -405,7 +405,3 @@ def translated(feed: Feed, table: str, key: str, column: str, language: str) ->
         .join(by_record, [FEED, key], "left").join(by_value, [FEED, column], "left")
         .select(FEED, key, F.coalesce("by_record", "by_value", column).alias(column))
     )
-
-
-def trips_by(feed: Feed, keys: Sequence[str]) -> DataFrame:
-    return T.trip_counts(feed, keys)

@@ -96,7 +96,7 @@ def stops_of_mode(feed: Feed, route_type: int) -> DataFrame:
     """Stops served by routes of a type."""
     routes = feed.routes.filter(F.col("route_type") == route_type)
     trips = feed.trips.select(*TRIP, "route_id").join(routes.select(*ROUTE), ROUTE, "left_semi")
-    used = feed.stop_times.select(*TRIP, "stop_id").join(trips.select(*TRIP), TRIP, "left_semi").select(*STOP)
+    used = feed.stop_times.select(*TRIP, "stop_id").join(trips.select(*TRIP), TRIP, "left_semi").select(*STOP).distinct()
     return feed.stops.join(used, STOP, "left_semi")
 
 
@@ -155,7 +155,7 @@ def geojson(parts: DataFrame) -> DataFrame:
 def stop_lines(feed: Feed) -> DataFrame:
     """Shape points out of stop coordinates for trips without a shape: the stops
     of the smallest trip id of each route and direction."""
-    bare = feed.trips.join(feed.shapes.select(*SHAPE), SHAPE, "left_anti")
+    bare = feed.trips.join(feed.shapes.select(*SHAPE).distinct(), SHAPE, "left_anti")
     samples = bare.groupBy(*ROUTE, "direction_id").agg(F.min("trip_id").alias("trip_id"))
     return (
         feed.stop_times.select(*TRIP, "stop_id", "stop_sequence")
@@ -172,7 +172,7 @@ def stop_lines(feed: Feed) -> DataFrame:
 def shapes_of_routes(feed: Feed, routes: DataFrame) -> DataFrame:
     """Shape points used by some routes."""
     used = feed.trips.select(*ROUTE, "shape_id").join(routes.select(*ROUTE), ROUTE, "left_semi")
-    return feed.shapes.join(used.select(*SHAPE), SHAPE, "left_semi")
+    return feed.shapes.join(used.select(*SHAPE).distinct(), SHAPE, "left_semi")
 
 
 def first_points(shapes: DataFrame) -> DataFrame:

@@ -144,10 +144,9 @@ def directions(feed: Feed, start: str, end: str, service_date: str, now_secs: in
 
 
 @answer("7", "36")
-def stops_near_intersection(feed: Feed, street_a: str, street_b: str, radius_m: float = 200) -> DataFrame:
-    """Stops at an intersection and those within a radius of them."""
-    places = P.stop_points(feed.stops.join(find_intersection(feed, street_a, street_b), STOP, "left_semi"))
-    return J.with_stop(P.stops_near(feed, places, radius_m).select(*STOP).distinct(), feed, ["stop_name"])
+def stops_at_intersection(feed: Feed, street_a: str, street_b: str) -> DataFrame:
+    """Stops at an intersection."""
+    return J.with_stop(find_intersection(feed, street_a, street_b).distinct(), feed, ["stop_name"])
 
 
 @answer("8")
@@ -159,7 +158,7 @@ def mid_block_stops(feed: Feed, street: str, mark: str = "MB") -> DataFrame:
 @answer("9")
 def trips_after_midnight(feed: Feed) -> DataFrame:
     """Trips with a departure after midnight, per route."""
-    late = feed.stop_times.filter(C.after_midnight("departure_secs")).select(*TRIP)
+    late = feed.stop_times.filter(C.after_midnight("departure_secs")).select(*TRIP).distinct()
     return T.trip_counts(feed.replace(trips=feed.trips.join(late, TRIP, "left_semi")), ["route_id"])
 
 
@@ -267,8 +266,9 @@ def longest_step(feed: Feed) -> DataFrame:
 
 @answer("28")
 def route_count_at(feed: Feed, stop_id: str) -> DataFrame:
-    """Number of routes at a stop id."""
-    return S.routes_per_stop(J.routes_at(feed, feed.stops.filter(F.col("stop_id") == stop_id)))
+    """Number of routes at a stop id, given with or without the feed's prefix."""
+    asked = F.col("stop_id").isin(stop_id) | (F.col("stop_id") == F.concat(FEED, F.lit(stop_id)))
+    return S.routes_per_stop(J.routes_at(feed, feed.stops.filter(asked)))
 
 
 @answer("30")
@@ -289,11 +289,9 @@ def span_of_route(feed: Feed, route: str, day: str = "saturday") -> DataFrame:
 
 
 @answer("34")
-def nearest_to_stop(feed: Feed, stop: str, k: int = 5, radius_m: float = 1000) -> DataFrame:
-    """Stops nearest to a stop."""
-    places = P.stop_points(feed.stops.join(find_stop(feed, stop), STOP, "left_semi"))
-    near = P.stops_near(feed, places, radius_m).filter("stop_id <> point_id")
-    return G.top_per(near, [FEED, "point_id"], ["metres", "stop_id"], k)
+def stops_by_name(feed: Feed, stop: str, threshold: float = 0.8) -> DataFrame:
+    """Stops whose name resembles a text."""
+    return J.with_stop(find_stops(feed, stop, threshold).distinct(), feed, ["stop_name", "stop_desc"])
 
 
 @answer("35")
@@ -401,11 +399,13 @@ def always_running(feed: Feed) -> DataFrame:
 
 @answer("54")
 def weekend_distance(feed: Feed) -> DataFrame:
-    """Distance run on weekends: total, mean per route and the longest route."""
-    totals = T.distance_totals(feed, C.WEEKEND)
+    """Known distance run on weekends: total, mean per route and the longest route."""
+    known = T.trip_distances(V.typical_feed(feed, C.WEEKEND)).filter("distance is not null")
+    totals = known.groupBy(*ROUTE).agg(F.sum("distance").alias("total_m"), F.count("*").alias("trips"))
     return totals.groupBy(FEED).agg(
         (F.sum("total_m") / 1000).alias("total_km"), F.count("*").alias("routes"), F.sum("trips").alias("trips"),
-        (F.avg("total_m") / 1000).alias("mean_km"), F.max_by("route_id", "total_m").alias("longest_route"),
+        (F.avg("total_m") / 1000).alias("mean_km"),
+        F.min_by("route_id", F.struct(-F.col("total_m"), "route_id")).alias("longest_route"),
     )
 
 
