@@ -33,7 +33,7 @@ from dayrunner.session import written
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 20
-LONG_SENTENCE = 24
+LONG_SENTENCE = 12
 CUT_ONE_IN = 8
 # A sentence ends with closing signs before white space, or at a line break.
 END = re.compile(r"[.!?]+(?=\s)|\n")
