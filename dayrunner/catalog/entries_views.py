@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dayrunner.catalog.registry import check
+from dayrunner.catalog.tools import checksum, checksum_sql
 from dayrunner.functions import columns as C
 from dayrunner.plans import views as V
 
@@ -15,10 +16,12 @@ def _(feed):
     return V.service_days(feed).withColumn("service_date", F.col("service_date").cast("string"))
 
 
-@check("c2_stop_times_norm", "C2 B7 B8", """
+@check("c2_stop_times_norm", "C2 B7 B8", f"""
     select s.gtfs_id, s.stop_id, cast(departure_secs // 86400 as bigint) as departure_day_offset,
       count(*) as events, cast(min(service_date + to_seconds(arrival_secs)) as varchar) as first_arrival_ts,
-      cast(max(service_date + to_seconds(departure_secs)) as varchar) as last_departure_ts
+      cast(max(service_date + to_seconds(departure_secs)) as varchar) as last_departure_ts,
+      {checksum_sql("s.trip_id", "s.stop_id", "stop_sequence", "arrival_secs", "departure_secs", "service_date",
+                    "service_date + to_seconds(arrival_secs)", "service_date + to_seconds(departure_secs)")} as row_sum
     from stop_times s join trips t on s.gtfs_id = t.gtfs_id and s.trip_id = t.trip_id
       join service_days d on t.gtfs_id = d.gtfs_id and t.service_id = d.service_id
     group by 1, 2, 3""")
@@ -27,13 +30,17 @@ def _(feed):
         F.count("*").alias("events"),
         F.min("arrival_ts").cast("string").alias("first_arrival_ts"),
         F.max("departure_ts").cast("string").alias("last_departure_ts"),
+        checksum("trip_id", "stop_id", "stop_sequence", "arrival_secs", "departure_secs", "service_date",
+                 "arrival_ts", "departure_ts").alias("row_sum"),
     )
 
 
-@check("c3_departures", "C3", """
+@check("c3_departures", "C3", f"""
     select s.gtfs_id, cast(service_date as varchar) as service_date, t.direction_id, r.route_type, r.agency_id,
       count(*) as departures, cast(max(service_date + to_seconds(departure_secs)) as varchar) as last_ts,
-      count(r.route_long_name) as named, count(t.shape_id) as shaped, count(s.stop_id) as stopped
+      count(r.route_long_name) as named, count(t.shape_id) as shaped, count(s.stop_id) as stopped,
+      {checksum_sql("s.stop_id", "service_date + to_seconds(departure_secs)", "departure_secs", "service_date", "s.trip_id", "t.route_id",
+                    "t.direction_id", "t.shape_id", "r.agency_id", "r.route_short_name", "r.route_long_name", "r.route_type")} as row_sum
     from stop_times s join trips t on s.gtfs_id = t.gtfs_id and s.trip_id = t.trip_id
       join service_days d on t.gtfs_id = d.gtfs_id and t.service_id = d.service_id
       join routes r on t.gtfs_id = r.gtfs_id and t.route_id = r.route_id
@@ -49,14 +56,17 @@ def _(feed):
             F.count("route_long_name").alias("named"),
             F.count("shape_id").alias("shaped"),
             F.count("stop_id").alias("stopped"),
+            checksum("stop_id", "departure_ts", "departure_secs", "service_date", "trip_id", "route_id", "direction_id", "shape_id",
+                     "agency_id", "route_short_name", "route_long_name", "route_type").alias("row_sum"),
         )
     )
 
 
-@check("c4_trip_start_times", "C4 F6", """
+@check("c4_trip_start_times", "C4 F6", f"""
     select s.gtfs_id, cast(service_date as varchar) as service_date, count(*) as trips,
       count(distinct s.first_stop) as start_stops,
-      cast(min(service_date + to_seconds(start_secs)) as varchar) as first_start
+      cast(min(service_date + to_seconds(start_secs)) as varchar) as first_start,
+      {checksum_sql("s.trip_id", "service_date", "s.first_stop", "service_date + to_seconds(start_secs)")} as row_sum
     from trip_spans s join trips t on s.gtfs_id = t.gtfs_id and s.trip_id = t.trip_id
       join service_days d on t.gtfs_id = d.gtfs_id and t.service_id = d.service_id
     group by 1, 2""")
@@ -68,6 +78,7 @@ def _(feed):
             F.count("*").alias("trips"),
             F.count_distinct("start_stop_id").alias("start_stops"),
             F.min("start_departure_ts").cast("string").alias("first_start"),
+            checksum("trip_id", "service_date", "start_stop_id", "start_departure_ts").alias("row_sum"),
         )
     )
 

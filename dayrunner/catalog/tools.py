@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,17 @@ def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in cols})
 
 
+def checksum(*cols: str) -> Column:
+    """Order-free sum over the rows' own hashes; its SQL is ``checksum_sql``."""
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
+    return F.sum(F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("bigint"))
+
+
+def checksum_sql(*exprs: str) -> str:
+    row = ", ".join(f"coalesce(cast({e} as varchar), '~')" for e in exprs)
+    return f"cast(sum(cast('0x' || substr(md5(concat_ws('|', {row})), 1, 8) as bigint)) as bigint)"
+
+
 def texts(df: DataFrame, *cols: str) -> DataFrame:
     """Dates and timestamps as text."""
     return df.withColumns({c: F.col(c).cast("string") for c in cols})
