@@ -34,7 +34,8 @@ def asked_stops(feed):
 
 MATCHED_STOPS = f"""asked as ({ASKED_STOPS}),
     named as (select distinct gtfs_id, stop_id, {norm_sql('name')} as x from (
-      select gtfs_id, stop_id, stop_id as name from stops union all select gtfs_id, stop_id, stop_name from stops)),
+      select gtfs_id, stop_id, stop_id as name from stops union all select gtfs_id, stop_id, substr(stop_id, length(gtfs_id) + 1) from stops
+      union all select gtfs_id, stop_id, stop_name from stops)),
     matched as (select query, gtfs_id, stop_id, max({score_sql(norm_sql('query'), 'x')}) as score
       from asked, named where {score_sql(norm_sql('query'), 'x')} >= 0.8 - 1e-9 group by 1, 2, 3)"""
 
@@ -55,7 +56,8 @@ def _(feed):
 @check("n1_fuzzy_routes", "N1", f"""
     with asked as (select distinct replace(n_name, 'NATION_', 'Nations ') || ' (loop)' as query from nation),
     named as (select distinct gtfs_id, route_id, {norm_sql('name')} as x from (
-      select gtfs_id, route_id, route_id as name from routes union all select gtfs_id, route_id, route_short_name from routes
+      select gtfs_id, route_id, route_id as name from routes
+      union all select gtfs_id, route_id, substr(route_id, length(gtfs_id) + 1) from routes union all select gtfs_id, route_id, route_short_name from routes
       union all select gtfs_id, route_id, route_long_name from routes where route_long_name is not null))
     select query, gtfs_id, route_id, round(max({score_sql(norm_sql('query'), 'x')}), 6) as score
     from asked, named where {score_sql(norm_sql('query'), 'x')} >= 0.7 - 1e-9 group by 1, 2, 3""")
@@ -284,7 +286,15 @@ def _(feed):
     return texts(used.join(V.agency_lookup(feed), ["gtfs_id", "agency_id"]), "feed_start_date", "feed_end_date")
 
 
-@check("v6_local_time", "V6")
+INSTANT = "2024-03-05 12:34:56"
+
+
+@check("v6_local_time", "V6", f"""
+    select gtfs_id, agency_id, agency_timezone, cast(at_home as varchar) as now,
+      cast(date_part('epoch', at_home - date_trunc('day', at_home)) as integer) as now_secs, dayname(at_home) as weekday
+    from (select distinct a.gtfs_id, a.agency_id, agency_timezone, timestamptz '{INSTANT}+00' at time zone agency_timezone as at_home
+      from agency a join routes r on a.gtfs_id = r.gtfs_id and a.agency_id = r.agency_id)""")
 def _(feed):
     used = feed.routes.select("gtfs_id", "agency_id").distinct()
-    return V.local_now(feed).join(used, ["gtfs_id", "agency_id"]).withColumn("now", F.col("now").cast("string"))
+    local = V.local_now(feed, F.lit(INSTANT).cast("timestamp"))
+    return local.join(used, ["gtfs_id", "agency_id"]).withColumn("now", F.col("now").cast("string"))

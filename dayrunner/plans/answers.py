@@ -291,7 +291,7 @@ def span_of_route(feed: Feed, route: str, day: str = "saturday") -> DataFrame:
 @answer("34")
 def stops_by_name(feed: Feed, stop: str, threshold: float = 0.8) -> DataFrame:
     """Stops whose name resembles a text."""
-    return J.with_stop(find_stops(feed, stop, threshold).distinct(), feed, ["stop_name", "stop_desc"])
+    return J.with_stop(find_stops(feed, stop, threshold).distinct(), feed, ["stop_name"])
 
 
 @answer("35")
