@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from dayrunner.feed import Feed
 from dayrunner.functions import columns as C
-from dayrunner.functions.ordered import positions
 from dayrunner.plans import views as V
 from dayrunner.plans.views import FEED, ROUTE, SERVICE, STOP, TRIP
 
@@ -89,72 +88,30 @@ def routes_without(feed: Feed, what: str) -> DataFrame:
 
 # --- route connectivity ----------------------------------------------------
 
-def _set_bits(maps: DataFrame) -> DataFrame:
-    """One row per set bit of each 4096-byte bitmap: non-zero words, bytes, bits."""
-    words = maps.select(
-        *ROUTE, "bucket",
-        F.explode(F.expr(
-            "filter(transform(sequence(0, 511), i -> struct(i as i, substr(map, 8 * i + 1, 8) as w)),"
-            " x -> x.w <> X'0000000000000000')"
-        )).alias("x"),
-    )
-    byte = lambda k: f"cast(conv(hex(substr(x.w, {k + 1}, 1)), 16, 10) as int)"
-    octets = words.selectExpr(
-        *ROUTE, "bucket", "x.i as i", f"posexplode(array({', '.join(byte(k) for k in range(8))})) as (k, b)"
-    ).filter("b > 0")
-    return octets.selectExpr(
-        *ROUTE, "bucket",
-        "explode(filter(array(0, 1, 2, 3, 4, 5, 6, 7), j -> (shiftright(b, j) & 1) = 1)) as j", "i", "k",
-    ).selectExpr(*ROUTE, "bucket", "cast((i * 8 + k) * 8 + j as bigint) as bit")
-
+def _telling_stops(served: DataFrame) -> DataFrame:
+    """(route, stop) of one stop for every set of routes that share a stop.
 
-def _numbered_routes(served: DataFrame) -> DataFrame:
-    """Dense number per route within its feed, split into bitmap buckets.
-
-    Routes are ranked by hash in 64 slices, so one huge feed is spread out.
+    Stops that the same routes serve connect the same routes, so one of them
+    tells all. Two 64-bit sums and the size identify a set.
     """
-    routes = served.select(*ROUTE).distinct().withColumn("_hash", F.xxhash64("route_id"))
-    return positions(routes, [FEED], "_hash", "route_no", width=2**58).select(
-        *ROUTE,
-        F.bitmap_bucket_number("route_no").alias("bucket"),
-        F.bitmap_bit_position("route_no").alias("bit"),
-    )
+    h = F.xxhash64("route_id")
+    sets = served.groupBy(*STOP).agg(
+        F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("h1"), F.sum(F.shiftrightunsigned(h, 32)).alias("h2"), F.count("*").alias("n"))
+    chosen = sets.groupBy(FEED, "h1", "h2", "n").agg(F.min("stop_id").alias("stop_id"))
+    return served.join(chosen.select(*STOP), STOP, "left_semi")
 
 
-def _connection_maps(served: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per route: bitmap of all routes met at its stops (itself included).
-
-    Route pairs are never enumerated: each stop holds one bitmap of its routes,
-    and a route's bitmap is the OR over its stops, combined before the shuffle.
-    """
-    numbered = _numbered_routes(served)
-    located = served.join(numbered, ROUTE)
-    at_stop = located.groupBy(*STOP, "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
-    maps = (
-        served.join(at_stop, STOP)
-        .groupBy(*ROUTE, "bucket")
-        .agg(F.bitmap_or_agg("map").alias("map"))
-    )
-    return maps, numbered
+def connections(served: DataFrame) -> DataFrame:
+    """All (route, connected route) pairs, each exactly once per direction."""
+    return connections_from(served, _telling_stops(served)).select(
+        FEED, F.col("from_route_id").alias("route_id"), F.col("route_id").alias("connected_route_id"))
 
 
 def connection_counts(served: DataFrame) -> DataFrame:
     """Number of other routes that share a stop with each route."""
-    maps, _ = _connection_maps(served)
-    return maps.groupBy(*ROUTE).agg(
-        (F.sum(F.bitmap_count("map")) - 1).cast("bigint").alias("connections")
-    )
-
-
-def connections(served: DataFrame) -> DataFrame:
-    """All (route, connected route) pairs, each exactly once per direction."""
-    maps, numbered = _connection_maps(served)
-    names = numbered.select(FEED, F.col("route_id").alias("connected_route_id"), "bucket", "bit")
-    return (
-        _set_bits(maps).join(names, [FEED, "bucket", "bit"])
-        .filter("route_id <> connected_route_id")
-        .select(*ROUTE, "connected_route_id")
-    )
+    found = connections(served).groupBy(*ROUTE).agg(F.count("*").alias("connections"))
+    return served.select(*ROUTE).distinct().join(found, ROUTE, "left").select(
+        *ROUTE, F.coalesce("connections", F.lit(0).cast("bigint")).alias("connections"))
 
 
 def connections_from(served: DataFrame, chosen: DataFrame) -> DataFrame:
