@@ -38,7 +38,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_dedup(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), words=2, percent=80).drop("n_links")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
