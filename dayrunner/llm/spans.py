@@ -106,9 +106,13 @@ def all_runs(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> D
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Occurrences of runs that occur more than once: doc_id, at, h1, first."""
-    found = written(all_runs(docs, least_words, id_col, text_col))
-    counted = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("doc_id").alias("first_id")).filter("times > 1")
-    return found.join(counted, ["h1", "h2"]).select(
+    found = all_runs(docs, least_words, id_col, text_col)
+    # One half of the hash tells the runs that may repeat; most don't, and only
+    # the others are looked at whole.
+    often = found.groupBy("h1").agg(F.count("*").alias("times")).filter("times > 1").select("h1")
+    near = written(found.join(often.hint("merge"), "h1"))
+    counted = near.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("doc_id").alias("first_id")).filter("times > 1")
+    return near.join(counted.hint("merge"), ["h1", "h2"]).select(
         "doc_id", "at", "h1", ((F.col("doc_id") == F.col("first_id")) & ~F.col("again")).alias("first"))
 
 
