@@ -12,9 +12,8 @@ one class from the start. Classes that share a band are a bucket:
 3. in buckets that hold several components after that, members outside the least
    member's component are held against all members of other components. So no
    candidate pair is left out, and pairs inside a component are never listed.
-   Here a pair must also share one of the rarest shingles of both sets, of which
-   any pair of the similarity shares one; texts that only have a common passage
-   alike don't, however many they are.
+   Here the full sets are compared inside the join, so that of a large group that
+   is alike below the similarity no pair is listed.
 
 A candidate must first agree in its signature (two bits of each minimum; a pair
 of similarity 0.8 fails once in some 10^8) and in set size. Links are confirmed
@@ -153,21 +152,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _prefixes(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """node and its set's rarest shingles, so many that two sets of the similarity share one.
-
-    Sets of sizes up to n that reach it share ``percent`` of n at least; rarity is
-    the count among these nodes, ties go by hash.
-    """
-    chosen = sets.join(nodes, sets.doc_id == nodes.node).select(
-        "node", F.size("hashes").alias("n"), F.xxhash64("hashes").alias("of_set"), F.explode("hashes").alias("h"))
-    counts = chosen.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = F.array_sort(F.collect_list(F.struct("df", "h")))
-    length = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1
-    return chosen.join(counts, "h").groupBy("node", "n", "of_set").agg(ranked.alias("ranked")) \
-        .select("node", F.transform(F.slice("ranked", F.lit(1), length), lambda s: s["h"]).alias("rarest"))
-
-
 def _alike(percent: int) -> Column:
     """The signatures of x and y agree and their set sizes allow the similarity."""
     differing = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(5)), F.lit(0))
@@ -228,18 +212,18 @@ def near_dedup(
         wide.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min(F.struct("node", "c"))["c"].alias("lead_c"))
         .filter("c1 <> c2").select("key", "lead_c")
     )
-    open_members = wide.join(mixed, "key")
-    rarest = written(_prefixes(sets, open_members.select("node").distinct(), percent))
-    open_members = written(open_members.join(heads, "node").join(rarest, "node"))
+    open_members = written(
+        wide.join(mixed, "key").join(heads, "node").join(sets.withColumnRenamed("doc_id", "node").hint("merge"), "node"))
     x, y = open_members.filter("c <> lead_c").alias("x"), open_members.alias("y")
     apart = (F.col("x.c") != F.col("y.c")) & (F.col("y.node") != F.col("y.lead")) \
         & ((F.col("y.c") == F.col("y.lead_c")) | (F.col("x.node") < F.col("y.node")))
-    # A pair that shares several buckets is listed in one of them.
+    # A pair that shares several buckets is compared in one of them.
     once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")
-    akin = F.arrays_overlap("x.rarest", "y.rarest")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _alike(percent) & akin & once) \
+    shared = F.size(F.array_intersect("x.hashes", "y.hashes"))
+    linked_sets = (100 + percent) * shared >= percent * (F.size("x.hashes") + F.size("y.hashes"))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _alike(percent) & once & linked_sets) \
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    linked = linked.unionByName(confirmed(rest))
+    linked = linked.unionByName(rest.distinct())
 
     # An id that repeats with different texts belongs to several classes.
     linked = written(linked.unionByName(member.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")))
