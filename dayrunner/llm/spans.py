@@ -8,7 +8,8 @@ all documents. The first occurrence of a run is that in the document with the
 smallest id, and the first there; sentences covered by any other occurrence are
 removed.
 
-The runs of a passage that a third of all documents share meet only in a count
+A run that a document repeats travels once. The runs of a passage that a third
+of all documents share meet only in a count
 and a minimum that combine before the shuffle, and in a join that skew splitting
 may divide.
 
@@ -21,6 +22,7 @@ the text are not compared. An empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -83,37 +85,37 @@ def runs(found: list[tuple[int, int, list[str]]], least_words: int) -> list[tupl
     return out
 
 
-RUN = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("again", pa.bool_())])
+RUN = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("times", pa.int32())])
 
 
 def all_runs(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> DataFrame:
-    """Every run of every document: doc_id, at, h1, h2, again (met before in this text)."""
+    """The runs of every document, each once: doc_id, h1, h2, times."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in RUN]
+            ids, first, second, times = columns = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen: set[tuple[int, int]] = set()
-                for at, _, h1, h2 in runs(sentences(text), least_words):
-                    for column, value in zip(columns, (doc_id, at, h1, h2, (h1, h2) in seen), strict=True):
-                        column.append(value)
-                    seen.add((h1, h2))
+                held = Counter((h1, h2) for _, _, h1, h2 in runs(sentences(text), least_words))
+                ids += [doc_id] * len(held)
+                first += [h1 for h1, _ in held]
+                second += [h2 for _, h2 in held]
+                times += held.values()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, RUN.types, strict=True)], schema=RUN)
 
     return id_and_text(docs, id_col, text_col).filter("doc_id is not null") \
-        .mapInArrow(cut, "doc_id long, at int, h1 long, h2 long, again boolean")
+        .mapInArrow(cut, "doc_id long, h1 long, h2 long, times int")
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Occurrences of runs that occur more than once: doc_id, at, h1, first."""
-    found = all_runs(docs, least_words, id_col, text_col)
+    """Runs that occur more than once, by document: doc_id, h1, h2, first (the document has the first of all)."""
+    found = written(all_runs(docs, least_words, id_col, text_col))
     # One half of the hash tells the runs that may repeat; most don't, and only
     # the others are looked at whole.
-    often = found.groupBy("h1").agg(F.count("*").alias("times")).filter("times > 1").select("h1")
+    often = found.groupBy("h1").agg(F.sum("times").alias("times")).filter("times > 1").select("h1")
     near = written(found.join(often.hint("merge"), "h1"))
-    counted = near.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("doc_id").alias("first_id")).filter("times > 1")
+    counted = near.groupBy("h1", "h2").agg(F.sum("times").alias("all_times"), F.min("doc_id").alias("first_id")).filter("all_times > 1")
     return near.join(counted.hint("merge"), ["h1", "h2"]).select(
-        "doc_id", "at", "h1", ((F.col("doc_id") == F.col("first_id")) & ~F.col("again")).alias("first"))
+        "doc_id", "h1", "h2", (F.col("doc_id") == F.col("first_id")).alias("first"))
 
 
 def dedup_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,7 +126,7 @@ def dedup_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "
     """
     prepared(docs.sparkSession)
     marks = repeated_runs(docs, least_words, id_col, text_col).groupBy(F.col("doc_id").alias("of_id")) \
-        .agg(F.collect_list(F.struct("at", "h1", "first")).alias("marks"))
+        .agg(F.collect_list(F.struct("h1", "h2", "first")).alias("marks"))
     rows = id_and_text(docs, id_col, text_col)
     # Marks grow with the corpus: neither side is broadcast.
     marked = rows.join(marks.hint("merge"), rows.doc_id == marks.of_id, "left").select("doc_id", "text", "marks")
@@ -135,14 +137,17 @@ def dedup_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "
         for batch in batches:
             out = []
             for doc_id, text, marks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                wanted = {(m["at"], m["h1"]): m["first"] for m in marks or ()}
+                # Only the first occurrence in the first document stays.
+                wanted = {(m["h1"], m["h2"]): m["first"] for m in marks or ()}
                 found = sentences(text) if wanted else []
                 repeated, removed = set(), set()
-                for at, size, h1, _ in runs(found, least_words):
-                    first = wanted.get((at, h1))
+                for at, size, h1, h2 in runs(found, least_words):
+                    first = wanted.get((h1, h2))
                     if first is not None:
                         repeated.update(range(at, at + size))
-                        if not first:
+                        if first:
+                            wanted[h1, h2] = False
+                        else:
                             removed.update(range(at, at + size))
                 kept, last = [], 0
                 for k in sorted(removed):
