@@ -40,7 +40,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDED = {"email": "@", "ip": ".", "phone": "+"}
-PART_255 = r"0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+# Any number of zeros, then nothing or a number without leading zeros.
+PART_255 = r"(?=[0-9])0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?+"
 IP_VALID = rf"^{PART_255}(?:\.{PART_255}){{3}}$"
 
 # Identifier-like words, and what a context is made of.

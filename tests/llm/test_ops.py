@@ -328,6 +328,18 @@ def test_personal_data_base_spans_equal_brute_force(docs_of, odd):
     assert pii.digests(pii.find(odd)).count() == 12
 
 
+def test_personal_data_addresses_with_zero_parts(docs_of):
+    random = np.random.default_rng(10)
+    texts = ["10.0.0.1", "0.0.0.0", "127.0.0.1", "1.2.3.00", "000256.1.1.1", "000255.1.1.1", "1.0.0.256", "1.2.3.0000", "8.8.8.8", "1..0.0.1"]
+    texts += [".".join("".join(random.choice(list("00125"), random.integers(1, 5))) for _ in range(4)) for _ in range(200)]
+    got = by_id(pii.digests(pii.find(docs_of([(i, f"host {t} up", "en", "s") for i, t in enumerate(texts)]))))
+    for i, text in enumerate(texts):
+        names = base_names(f"host {text} up")
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest(), text
+        assert got[i]["n_ip"] == len(names)
+    assert [got[i]["n_ip"] for i in range(10)] == [1, 1, 1, 1, 0, 1, 0, 1, 1, 0]
+
+
 def test_personal_data_contexts_find_what_patterns_miss(docs_of, none):
     known = [(i, f"text here contact: user{i}@mail.example.com and more", "en", "s") for i in range(30)]
     unseen = [(100, "text here contact: user_at_mail99 and more", "en", "s"), (101, "the code user_at_mail99 again", "en", "s"),
