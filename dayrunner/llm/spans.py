@@ -1,8 +1,8 @@
 """Substring dedup: runs of consecutive sentences that occur before are removed.
 
 A text is cut into sentences at sentence ends and line breaks; a long sentence is
-cut on after words picked by their own hash, so that a passage is cut alike
-wherever it stands. From every sentence a run goes on until it has at least two
+cut on after the word with the least hash of every few consecutive ones, so that a
+passage is cut alike wherever it stands, and no stretch stays without a cut. From every sentence a run goes on until it has at least two
 sentences and LEAST_WORDS words. Runs are hashed with 128 bits and counted over
 all documents. The first occurrence of a run is that in the document with the
 smallest id, and the first there; sentences covered by any other occurrence are
@@ -24,7 +24,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,35 +38,73 @@ from dayrunner.session import written
 LEAST_SENTENCES = 2
 LEAST_WORDS = 20
 LONG_SENTENCE = 12
-CUT_ONE_IN = 8
+# Every stretch of so many words of a long sentence holds a cut. A passage of
+# LEAST_WORDS + 4 * CUT_WINDOW - 3 words, here 49, is certain to hold a run.
+CUT_WINDOW = 8
 # A sentence ends with closing signs before white space, or at a line break.
 END = re.compile(r"[.!?]+(?=\s)|\n")
 WORD = re.compile(r"\S+")
 
 
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of every sentence or part of a long one."""
-    out = []
+class _Ranks(dict):
+    """Hashes of words, kept while there is room."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        rank = self[word] = xxhash.xxh32_intdigest(word)
+        return rank
+
+
+_ranks = _Ranks()
+
+
+def cuts(texts: list[list[str]]) -> list[list[int]]:
+    """For each list of words, the places after which it is cut: the word with the
+    least hash of every CUT_WINDOW consecutive words, the last of equal ones."""
+    sizes = [len(words) for words in texts]
+    total = sum(sizes)
+    if total < CUT_WINDOW:
+        return [[] for _ in texts]
+    ranks = np.fromiter(map(_ranks.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=total)
+    least = (ranks << np.uint64(32)) | np.arange(2**32 - 1, 2**32 - 1 - total, -1, dtype=np.uint64)
+    width = 1
+    while width < CUT_WINDOW:
+        step = min(width, CUT_WINDOW - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    inside = of[:len(least)] == of[CUT_WINDOW - 1:]
+    places = np.unique(np.uint64(2**32 - 1) - (least[inside] & np.uint64(2**32 - 1))).astype(np.int64)
+    starts = np.cumsum([0, *sizes])
+    edges = np.searchsorted(places, starts).tolist()
+    local = (places - starts[of[places]]).tolist()
+    return [local[a:b] for a, b in pairwise(edges)]
+
+
+def sentences(text: str, placed: bool = True) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of every sentence or part of a long one; parts have no places unless ``placed``."""
+    found = []
     ends = [m.end() for m in END.finditer(text)]
     for at, end in zip([0, *ends], [*ends, len(text)], strict=True):
         piece = text[at:end]
         words = piece.split()
-        if not words:
-            continue
-        at += len(piece) - len(piece.lstrip())
-        end -= len(piece) - len(piece.rstrip())
-        if len(words) <= LONG_SENTENCE:
+        if words:
+            found.append((at + len(piece) - len(piece.lstrip()), end - len(piece) + len(piece.rstrip()), words))
+    long = iter(cuts([words for *_, words in found if len(words) > LONG_SENTENCE]))
+    out = []
+    for at, end, words in found:
+        places = next(long) if len(words) > LONG_SENTENCE else ()
+        if not places:
             out.append((at, end, words))
             continue
-        start, part = None, []
-        for word in WORD.finditer(text, at, end):
-            start = word.start() if start is None else start
-            part.append(word.group())
-            if xxhash.xxh32_intdigest(part[-1]) % CUT_ONE_IN == 0:
-                out.append((start, word.end(), part))
-                start, part = None, []
-        if part:
-            out.append((start, end, part))
+        spots = [m.span() for m in WORD.finditer(text, at, end)] if placed else [(0, 0)] * len(words)
+        first = 0
+        for place in places:
+            out.append((spots[first][0], spots[place][1], words[first:place + 1]))
+            first = place + 1
+        if first < len(words):
+            out.append((spots[first][0], end, words[first:]))
     return out
 
 
@@ -95,7 +135,7 @@ def all_runs(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> D
         for batch in batches:
             ids, first, second, times = columns = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = Counter((h1, h2) for _, _, h1, h2 in runs(sentences(text), least_words))
+                held = Counter((h1, h2) for _, _, h1, h2 in runs(sentences(text, placed=False), least_words))
                 ids += [doc_id] * len(held)
                 first += [h1 for h1, _ in held]
                 second += [h2 for _, h2 in held]

@@ -378,6 +378,17 @@ def test_repeated_passages_go_but_for_the_first(docs_of):
     assert all(got[i]["text"] == texts[i] for i in range(7, 17))
 
 
+def test_every_unpunctuated_passage_of_51_words_holds_a_common_run():
+    def keys(words):
+        return {(h1, h2) for *_, h1, h2 in spans.runs(spans.sentences(" ".join(words)), spans.LEAST_WORDS)}
+
+    for k in range(1000):
+        passage, around = prose(10_000 + k, 51), prose(20_000 + k, 120)
+        assert keys(around[:30] + passage + around[30:60]) & keys(around[60:60 + k % 20] + passage + around[90:]), k
+        passage[k % 49 + 1] += "."
+        assert keys(around[:30] + passage + around[30:60]) & keys(around[60:60 + k % 20] + passage + around[90:]), k
+
+
 def test_spans_defined_cases(odd, none):
     rows = spans.dedup_spans(odd).collect()
     assert len(rows) == 12
