@@ -2,7 +2,8 @@
 
 A text is cut into sentences at sentence ends and line breaks; a long sentence is
 cut on after the word with the least hash of every few consecutive ones, so that a
-passage is cut alike wherever it stands, and no stretch stays without a cut. From every sentence a run goes on until it has at least two
+passage is cut alike wherever it stands, and no stretch stays without a cut. In
+scripts without spaces, each sign is a word for that, of less length. From every sentence a run goes on until it has at least two
 sentences and LEAST_WORDS words. Runs are hashed with 128 bits and counted over
 all documents. The first occurrence of a run is that in the document with the
 smallest id, and the first there; sentences covered by any other occurrence are
@@ -41,9 +42,21 @@ LONG_SENTENCE = 12
 # Every stretch of so many words of a long sentence holds a cut. A passage of
 # LEAST_WORDS + 4 * CUT_WINDOW - 3 words, here 49, is certain to hold a run.
 CUT_WINDOW = 8
-# A sentence ends with closing signs before white space, or at a line break.
-END = re.compile(r"[.!?]+(?=\s)|\n")
+# Signs of scripts written without spaces are words of their own, and count as a
+# half (ideographs, kana and full-width signs) or a quarter (Thai, Lao, Myanmar,
+# Khmer and their like) of a word.
+HALVES = "\u3001-\u303f\u3040-\u30ff\u3105-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U0001b000-\U0001b16f\U00020000-\U000323af"
+QUARTERS = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\ua9e0-\ua9ff\uaa60-\uaadf"
+UNSPACED = re.compile(f"[{HALVES}{QUARTERS}]")
+QUARTER = re.compile(f"[{QUARTERS}]")
+# The least of these signs and all above them: quicker to look for.
+HIGH = re.compile("[\u0e00-\U0010ffff]")
+# A sentence ends with closing signs before white space, with a full stop of
+# another script whatever follows, or at a line break.
+STOPS = "\u3002\uff01\uff1f\uff61\u0964\u0965\u061f\u06d4\u1362\u1367\u1368\u104a\u104b\u17d4\u17d5\u0f0d\u0f0e"
+END = re.compile(rf"[.!?\n{STOPS}](?:(?<=\n)|(?<=[{STOPS}])[{STOPS}]*|(?<=[.!?])[.!?]*(?=\s))")
 WORD = re.compile(r"\S+")
+SIGN_OR_WORD = re.compile(rf"[{HALVES}{QUARTERS}]|[^\s{HALVES}{QUARTERS}]+")
 
 
 class _Ranks(dict):
@@ -82,13 +95,19 @@ def cuts(texts: list[list[str]]) -> list[list[int]]:
     return [local[a:b] for a, b in pairwise(edges)]
 
 
+def unspaced(text: str) -> bool:
+    """Whether there is a sign of a script written without spaces."""
+    return not text.isascii() and HIGH.search(text) is not None and UNSPACED.search(text) is not None
+
+
 def sentences(text: str, placed: bool = True) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of every sentence or part of a long one; parts have no places unless ``placed``."""
+    word = SIGN_OR_WORD if unspaced(text) else WORD
     found = []
     ends = [m.end() for m in END.finditer(text)]
     for at, end in zip([0, *ends], [*ends, len(text)], strict=True):
         piece = text[at:end]
-        words = piece.split()
+        words = piece.split() if word is WORD else word.findall(piece)
         if words:
             found.append((at + len(piece) - len(piece.lstrip()), end - len(piece) + len(piece.rstrip()), words))
     long = iter(cuts([words for *_, words in found if len(words) > LONG_SENTENCE]))
@@ -98,7 +117,7 @@ def sentences(text: str, placed: bool = True) -> list[tuple[int, int, list[str]]
         if not places:
             out.append((at, end, words))
             continue
-        spots = [m.span() for m in WORD.finditer(text, at, end)] if placed else [(0, 0)] * len(words)
+        spots = [m.span() for m in word.finditer(text, at, end)] if placed else [(0, 0)] * len(words)
         first = 0
         for place in places:
             out.append((spots[first][0], spots[place][1], words[first:place + 1]))
@@ -108,16 +127,23 @@ def sentences(text: str, placed: bool = True) -> list[tuple[int, int, list[str]]
     return out
 
 
+def quarters(words: list[str], joined: str) -> int:
+    """The length of a sentence in quarters of a word."""
+    if not unspaced(joined):
+        return 4 * len(words)
+    return sum(4 if not UNSPACED.match(w) else 1 if QUARTER.match(w) else 2 for w in words)
+
+
 def runs(found: list[tuple[int, int, list[str]]], least_words: int) -> list[tuple[int, int, int, int]]:
     """(first sentence, number of sentences, two halves of the hash) of every run."""
     joined = [" ".join(words) for _, _, words in found]
-    sizes = [len(words) for _, _, words in found]
-    out, end, held = [], 0, 0
+    sizes = [quarters(words, text) for (_, _, words), text in zip(found, joined, strict=True)]
+    least, out, end, held = 4 * least_words, [], 0, 0
     for at in range(len(found)):
-        while end < len(found) and (end - at < LEAST_SENTENCES or held < least_words):
+        while end < len(found) and (end - at < LEAST_SENTENCES or held < least):
             held += sizes[end]
             end += 1
-        if end - at < LEAST_SENTENCES or held < least_words:
+        if end - at < LEAST_SENTENCES or held < least:
             break
         h = xxhash.xxh3_128_intdigest("\n".join(joined[at:end]))
         out.append((at, end - at, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)))
@@ -194,7 +220,7 @@ def dedup_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "
                     start, end, _ = found[k]
                     kept.append(text[last:start])
                     last = end
-                words = sum(len(found[k][2]) for k in removed)
+                words = sum(quarters(found[k][2], " ".join(found[k][2])) for k in removed) // 4
                 out.append((doc_id, "".join(kept) + text[last:], len(repeated), len(removed), words))
             columns = list(zip(*out, strict=True)) or [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)

@@ -389,6 +389,28 @@ def test_every_unpunctuated_passage_of_51_words_holds_a_common_run():
         assert keys(around[:30] + passage + around[30:60]) & keys(around[60:60 + k % 20] + passage + around[90:]), k
 
 
+def test_repeated_passages_of_scripts_without_spaces_go(docs_of):
+    random = np.random.default_rng(12)
+
+    def signs(low, high, n, stop=""):
+        return "".join(chr(c) for c in random.integers(low, high, n)) + stop
+
+    chinese = "".join(signs(0x4E00, 0x9FA5, 25, "\u3002") for _ in range(8))
+    unbroken = signs(0x4E00, 0x9FA5, 102)
+    thai = signs(0x0E01, 0x0E2F, 204)
+    hindi = "".join(" ".join(signs(0x0915, 0x0939, 4) for _ in range(9)) + "\u0964" for _ in range(6))
+    texts = [signs(0x4E00, 0x9FA5, 40) + p + signs(0x4E00, 0x9FA5, 40) for p in (chinese, unbroken, thai, hindi) for _ in range(3)]
+    short = signs(0x4E00, 0x9FA5, 30)
+    texts += [signs(0x4E00, 0x9FA5, 40) + short + signs(0x4E00, 0x9FA5, 40) for _ in range(2)]
+    got = by_id(spans.dedup_spans(docs_of([(i, t, "zh", "s") for i, t in enumerate(texts)])))
+    for i, text in enumerate(texts):
+        if i % 3 == 0 or i >= 12:
+            assert got[i]["text"] == text and got[i]["n_removed"] == 0
+        else:
+            assert got[i]["removed_words"] >= spans.LEAST_WORDS and len(got[i]["text"]) <= len(text) - 40
+    assert all(chinese[30:-30] not in got[i]["text"] and got[i]["removed_words"] >= 90 for i in (1, 2))
+
+
 def test_spans_defined_cases(odd, none):
     rows = spans.dedup_spans(odd).collect()
     assert len(rows) == 12
