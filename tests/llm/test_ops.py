@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -435,6 +436,21 @@ def test_licences_are_named_and_others_left(docs_of, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_wrapped_notices_are_named_once(docs_of):
+    bsd, mit = licenses.TEMPLATES["bsd"][0], licenses.TEMPLATES["mit"][2]
+    rows, wanted = [], []
+    for family, text in (("bsd", bsd), ("mit", mit)):
+        for width, mark in ((70, ""), (55, " * "), (40, "# "), (20, "// "), (12, "")):
+            lines = textwrap.wrap(text, width)
+            rows.append((len(rows), "\n".join([" ".join(prose(len(rows), 9)) + ".", *[mark + x for x in lines], " ".join(prose(len(rows) + 50, 9))]), "en", "s"))
+            wanted.append([family])
+    rows += [(100 + i, "\n".join(" ".join(prose(i + 300 + k, 9)) for k in range(9)), "en", "s") for i in range(20)]
+    got = by_id(licenses.scan(docs_of(rows)))
+    assert [[s["family"] for s in got[i]["licences"]] for i in range(len(wanted))] == wanted
+    assert all(got[i]["n_unknown"] == 0 for i in range(len(wanted)))
+    assert all(not got[100 + i]["licences"] for i in range(20))
+
+
 def test_every_confirmable_paragraph_has_an_anchor():
     held = set(licenses.anchors())
     for texts in licenses.TEMPLATES.values():
