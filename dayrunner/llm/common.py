@@ -9,6 +9,9 @@ from dayrunner.session import configure
 
 # Rows handed to Python at once; texts can be very long.
 BATCH_ROWS = 256
+# The same where most rows are short, and the bytes at which a batch ends.
+BATCH_SHORT_ROWS = 16_384
+BATCH_BYTES = 1 << 22
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -18,6 +21,14 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def prepared_for_rows(spark: SparkSession) -> SparkSession:
+    """Like ``prepared``, for many short rows beside long texts: batches are bounded by bytes."""
+    prepared(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_SHORT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

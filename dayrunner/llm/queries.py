@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayrunner.llm import bpe, exact_dedup, langid, licenses, minhash, mixing, partitions, pii, quality, spans
+from dayrunner.llm import (
+    bpe,
+    collocations,
+    contexts,
+    exact_dedup,
+    fim,
+    langid,
+    licenses,
+    minhash,
+    mixing,
+    partitions,
+    pii,
+    quality,
+    spans,
+)
 from dayrunner.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,15 +73,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, labels))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexts.score(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_licences, op2_mixing, op3_learned_partitions, op4_personal_data, op5_byte_bpe, op6_minhash, op7_language_id,
-        op8_sentence_spans, op9_exact_dedup, op10_quality,
+        op8_sentence_spans, op9_exact_dedup, op10_quality, op11_collocations, op12_context_tree, op13_fill_in_middle,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.oracle(),
+    "op11_collocations": collocations.oracle(),
+    "op13_fill_in_middle": fim.oracle(),
     "op9_exact_dedup": """
         with d as (
             select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm from documents
