@@ -26,12 +26,14 @@ names.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,12 +44,18 @@ from dayrunner.session import written
 DEPTH = 4
 END = b"\xff"  # no byte of UTF-8; stands for the end of a text, and for what is before it
 BLOCK_BYTES = 24_000_000
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 20
+PART_TEXTS = 4_096
+PACK_LEVEL = 3
 SOLVED_ROWS = 1 << 20
 TOP_BYTES = 2
 LOG_HALF = np.log(0.5)
 
-DEALT = "block long, doc_id long, learned boolean, text string, pair long, word binary, n long"
+DEALT = "block long, ids array<long>, learned array<boolean>, sizes array<long>, blob binary, pair long, word binary, n long"
+KINDS = {
+    "block": pa.int64(), "ids": pa.list_(pa.int64()), "learned": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "blob": pa.binary(),
+    "pair": pa.int64(), "word": pa.binary(), "n": pa.int64(),
+}
 
 
 # --- pairs of context and byte ------------------------------------------------
@@ -65,60 +73,75 @@ def pairs_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return (pair << 8 | data[depth:])[wanted - depth], np.cumsum(sizes) - sizes
 
 
-def dealt(docs: DataFrame, depth: int, rest: int, modulo: int) -> DataFrame:
-    """A written table: texts with their block, and each block's distinct pairs and words."""
+class Block:
+    """Distinct pairs and words of the texts of one block, with their training counts."""
+
+    def __init__(self, number: int, depth: int):
+        self.number, self.depth, self.size = number, depth, 0
+        self.pairs, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words: Counter[bytes] = Counter()
 
-    def block_rows(block: int, ids: list, learned: list[bool], texts: list[str]) -> Iterator[pa.RecordBatch]:
-        def rows(many: int, **columns: pa.Array) -> pa.RecordBatch:
-            kinds = {"block": pa.int64(), "doc_id": pa.int64(), "learned": pa.bool_(), "text": pa.string(), "pair": pa.int64(), "word": pa.binary(), "n": pa.int64()}
-            full = {"block": pa.array(np.full(many, block)), **columns}
-            return pa.RecordBatch.from_arrays([full.get(name, pa.nulls(many, kind)) for name, kind in kinds.items()], names=list(kinds))
+    def rows(self, many: int, **columns: pa.Array) -> pa.RecordBatch:
+        full = {"block": pa.array(np.full(many, self.number)), **columns}
+        return pa.RecordBatch.from_arrays([full.get(name, pa.nulls(many, kind)) for name, kind in KINDS.items()], names=list(KINDS))
 
-        yield rows(len(ids), doc_id=pa.array(ids, pa.int64()), learned=pa.array(learned), text=pa.array(texts, pa.string()))
-        pairs, counts, words = np.zeros(0, np.int64), np.zeros(0, np.int64), {}
+    def bundle(self, ids: list, learned: list[bool], raw: list[bytes]) -> pa.RecordBatch:
+        """Count these texts; they go on as one packed row."""
         for taught in (True, False):
-            raw = [t.encode().lower() for t, is_taught in zip(texts, learned, strict=True) if is_taught is taught]
-            for part in parts_of(raw):
-                found, times = np.unique(pairs_of(part, depth)[0], return_counts=True)
-                pairs, counts = added(pairs, counts, found, times if taught else times * 0)
-                for t in part:
-                    for w in t.split():
-                        words[w] = words.get(w, 0) + taught
-        yield rows(len(pairs), pair=pa.array(pairs), n=pa.array(counts))
-        yield rows(len(words), word=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
+            texts = [t for t, is_taught in zip(raw, learned, strict=True) if is_taught is taught]
+            if texts:
+                found, times = np.unique(pairs_of(texts, self.depth)[0], return_counts=True)
+                self.pairs, self.counts = added(self.pairs, self.counts, found, times if taught else times * 0)
+                tokens = b" ".join(texts).split()
+                if taught:
+                    self.words.update(tokens)
+                else:
+                    for w in set(tokens):
+                        self.words.setdefault(w, 0)
+        sizes = [len(t) for t in raw]
+        self.size += sum(sizes)
+        packed = zstandard.ZstdCompressor(level=PACK_LEVEL).compress(b"".join(raw))
+        return self.rows(1, n=pa.array([sum(learned)], pa.int64()), blob=pa.array([packed], pa.binary()), **{
+            name: pa.array([values], KINDS[name]) for name, values in (("ids", ids), ("learned", learned), ("sizes", sizes))})
+
+    def table(self) -> Iterator[pa.RecordBatch]:
+        yield self.rows(len(self.pairs), pair=pa.array(self.pairs), n=pa.array(self.counts))
+        yield self.rows(len(self.words), word=pa.array(list(self.words), pa.binary()), n=pa.array(list(self.words.values()), pa.int64()))
+
+
+def unpacked(blob: bytes, sizes: list[int]) -> list[bytes]:
+    whole = zstandard.ZstdDecompressor().decompress(blob)
+    at = [0, *accumulate(sizes)]
+    return [whole[a:b] for a, b in pairwise(at)]
+
+
+def dealt(docs: DataFrame, depth: int, rest: int, modulo: int) -> DataFrame:
+    """A written table: packed texts with their block, and each block's distinct pairs and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        block = Block(TaskContext.get().partitionId() << 32, depth)
         held: tuple[list, list, list] = ([], [], [])
         size = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for column, value in zip(held, row, strict=True):
+            for i, taught, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = text.encode().lower()
+                for column, value in zip(held, (i, taught, raw), strict=True):
                     column.append(value)
-                size += len(row[2])
-                if size >= BLOCK_BYTES:
-                    yield from block_rows(block, *held)
-                    block, held, size = block + 1, ([], [], []), 0
+                size += len(raw)
+                if size >= PART_BYTES or len(held[0]) >= PART_TEXTS:
+                    yield block.bundle(*held)
+                    held, size = ([], [], []), 0
+                    if block.size >= BLOCK_BYTES:
+                        yield from block.table()
+                        block = Block(block.number + 1, depth)
         if held[0]:
-            yield from block_rows(block, *held)
+            yield block.bundle(*held)
+        yield from block.table()
 
     learned = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulo != rest, F.lit(False))
     return written(docs.select("doc_id", learned.alias("learned"), "text").mapInArrow(run, DEALT))
 
 
-def parts_of(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """The texts in order, about PART_BYTES at a time."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= PART_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def added(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of both sides with their summed counts."""
     both, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
@@ -242,17 +265,20 @@ def probabilities(pairs: DataFrame, depth: int) -> DataFrame:
                     [pa.array(level.ids >> 16), pa.array(level.ids >> 8 & 255), pa.array(level.ids & 255), pa.array(level.zeros), pa.array(level.ones),
                      pa.array(level.whole)], names=["near", "far", "node", "zeros", "ones", "whole"])
 
-    def merged(near: pd.DataFrame) -> pd.DataFrame:
-        near = near.sort_values(["node", "far"])
-        return near.groupby("node", as_index=False).agg(near=("near", "first"), zeros=("zeros", "sum"), ones=("ones", "sum"), below=("whole", "sum"))
+    def merged(near: pa.Table) -> pa.Table:
+        near = near.sort_by([("node", "ascending"), ("far", "ascending")])
+        node = near["node"].to_numpy()
+        opens = np.flatnonzero(np.diff(node, prepend=-1))
+        sums = {name: np.add.reduceat(near[name].to_numpy(), opens) for name in ("zeros", "ones", "whole")}
+        return pa.table({"near": near["near"].to_numpy()[opens], "node": node[opens], **sums})
 
     # A group has 256 x 255 rows at most, the result 256 x 255 rows.
     nodes = rows.mapInArrow(roots, "near long, far long, node long, zeros double, ones double, whole double") \
-        .groupBy("near").applyInPandas(merged, "node long, near long, zeros double, ones double, below double").collect()
+        .groupBy("near").applyInArrow(merged, "near long, node long, zeros double, ones double, whole double").collect()
     top = Top()
     for r in nodes:
-        for table in ("zeros", "ones", "below"):
-            getattr(top, table)[r["near"], r["node"]] = r[table]
+        for table, name in ((top.zeros, "zeros"), (top.ones, "ones"), (top.below, "whole")):
+            table[r["near"], r["node"]] = r[name]
     sent = pairs.sparkSession.sparkContext.broadcast(top)
 
     def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,16 +334,15 @@ def score(
     by_block = {kind: table.filter(F.col(kind).isNotNull()).select("block", kind, "n") for kind in ("pair", "word")}
     pairs, words = (written(by_block[kind].groupBy(kind).agg(F.sum("n").alias("n"))) for kind in ("pair", "word"))
     known = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("kinds")).first()
-    ends = table.filter("text is not null and learned").count()
+    ends = table.filter("blob is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, kinds = known["n"] + ends, known["kinds"] + (ends > 0)
 
-    null = {name: F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in DEALT.split(", "))}
     logs = by_block["pair"].select("block", "pair").join(probabilities(pairs, depth), "pair")
     counts = by_block["word"].select("block", "word").join(words, "word")
+    texts = table.filter("blob is not null").select("block", "ids", "learned", "sizes", "blob")
     rows = (
-        logs.select("block", F.lit(0).alias("kind"), "pair", "log_p", null["word"], null["n"], null["doc_id"], null["learned"], null["text"])
-        .union(counts.select("block", F.lit(1), null["pair"], F.lit(None).cast("double"), "word", "n", null["doc_id"], null["learned"], null["text"]))
-        .union(table.filter("text is not null").select("block", F.lit(2), null["pair"], F.lit(None).cast("double"), null["word"], null["n"], "doc_id", "learned", "text"))
+        logs.withColumn("kind", F.lit(0)).unionByName(counts.withColumn("kind", F.lit(1)), True).unionByName(texts.withColumn("kind", F.lit(2)), True)
+        .select("block", "kind", "pair", "log_p", "word", "n", "ids", "learned", "sizes", "blob")
         .repartition("block").sortWithinPartitions("block", "kind")
     )
 
@@ -326,7 +351,7 @@ def score(
         for batch in batches:
             keys = batch.column(0).to_numpy() * 4 + batch.column(1).to_numpy()
             opens = [*np.flatnonzero(np.diff(keys, prepend=-1)).tolist(), len(keys)]
-            for a, b in zip(opens, opens[1:], strict=False):
+            for a, b in pairwise(opens):
                 part = batch.slice(a, b - a)
                 if keys[a] >> 2 != block:
                     held, block = Table(), keys[a] >> 2
@@ -335,11 +360,11 @@ def score(
                 elif keys[a] & 3 == 1:
                     held.words.update(zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True))
                 else:
-                    yield scored(held, part.column(6), part.column(7).to_pylist(), part.column(8).to_pylist())
+                    for ids, learned, sizes, blob in zip(*(part.column(k).to_pylist() for k in (6, 7, 8, 9)), strict=True):
+                        yield scored(held, ids, learned, unpacked(blob, sizes))
 
-    def scored(held: Table, ids: pa.Array, learned: list[bool], texts: list[str]) -> pa.RecordBatch:
-        raw = [t.encode().lower() for t in texts]
-        of_model = np.concatenate([held.model_scores(part, depth) for part in parts_of(raw)])
+    def scored(held: Table, ids: list, learned: list[bool], raw: list[bytes]) -> pa.RecordBatch:
+        of_model = held.model_scores(raw, depth)
         n_tokens, n_known, base = [], [], []
         for text in raw:
             tokens = text.split()
@@ -349,8 +374,8 @@ def score(
             base.append(float(np.log10(times + 1.0).sum() + np.log10(ends + 1.0) - (len(tokens) + 1) * np.log10(total + kinds + 1.0)))
         sizes = np.array([len(t) + 1 for t in raw])
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array([not x for x in learned]), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(len(raw), total)),
-             pa.array(base), pa.array(of_model), pa.array(-of_model / np.log10(2) / sizes)],
+            [pa.array(ids, pa.int64()), pa.array([not x for x in learned]), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
+             pa.array(np.full(len(raw), total)), pa.array(base), pa.array(of_model), pa.array(-of_model / np.log10(2) / sizes)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     return rows.mapInArrow(

@@ -145,6 +145,7 @@ def taught(i):
 @pytest.mark.parametrize("depth", [2, 3, 4])
 def test_scores_equal_context_trees_written_out(docs_of, depth, monkeypatch):
     monkeypatch.setattr(contexts, "BLOCK_BYTES", 12)
+    monkeypatch.setattr(contexts, "PART_BYTES", 5)
     monkeypatch.setattr(contexts, "SOLVED_ROWS", 7)
     texts = ["abcab", "", "Abñ c", "zz", "ab ab", "abc", "q"] * 2
     got = by_id(contexts.score(docs_of([(i, t, "en", "s") for i, t in enumerate(texts)]), depth=depth))
@@ -170,6 +171,7 @@ def test_byte_probabilities_add_up_to_one(spark):
 
 def test_base_scores_and_counts(docs_of, monkeypatch):
     monkeypatch.setattr(contexts, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(contexts, "PART_TEXTS", 3)
     random = np.random.default_rng(5)
     texts = [" ".join(f"W{k}" for k in random.zipf(1.5, random.integers(0, 30)) % 50) + "\x0b" for _ in range(60)]
     got = by_id(contexts.score(docs_of([(i, t, "en", "s") for i, t in enumerate(texts)])))
