@@ -29,7 +29,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate, pairwise
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +51,8 @@ SOLVED_ROWS = 1 << 20
 TOP_BYTES = 2
 LOG_HALF = np.log(0.5)
 
-DEALT = "block long, ids array<long>, learned array<boolean>, sizes array<long>, blob binary, pair long, word binary, n long"
-KINDS = {
-    "block": pa.int64(), "ids": pa.list_(pa.int64()), "learned": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "blob": pa.binary(),
-    "pair": pa.int64(), "word": pa.binary(), "n": pa.int64(),
-}
+DEALT = "block long, blob binary, pair long, word binary, n long"
+KINDS = {"block": pa.int64(), "blob": pa.binary(), "pair": pa.int64(), "word": pa.binary(), "n": pa.int64()}
 
 
 # --- pairs of context and byte ------------------------------------------------
@@ -98,21 +95,28 @@ class Block:
                 else:
                     for w in set(tokens):
                         self.words.setdefault(w, 0)
-        sizes = [len(t) for t in raw]
-        self.size += sum(sizes)
-        packed = zstandard.ZstdCompressor(level=PACK_LEVEL).compress(b"".join(raw))
-        return self.rows(1, n=pa.array([sum(learned)], pa.int64()), blob=pa.array([packed], pa.binary()), **{
-            name: pa.array([values], KINDS[name]) for name, values in (("ids", ids), ("learned", learned), ("sizes", sizes))})
+        self.size += sum(map(len, raw))
+        return self.rows(1, n=pa.array([sum(learned)], pa.int64()), blob=pa.array([packed(ids, learned, raw)], pa.binary()))
 
     def table(self) -> Iterator[pa.RecordBatch]:
         yield self.rows(len(self.pairs), pair=pa.array(self.pairs), n=pa.array(self.counts))
         yield self.rows(len(self.words), word=pa.array(list(self.words), pa.binary()), n=pa.array(list(self.words.values()), pa.int64()))
 
 
-def unpacked(blob: bytes, sizes: list[int]) -> list[bytes]:
+def packed(ids: list, learned: list[bool], raw: list[bytes]) -> bytes:
+    """Documents as one compressed value: their number, then sizes, ids, whether there is an id, whether learned, then the texts."""
+    numbers = [[len(t) for t in raw], [i or 0 for i in ids], [i is not None for i in ids], learned]
+    head = np.array([len(raw), *chain.from_iterable(numbers)], np.int64)
+    return zstandard.ZstdCompressor(level=PACK_LEVEL).compress(head.tobytes() + b"".join(raw))
+
+
+def unpacked(blob: bytes) -> tuple[list, list[bool], list[bytes]]:
+    """ids, learned and texts of a packed value."""
     whole = zstandard.ZstdDecompressor().decompress(blob)
-    at = [0, *accumulate(sizes)]
-    return [whole[a:b] for a, b in pairwise(at)]
+    many = int(np.frombuffer(whole, np.int64, 1)[0])
+    sizes, ids, present, learned = np.frombuffer(whole, np.int64, 4 * many, 8).reshape(4, many).tolist()
+    at = [8 * (4 * many + 1) + size for size in accumulate(sizes, initial=0)]
+    return [i if p else None for i, p in zip(ids, present, strict=True)], [x == 1 for x in learned], [whole[a:b] for a, b in pairwise(at)]
 
 
 def dealt(docs: DataFrame, depth: int, rest: int, modulo: int) -> DataFrame:
@@ -339,10 +343,10 @@ def score(
 
     logs = by_block["pair"].select("block", "pair").join(probabilities(pairs, depth), "pair")
     counts = by_block["word"].select("block", "word").join(words, "word")
-    texts = table.filter("blob is not null").select("block", "ids", "learned", "sizes", "blob")
+    texts = table.filter("blob is not null").select("block", "blob")
     rows = (
         logs.withColumn("kind", F.lit(0)).unionByName(counts.withColumn("kind", F.lit(1)), True).unionByName(texts.withColumn("kind", F.lit(2)), True)
-        .select("block", "kind", "pair", "log_p", "word", "n", "ids", "learned", "sizes", "blob")
+        .select("block", "kind", "pair", "log_p", "word", "n", "blob")
         .repartition("block").sortWithinPartitions("block", "kind")
     )
 
@@ -360,8 +364,8 @@ def score(
                 elif keys[a] & 3 == 1:
                     held.words.update(zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True))
                 else:
-                    for ids, learned, sizes, blob in zip(*(part.column(k).to_pylist() for k in (6, 7, 8, 9)), strict=True):
-                        yield scored(held, ids, learned, unpacked(blob, sizes))
+                    for blob in part.column(6).to_pylist():
+                        yield scored(held, *unpacked(blob))
 
     def scored(held: Table, ids: list, learned: list[bool], raw: list[bytes]) -> pa.RecordBatch:
         of_model = held.model_scores(raw, depth)
