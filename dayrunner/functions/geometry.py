@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import pi
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6371008.8
 METRES_PER_DEGREE = 111195.08  # one degree of latitude on that sphere
+# Great-circle metres are at most so many times the metres on the ellipsoid.
+SPHERE_EXCESS = 1.006
+
+# Fixed values of the WGS84 ellipsoid: semi-axes in metres and flattening.
+MAJOR_M = 6378137.0
+FLATTENING = 1 / 298.257223563
+MINOR_M = MAJOR_M * (1 - FLATTENING)
+LONGITUDE_STEPS = 8
+CONVERGED = 1e-12
+AZIMUTH_STEPS = 50
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -20,6 +33,124 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _square(c: Column) -> Column:
+    return c * c
+
+
+def _longitude_excess(sin_az: Column, arc: Column, sin_arc: Column, cos_arc: Column, cos_mid: Column) -> Column:
+    """How much the longitude on the sphere exceeds that on the ellipsoid (Vincenty)."""
+    cos2 = 1 - _square(sin_az)
+    c = FLATTENING / 16 * cos2 * (4 + FLATTENING * (4 - 3 * cos2))
+    return (1 - c) * FLATTENING * sin_az * (arc + c * sin_arc * (cos_mid + c * cos_arc * (2 * _square(cos_mid) - 1)))
+
+
+def _arc_metres(sin_az: Column, arc: Column, sin_arc: Column, cos_arc: Column, cos_mid: Column) -> Column:
+    """Length of an arc of the auxiliary sphere on the ellipsoid (Vincenty)."""
+    u2 = (1 - _square(sin_az)) * ((MAJOR_M**2 - MINOR_M**2) / MINOR_M**2)
+
+    def length(k: Column) -> Column:
+        a, b = k["a"], k["b"]
+        less = b * sin_arc * (cos_mid + b / 4 * (
+            cos_arc * (2 * _square(cos_mid) - 1) - b / 6 * cos_mid * (4 * _square(sin_arc) - 3) * (4 * _square(cos_mid) - 3)))
+        return MINOR_M * a * (arc - less)
+
+    return _let(F.struct(
+        (1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))).alias("a"),
+        (u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))).alias("b")), length)
+
+
+def _arc(b: Column, longitude: Column, body: Callable[..., Column]) -> Column:
+    """``body(sin_az, arc, sin_arc, cos_arc, cos_mid)`` of the great circle between two
+    reduced latitudes at this difference of longitude; exact for short arcs too."""
+
+    def angles(h: Column) -> Column:
+        sin_arc = 2 * F.sqrt(h * (1 - h))
+        return _let(F.struct(
+            (2 * F.atan2(F.sqrt(h), F.sqrt(1 - h))).alias("arc"), sin_arc.alias("sin"), (1 - 2 * h).alias("cos"),
+            F.coalesce(F.try_divide(b["c1"] * b["c2"] * F.sin(longitude), sin_arc), F.lit(0.0)).alias("az")), middle)
+
+    def middle(v: Column) -> Column:
+        cos2 = 1 - _square(v["az"])
+        mid = F.when(cos2 > 1e-14, v["cos"] - 2 * b["s1"] * b["s2"] / cos2).otherwise(0.0)
+        return _let(mid, lambda m: body(v["az"], v["arc"], v["sin"], v["cos"], m))
+
+    h = b["h"] + b["c1"] * b["c2"] * _square(F.sin(longitude / 2))
+    return _let(F.when(h > 1, F.lit(1.0)).otherwise(h), angles)
+
+
+def _near_antipodal(b: Column) -> Column:
+    """Metres between points almost opposite each other: the azimuth at the point farther
+    from the equator, taken as south of it, is bisected until the longitude fits."""
+    swap = F.abs(b["s1"]) >= F.abs(b["s2"])
+    far, near = F.when(swap, b["s1"]).otherwise(b["s2"]), F.when(swap, b["s2"]).otherwise(b["s1"])
+    # Kept off the equator, where the azimuth would not tell the arcs apart.
+    south = -F.greatest(F.abs(far), F.lit(1e-15))
+    ends = F.struct(
+        south.alias("s1"), F.when(far > 0, -near).otherwise(near).alias("s2"),
+        F.when(swap, b["c1"]).otherwise(b["c2"]).alias("c1"), F.when(swap, b["c2"]).otherwise(b["c1"]).alias("c2"), b["l"].alias("l"))
+
+    def arc(e: Column, azimuth: Column, body: Callable[[Column], Column]) -> Column:
+        sin_az = F.sin(azimuth) * e["c1"]
+        cos1 = F.cos(azimuth) * e["c1"]
+        cos2 = F.sqrt(F.greatest(F.lit(0.0), _square(cos1) + (_square(e["s1"]) - _square(e["s2"]))))
+        return _let(F.struct(
+            sin_az.alias("az"), F.atan2(e["s1"], cos1).alias("a1"), F.atan2(e["s2"], cos2).alias("a2"),
+            (F.atan2(sin_az * e["s2"], cos2) - F.atan2(sin_az * e["s1"], cos1)).alias("lon")), body)
+
+    def terms(v: Column) -> tuple[Column, ...]:
+        arc_ = v["a2"] - v["a1"]
+        return v["az"], arc_, F.sin(arc_), F.cos(arc_), F.cos(v["a1"] + v["a2"])
+
+    def halved(e: Column, span: Column) -> Column:
+        middle = (span["lo"] + span["hi"]) / 2
+        west = arc(e, middle, lambda v: v["lon"] - _longitude_excess(*terms(v))) < e["l"]
+        return F.struct(F.when(west, middle).otherwise(span["lo"]).alias("lo"), F.when(west, span["hi"]).otherwise(middle).alias("hi"))
+
+    def solved(e: Column) -> Column:
+        span = F.aggregate(
+            F.sequence(F.lit(1), F.lit(AZIMUTH_STEPS)), F.struct(F.lit(0.0).alias("lo"), F.lit(pi).alias("hi")), lambda s, _: halved(e, s))
+        return _let(span, lambda s: arc(e, (s["lo"] + s["hi"]) / 2, lambda v: _arc_metres(*terms(v))))
+
+    return _let(ends, solved)
+
+
+def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Shortest metres on the WGS84 ellipsoid, to a millimetre.
+
+    The longitude on the auxiliary sphere is iterated LONGITUDE_STEPS times, each
+    of which gains more than two digits; only points almost opposite each other
+    aren't settled by then, and take the azimuth instead. Equal points are at 0;
+    a missing coordinate gives no distance.
+    """
+    p1, p2 = F.radians(lat1), F.radians(lat2)
+    apart = F.abs(F.pmod(lon2 - lon1 + 180.0, F.lit(360.0)) - 180.0)
+    polar = 1 - FLATTENING
+    reduced = lambda p: F.atan2(polar * F.sin(p), F.cos(p))
+    # Taken from the difference, so that close points keep all their digits.
+    between = F.atan2(polar * F.sin(F.radians(lat2 - lat1)), F.cos(p1) * F.cos(p2) + polar**2 * F.sin(p1) * F.sin(p2))
+    base = F.struct(
+        F.sin(reduced(p1)).alias("s1"), F.cos(reduced(p1)).alias("c1"), F.sin(reduced(p2)).alias("s2"), F.cos(reduced(p2)).alias("c2"),
+        _square(F.sin(between / 2)).alias("h"), F.radians(apart).alias("l"))
+
+    def step(b: Column, s: Column) -> Column:
+        return F.struct(s["now"].alias("last"), (b["l"] + _arc(b, s["now"], _longitude_excess)).alias("now"))
+
+    def metres(b: Column) -> Column:
+        settled = F.aggregate(
+            F.sequence(F.lit(1), F.lit(LONGITUDE_STEPS)), F.struct(b["l"].alias("last"), b["l"].alias("now")), lambda s, _: step(b, s))
+        return _let(settled, lambda s: F.when(
+            (F.abs(s["now"] - s["last"]) <= CONVERGED) & (s["now"] <= pi), _arc(b, s["now"], _arc_metres)).otherwise(_near_antipodal(b)))
+
+    known = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()
+    same = (lat1 == lat2) & (lon1 == lon2)
+    return F.when(known, F.when(same, F.lit(0.0)).otherwise(_let(base, metres)))
+
+
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Initial compass bearing in degrees, 0 <= b < 360."""
     p1, p2, dl = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
