@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dayrunner.catalog.registry import check
-from dayrunner.catalog.tools import rounded, texts
+from dayrunner.catalog.tools import geodesic_sql, rounded, texts
 from dayrunner.functions import columns as C
 from dayrunner.operators import choose as G
 from dayrunner.operators import joins as J
@@ -610,12 +610,13 @@ def _(feed):
 
 
 @check("e56_closure_gaps", "E56 S1", f"""
-    select t.gtfs_id, t.route_id, round(min(2 * 6371008.8::double * asin(least(1.0::double, sqrt(
-        pow(sin(radians(b.stop_lat - a.stop_lat) / 2), 2) + cos(radians(a.stop_lat)) * cos(radians(b.stop_lat)) *
-        pow(sin(radians(b.stop_lon - a.stop_lon) / 2), 2))))), 4) as gap_m
-    from trip_spans s join trips t on {BY_TRIP}
-      join stops a on a.gtfs_id = s.gtfs_id and a.stop_id = s.first_stop
-      join stops b on b.gtfs_id = s.gtfs_id and b.stop_id = s.last_stop group by 1, 2""")
+    with ends as materialized (
+      select distinct t.gtfs_id, t.route_id, s.first_stop, s.last_stop from trip_spans s join trips t on {BY_TRIP}),
+    places as materialized (
+      select e.*, a.stop_lat as y0, a.stop_lon as x0, b.stop_lat as y1, b.stop_lon as x1 from ends e
+        join stops a on a.gtfs_id = e.gtfs_id and a.stop_id = e.first_stop
+        join stops b on b.gtfs_id = e.gtfs_id and b.stop_id = e.last_stop)
+    select gtfs_id, route_id, round(min({geodesic_sql("y0", "x0", "y1", "x1")}), 4) as gap_m from places group by 1, 2""")
 def _(feed):
     return rounded(S.closure_gaps(feed), "gap_m", places=4)
 

@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dayrunner.catalog.registry import check
-from dayrunner.catalog.tools import rounded, texts
+from dayrunner.catalog.tools import geodesic_sql, rounded, texts
 from dayrunner.functions import columns as C
 from dayrunner.operators import sequences as Q
 from dayrunner.plans import views as V
 
 BY_TRIP = "t.gtfs_id = s.gtfs_id and t.trip_id = s.trip_id"
 BY_SERVICE = "c.gtfs_id = t.gtfs_id and c.service_id = t.service_id"
-METRES = """2 * 6371008.8::double * asin(least(1.0::double, sqrt(
-        pow(sin(radians(b.stop_lat - a.stop_lat) / 2), 2) + cos(radians(a.stop_lat)) * cos(radians(b.stop_lat)) *
-        pow(sin(radians(b.stop_lon - a.stop_lon) / 2), 2))))"""
 
 
 def gaps_sql(source: str, keys: str, secs: str) -> str:
@@ -65,12 +62,19 @@ def _(feed):
 
 
 @check("f3_stop_spacing", "F3 S1 B14", f"""
-    select t.gtfs_id, t.route_id, round(avg(coalesce(s.shape_dist_traveled - s.prev_dist, {METRES})), 4) as spacing_m, count(*) as steps
-    from (select *, lag(stop_id) over (partition by gtfs_id, trip_id order by stop_sequence) as prev_stop from steps) s
-      join trips t on {BY_TRIP} join routes r on r.gtfs_id = t.gtfs_id and r.route_id = t.route_id
-      join stops a on a.gtfs_id = s.gtfs_id and a.stop_id = s.prev_stop
-      join stops b on b.gtfs_id = s.gtfs_id and b.stop_id = s.stop_id
-    where r.route_type = 3 group by 1, 2""")
+    with made as materialized (
+      select t.gtfs_id, t.route_id, s.prev_stop, s.stop_id, s.shape_dist_traveled - s.prev_dist as known
+      from (select *, lag(stop_id) over (partition by gtfs_id, trip_id order by stop_sequence) as prev_stop from steps) s
+        join trips t on {BY_TRIP} join routes r on r.gtfs_id = t.gtfs_id and r.route_id = t.route_id
+      where r.route_type = 3 and prev_stop is not null),
+    pairs as materialized (
+      select p.*, a.stop_lat as y0, a.stop_lon as x0, b.stop_lat as y1, b.stop_lon as x1
+      from (select distinct gtfs_id, prev_stop, stop_id from made) p
+        join stops a on a.gtfs_id = p.gtfs_id and a.stop_id = p.prev_stop
+        join stops b on b.gtfs_id = p.gtfs_id and b.stop_id = p.stop_id),
+    lines as materialized (select gtfs_id, prev_stop, stop_id, {geodesic_sql("y0", "x0", "y1", "x1")} as metres from pairs)
+    select gtfs_id, route_id, round(avg(coalesce(known, metres)), 4) as spacing_m, count(*) as steps
+    from made join lines using (gtfs_id, prev_stop, stop_id) group by 1, 2""")
 def _(feed):
     return rounded(Q.stop_spacing(feed), "spacing_m", places=4)
 

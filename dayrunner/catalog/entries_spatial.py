@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dayrunner.catalog.registry import check
-from dayrunner.catalog.tools import rounded
+from dayrunner.catalog.tools import geodesic_sql, rounded, sphere_sql
 from dayrunner.operators import joins as J
 from dayrunner.operators import sequences as Q
 from dayrunner.operators import spatial as P
 
 BY_TRIP = "t.gtfs_id = s.gtfs_id and t.trip_id = s.trip_id"
-METRES = """2 * 6371008.8::double * asin(least(1.0::double, sqrt(
-        pow(sin(radians(b.stop_lat - a.stop_lat) / 2), 2) + cos(radians(a.stop_lat)) * cos(radians(b.stop_lat)) *
-        pow(sin(radians(b.stop_lon - a.stop_lon) / 2), 2))))"""
+ENDS = ("a.stop_lat", "a.stop_lon", "b.stop_lat", "b.stop_lon")
+METRES, SPHERE = geodesic_sql(*ENDS), sphere_sql(*ENDS)
 MODE_STOPS = f"""mode_stops as (
       select distinct p.gtfs_id, p.stop_id, p.stop_lat, p.stop_lon, r.route_type
       from stop_times s join trips t on {BY_TRIP} join routes r on r.gtfs_id = t.gtfs_id and r.route_id = t.route_id
@@ -32,7 +31,7 @@ def _(feed):
 @check("d11_stops_within_radius", "D11", f"""
     select a.gtfs_id, a.stop_id as point_id, b.stop_id, round({METRES}, 4) as metres
     from stops a join stops b on a.gtfs_id = b.gtfs_id
-    where a.location_type = 1 and {METRES} <= 1000""")
+    where a.location_type = 1 and {SPHERE} <= 1006 and {METRES} <= 1000""")
 def _(feed):
     stations = P.stop_points(feed.stops.filter("location_type = 1"))
     return rounded(P.stops_near(feed, stations, 1000), "metres", places=4)
@@ -42,7 +41,7 @@ def _(feed):
     select gtfs_id, point_id, stop_id, round(metres, 4) as metres, place from (
       select a.gtfs_id, a.stop_id as point_id, b.stop_id, {METRES} as metres,
         cast(row_number() over (partition by a.gtfs_id, a.stop_id order by {METRES}, b.stop_id) as integer) as place
-      from stops a join stops b on a.gtfs_id = b.gtfs_id where {METRES} <= 3000) where place <= 5""")
+      from stops a join stops b on a.gtfs_id = b.gtfs_id where {SPHERE} <= 3018 and {METRES} <= 3000) where place <= 5""")
 def _(feed):
     return rounded(P.stops_near(feed, P.stop_points(feed.stops), 3000, k=5), "metres", places=4)
 
@@ -50,7 +49,7 @@ def _(feed):
 @check("s3_bus_stops_near_light_rail", "S3 D11", f"""
     with {MODE_STOPS}
     select distinct a.gtfs_id, a.stop_id from mode_stops a join mode_stops b on a.gtfs_id = b.gtfs_id
-    where a.route_type = 3 and b.route_type = 0 and {METRES} <= 200""")
+    where a.route_type = 3 and b.route_type = 0 and {SPHERE} <= 202 and {METRES} <= 200""")
 def _(feed):
     return P.stops_near_mode(feed)
 
@@ -58,7 +57,7 @@ def _(feed):
 @check("s3_other_places_near_light_rail", "S3 D11", f"""
     with {MODE_STOPS}
     select distinct a.gtfs_id, a.stop_id from mode_stops a join mode_stops b on a.gtfs_id = b.gtfs_id
-    where a.route_type = 3 and b.route_type = 0 and {METRES} <= 900 and {METRES} > 0""")
+    where a.route_type = 3 and b.route_type = 0 and {SPHERE} <= 906 and {METRES} <= 900 and {METRES} > 0""")
 def _(feed):
     return P.stops_near_mode(feed, radius_m=900, drop_same_place=True)
 
@@ -111,13 +110,12 @@ def _(feed):
     return P.first_points(P.shapes_of_routes(feed, feed.routes.filter("route_type = 1")))
 
 
-@check("s8_longest_shapes", "S8 E12", """
+@check("s8_longest_shapes", "S8 E12", f"""
     with seg as (
       select gtfs_id, shape_id, shape_dist_traveled, shape_pt_lat as y0, shape_pt_lon as x0,
         lead(shape_pt_lat) over w as y1, lead(shape_pt_lon) over w as x1
       from shapes window w as (partition by gtfs_id, shape_id order by shape_pt_sequence)),
-    len as (select gtfs_id, shape_id, coalesce(max(shape_dist_traveled), sum(2 * 6371008.8::double * asin(least(1.0::double, sqrt(
-        pow(sin(radians(y1 - y0) / 2), 2) + cos(radians(y0)) * cos(radians(y1)) * pow(sin(radians(x1 - x0) / 2), 2))))) filter (where x1 is not null)) as length
+    len as (select gtfs_id, shape_id, coalesce(max(shape_dist_traveled), sum({geodesic_sql("y0", "x0", "y1", "x1")})) as length
       from seg group by 1, 2)
     select gtfs_id, route_id, shape_id, round(length, 4) as length from (
       select t.gtfs_id, t.route_id, t.shape_id, length,

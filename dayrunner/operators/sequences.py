@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dayrunner.feed import Feed
 from dayrunner.functions import columns as C
-from dayrunner.functions.geometry import angle_at, bearing, haversine
+from dayrunner.functions.geometry import angle_at, bearing, geodesic
 from dayrunner.functions.ordered import exact_median, neighbours, positions
 from dayrunner.operators import choose as G
 from dayrunner.operators import service as S
@@ -189,7 +189,7 @@ def pair_coordinates(pairs: DataFrame, feed: Feed, how: str = "inner") -> DataFr
 
 
 def pair_metres() -> Column:
-    return haversine(F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon"))
+    return geodesic(F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon"))
 
 
 def stop_spacing(feed: Feed, route_type: int | None = 3) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dayrunner.feed import Feed
 from dayrunner.functions import columns as C
-from dayrunner.functions.geometry import haversine
+from dayrunner.functions.geometry import geodesic
 from dayrunner.functions.ordered import positions
 from dayrunner.operators import joins as J
 from dayrunner.operators import trips as T
@@ -129,7 +129,7 @@ def closure_gaps(feed: Feed) -> DataFrame:
         T.trip_ends(feed.stop_times).join(feed.trips.select(*TRIP, "route_id"), TRIP)
         .select(*ROUTE, "first_stop", "last_stop").distinct()
     )
-    gap = haversine(F.col("first_lat"), F.col("first_lon"), F.col("last_lat"), F.col("last_lon"))
+    gap = geodesic(F.col("first_lat"), F.col("first_lon"), F.col("last_lat"), F.col("last_lon"))
     return (
         ends.join(side("first"), [FEED, "first_stop"]).join(side("last"), [FEED, "last_stop"])
         .groupBy(*ROUTE).agg(F.min(gap).alias("gap_m"))

@@ -55,15 +55,16 @@ def near_places(places: DataFrame, others: DataFrame, radius_m: float) -> DataFr
     Both sides are (gtfs_id, lat, lon); the result adds ``other_lat``,
     ``other_lon`` and ``metres``.
     """
-    left = _cells(places.select(FEED, "lat", "lon").distinct(), "lat", "lon", radius_m, spread=True)
+    wide = radius_m * M.SPHERE_EXCESS
+    left = _cells(places.select(FEED, "lat", "lon").distinct(), "lat", "lon", wide, spread=True)
     right = _cells(
         others.select(FEED, F.col("lat").alias("other_lat"), F.col("lon").alias("other_lon")).distinct(),
-        "other_lat", "other_lon", radius_m, spread=False,
+        "other_lat", "other_lon", wide, spread=False,
     )
-    metres = M.haversine(F.col("lat"), F.col("lon"), F.col("other_lat"), F.col("other_lon"))
+    ends = [F.col(c) for c in ("lat", "lon", "other_lat", "other_lon")]
     return (
-        left.join(right, [FEED, "_band", "_cell"])
-        .withColumn("metres", metres).filter(F.col("metres") <= radius_m)
+        left.join(right, [FEED, "_band", "_cell"]).filter(M.haversine(*ends) <= wide)
+        .withColumn("metres", M.geodesic(*ends)).filter(F.col("metres") <= radius_m)
         .drop("_band", "_cell")
     )
 
@@ -111,12 +112,15 @@ def stops_near_mode(
     theirs = stops_of_mode(feed, near_type).select(
         FEED, F.col("stop_lat").alias("other_lat"), F.col("stop_lon").alias("other_lon")
     ).distinct()
-    left = _cells(mine.select(FEED, "lat", "lon").distinct(), "lat", "lon", radius_m, spread=True).alias("l")
-    right = _cells(theirs, "other_lat", "other_lon", radius_m, spread=False).alias("r")
-    metres = M.haversine(F.col("l.lat"), F.col("l.lon"), F.col("r.other_lat"), F.col("r.other_lon"))
-    near = metres <= radius_m
+    wide = radius_m * M.SPHERE_EXCESS
+    left = _cells(mine.select(FEED, "lat", "lon").distinct(), "lat", "lon", wide, spread=True).alias("l")
+    right = _cells(theirs, "other_lat", "other_lon", wide, spread=False).alias("r")
+    ends = [F.col(c) for c in ("l.lat", "l.lon", "r.other_lat", "r.other_lon")]
+    # Most pairs are decided on the sphere; the ellipsoid is asked about the rest.
+    sphere = M.haversine(*ends)
+    near = (sphere <= wide) & ((sphere <= radius_m / M.SPHERE_EXCESS) | (M.geodesic(*ends) <= radius_m))
     if drop_same_place:
-        near = near & (metres > 0)
+        near = near & (sphere > 0)
     same_cell = (
         (F.col(f"l.{FEED}") == F.col(f"r.{FEED}")) & (F.col("l._band") == F.col("r._band"))
         & (F.col("l._cell") == F.col("r._cell"))
@@ -192,7 +196,7 @@ def shape_segments(shapes: DataFrame) -> DataFrame:
 
 def shape_lengths(feed: Feed) -> DataFrame:
     """Metres per shape: travelled distance, else the sum over its segments."""
-    metres = M.haversine(F.col("y0"), F.col("x0"), F.col("y1"), F.col("x1"))
+    metres = M.geodesic(F.col("y0"), F.col("x0"), F.col("y1"), F.col("x1"))
     drawn = shape_segments(feed.shapes).groupBy(*SHAPE).agg(F.sum(metres).alias("drawn"))
     return T.shape_lengths(feed).join(drawn, SHAPE, "left").select(
         *SHAPE, F.coalesce("length", "drawn").alias("length")

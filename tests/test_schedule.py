@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from dayrunner.operators import trips as T
 from dayrunner.plans import views as V
 from tests.conftest import rows
 from tests.feeds import small_feed
+from tests.test_geodesic import independent_metres
 
 D = datetime.date
 
@@ -166,16 +168,12 @@ def test_vehicles_fall_back_to_trips(feed):
 
 
 def test_nearness_equals_brute_force(spark):
-    from math import asin, cos, radians, sin, sqrt
-
-    def metres(a, b):
-        h = sin(radians(b[0] - a[0]) / 2) ** 2 + cos(radians(a[0])) * cos(radians(b[0])) * sin(radians(b[1] - a[1]) / 2) ** 2
-        return 2 * 6371008.8 * asin(sqrt(h))
-
     points = [(lat + i * 0.0007 % 0.01, 10 + (i * 0.0013) % 0.012) for lat in (-60.0, -0.002, 45.0, 80.0) for i in range(25)]
     df = spark.createDataFrame([("f", *p) for p in points], "gtfs_id string, lat double, lon double")
     got = {(r.lat, r.lon, r.other_lat, r.other_lon) for r in P.near_places(df, df, 400).collect()}
-    want = {(*a, *b) for a in points for b in points if metres(a, b) <= 400}
+    pairs = np.array([(*a, *b) for a in points for b in points])
+    metres = np.where((pairs[:, :2] == pairs[:, 2:]).all(1), 0, independent_metres(*pairs.T))
+    want = {tuple(p) for p in pairs[metres <= 400].tolist()}
     assert got == want
 
 
