@@ -451,29 +451,60 @@ def test_wrapped_notices_are_named_once(docs_of):
     assert all(not got[100 + i]["licences"] for i in range(20))
 
 
-def test_every_confirmable_paragraph_has_an_anchor():
-    held = set(licenses.anchors())
-    for texts in licenses.TEMPLATES.values():
-        for text in texts:
-            words = sorted(set(licenses.words_of(text)), key=lambda w: (w in held, w))
-            least = int(np.ceil(licenses.CONFIRMED * len(words) - 1e-9))
-            assert set(words[:least]) & held, text
-
-
-# --- pipeline -------------------------------------------------------------------------------
-
-def test_pipeline_stages(spark, docs_of):
-    docs = labelled(docs_of).select("doc_id", "text", "lang", "source")
-    copies = docs.filter("doc_id < 20").selectExpr("doc_id + 1000 as doc_id", "text", "lang", "source")
-    junk = docs.filter("doc_id < 5").selectExpr("doc_id + 2000 as doc_id", "'12 -- 34' as text", "lang", "source")
-    docs = docs.unionByName(copies).unionByName(junk)
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["language ID", "exact dedup", "near dedup", "mixing", "byte BPE"]
-    kept = []
-    for _, stage in corpus_pipeline.STAGES:
-        columns, docs = docs.columns, stage(spark, docs, "")
-        kept.append(docs.count())
-        if stage is not corpus_pipeline.encoded:
-            assert docs.columns == columns
-    assert kept[0] == 380 and kept[1] == 360 and kept[2] == 360 and 100 < kept[3] < 300 and kept[4] == kept[3]
-    assert docs.columns == ["doc_id", "n_tokens", "ids"]
+@pytest.mark.parametrize("counts", [{}, {"license": 9, "the": 5, "of": 5, "software": 2}])
+def test_every_confirmable_window_has_an_anchor(counts):
+    for _, text, held in licenses.anchors_by_template(counts):
+        words = sorted(set(licenses.words_of(text)), key=lambda w: (w in held, w))
+        least = int(np.ceil(licenses.CONFIRMED * len(words) - 1e-9))
+        assert set(words[:least]) & set(held), text
+
+
+def test_windows_equal_a_scan_of_all_positions(spark, docs_of):
+    """Every window of every template's length, over numbered words, without anchors."""
+    random = np.random.default_rng(21)
+    texts = [(f, t) for f, held in licenses.TEMPLATES.items() for t in held]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(random.integers(1, 4)):
+            words = texts[random.integers(len(texts))][1].split()
+            keep = [w for w in words if random.random() < random.choice([0.5, 0.75, 1.0])]
+            parts += [*prose(int(random.integers(10_000)), int(random.integers(0, 12))), *keep]
+        rows.append((i, "".join(w + random.choice([" ", "\n", "\n * ", ". ", "\n\n"], p=[0.7, 0.1, 0.1, 0.05, 0.05]) for w in parts), "en", "s"))
+    got = licenses.confirmed(docs_of(rows)).collect()
+    found = {(r["doc_id"], r["family"]) for r in got}
+    want = set()
+    for i, text, *_ in rows:
+        words = licenses.words_of(text)
+        for family, template in texts:
+            held, long = set(licenses.words_of(template)), len(licenses.words_of(template))
+            if any(len(held & set(words[p:p + long])) >= licenses.CONFIRMED * len(held) - 1e-9 for p in range(len(words))):
+                want.add((i, family))
+    assert found == want and len(want) > 40
+
+
+def test_wide_and_long_notices_are_found(docs_of):
+    """200 comment lines without words inside a notice, and paragraphs of thousands of signs around it."""
+    lines = textwrap.wrap(licenses.TEMPLATES["isc"][0], 60)
+    spaced = "\n".join([lines[0], *["# "] * 200, *lines[1:]])
+    long = " ".join(prose(1, 900)) + " " + licenses.TEMPLATES["bsd"][0] + " " + " ".join(prose(2, 900))
+    far = " ".join(prose(3, 40_000)) + "\nReleased under the MIT License. " + " ".join(prose(4, 20_000))
+    got = by_id(licenses.scan(docs_of([(0, spaced, "en", "s"), (1, long, "en", "s"), (2, far, "en", "s"), (3, "under the software license " * 3_000, "en", "s")])))
+    assert [[s["family"] for s in got[i]["licences"]] for i in range(3)] == [["isc"], ["bsd"], ["mit"]]
+    assert got[3]["licences"] == []
+
+
+def test_families_that_share_their_wording_are_told_apart(docs_of):
+    wanted, rows = [], []
+    for family in ("gpl", "lgpl", "agpl", "cc-by", "cc-by-sa", "cc-by-nc", "isc", "mit", "bsd", "epl"):
+        for text in licenses.TEMPLATES[family][:1]:
+            wanted.append(family)
+            rows.append((len(rows), " ".join(prose(len(rows), 40)) + ".\n" + text + "\n" + " ".join(prose(len(rows) + 99, 40)), "en", "s"))
+    got = by_id(licenses.scan(docs_of(rows)))
+    assert [[s["family"] for s in got[i]["licences"]] for i in range(len(rows))] == [[f] for f in wanted]
+
+
+def test_licences_defined_cases(odd):
+    got = licenses.scan(odd).collect()
+    assert len(got) == odd.count() and all(r["licences"] == [] for r in got)
+    assert {r["n_paragraphs"] for r in got if r["doc_id"] in (2, 3, 4)} == {0}
