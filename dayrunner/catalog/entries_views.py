@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dayrunner.catalog.registry import check
-from dayrunner.catalog.tools import checksum, checksum_sql
+from dayrunner.catalog.tools import checksum, checksum_sql, mixed_sum, mixed_sum_sql
 from dayrunner.functions import columns as C
 from dayrunner.plans import views as V
 
 
+def seconds_of(*cols: str):
+    return tuple(F.col(c).cast("timestamp").cast("bigint") for c in cols)
+
+
 @check("c1_service_days", "C1 D5 D6 H1 H5 B9", """
     select gtfs_id, service_id, cast(service_date as varchar) as service_date from service_days""")
 def _(feed):
@@ -20,8 +24,8 @@ def _(feed):
     select s.gtfs_id, s.stop_id, cast(departure_secs // 86400 as bigint) as departure_day_offset,
       count(*) as events, cast(min(service_date + to_seconds(arrival_secs)) as varchar) as first_arrival_ts,
       cast(max(service_date + to_seconds(departure_secs)) as varchar) as last_departure_ts,
-      {checksum_sql("s.trip_id", "s.stop_id", "stop_sequence", "arrival_secs", "departure_secs", "service_date",
-                    "service_date + to_seconds(arrival_secs)", "service_date + to_seconds(departure_secs)")} as row_sum
+      {mixed_sum_sql(("s.trip_id", "s.stop_id"), ("stop_sequence", "arrival_secs", "departure_secs", "service_date - date '1970-01-01'",
+                     "epoch(service_date + to_seconds(arrival_secs))", "epoch(service_date + to_seconds(departure_secs))"))} as row_sum
     from stop_times s join trips t on s.gtfs_id = t.gtfs_id and s.trip_id = t.trip_id
       join service_days d on t.gtfs_id = d.gtfs_id and t.service_id = d.service_id
     group by 1, 2, 3""")
@@ -30,8 +34,9 @@ def _(feed):
         F.count("*").alias("events"),
         F.min("arrival_ts").cast("string").alias("first_arrival_ts"),
         F.max("departure_ts").cast("string").alias("last_departure_ts"),
-        checksum("trip_id", "stop_id", "stop_sequence", "arrival_secs", "departure_secs", "service_date",
-                 "arrival_ts", "departure_ts").alias("row_sum"),
+        mixed_sum(("trip_id", "stop_id"), (
+            F.col("stop_sequence"), F.col("arrival_secs"), F.col("departure_secs"), F.unix_date("service_date"),
+            *seconds_of("arrival_ts", "departure_ts"))).alias("row_sum"),
     )
 
 
@@ -39,8 +44,9 @@ def _(feed):
     select s.gtfs_id, cast(service_date as varchar) as service_date, t.direction_id, r.route_type, r.agency_id,
       count(*) as departures, cast(max(service_date + to_seconds(departure_secs)) as varchar) as last_ts,
       count(r.route_long_name) as named, count(t.shape_id) as shaped, count(s.stop_id) as stopped,
-      {checksum_sql("s.stop_id", "service_date + to_seconds(departure_secs)", "departure_secs", "service_date", "s.trip_id", "t.route_id",
-                    "t.direction_id", "t.shape_id", "r.agency_id", "r.route_short_name", "r.route_long_name", "r.route_type")} as row_sum
+      {mixed_sum_sql(("s.stop_id", "s.trip_id", "t.route_id", "t.shape_id", "r.agency_id", "r.route_short_name", "r.route_long_name"),
+                     ("epoch(service_date + to_seconds(departure_secs))", "departure_secs", "service_date - date '1970-01-01'",
+                      "t.direction_id", "r.route_type"))} as row_sum
     from stop_times s join trips t on s.gtfs_id = t.gtfs_id and s.trip_id = t.trip_id
       join service_days d on t.gtfs_id = d.gtfs_id and t.service_id = d.service_id
       join routes r on t.gtfs_id = r.gtfs_id and t.route_id = r.route_id
@@ -56,8 +62,9 @@ def _(feed):
             F.count("route_long_name").alias("named"),
             F.count("shape_id").alias("shaped"),
             F.count("stop_id").alias("stopped"),
-            checksum("stop_id", "departure_ts", "departure_secs", "service_date", "trip_id", "route_id", "direction_id", "shape_id",
-                     "agency_id", "route_short_name", "route_long_name", "route_type").alias("row_sum"),
+            mixed_sum(("stop_id", "trip_id", "route_id", "shape_id", "agency_id", "route_short_name", "route_long_name"), (
+                *seconds_of("departure_ts"), F.col("departure_secs"), F.unix_date("service_date"), F.col("direction_id"),
+                F.col("route_type"))).alias("row_sum"),
         )
     )
 
