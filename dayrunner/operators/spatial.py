@@ -64,7 +64,8 @@ def near_places(places: DataFrame, others: DataFrame, radius_m: float) -> DataFr
     ends = [F.col(c) for c in ("lat", "lon", "other_lat", "other_lon")]
     return (
         left.join(right, [FEED, "_band", "_cell"]).filter(M.haversine(*ends) <= wide)
-        .withColumn("metres", M.geodesic(*ends)).filter(F.col("metres") <= radius_m)
+        # Exploded, so that the distance is worked out once and not again by a pushed filter.
+        .withColumn("metres", F.explode(F.filter(F.array(M.geodesic(*ends)), lambda m: m <= radius_m)))
         .drop("_band", "_cell")
     )
 
