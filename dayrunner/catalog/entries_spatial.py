@@ -147,15 +147,16 @@ def _(feed):
     return P.crossing_routes(feed, targets)
 
 
-@check("s7_spacing_along_shapes", "S7 B22", """
-    with sample as (select gtfs_id, route_id, min(trip_id) as trip_id, arg_min(shape_id, trip_id) as shape_id from trips group by 1, 2),
+SPACING_CLASS = """case when {M} > 2000 then '>2km' when {M} > 1000 then '1-2km' when {M} > 500 then '500-1000m' when {M} > 200 then '200-500m'
+        when {M} > 100 then '100-200m' when {M} > 50 then '50-100m' when {M} > 0 then '0-50m' end""".replace("{M}", METRES)
+PLACES = """sample as (select gtfs_id, route_id, min(trip_id) as trip_id, arg_min(shape_id, trip_id) as shape_id from trips group by 1, 2),
     seg as (
       select *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) as size from (
         select gtfs_id, shape_id, shape_pt_sequence as n, shape_pt_lat as y0, shape_pt_lon as x0,
           lead(shape_pt_lat) over w as y1, lead(shape_pt_lon) over w as x1
         from shapes window w as (partition by gtfs_id, shape_id order by shape_pt_sequence)) where x1 is not null),
     line as (select *, sum(size) over (partition by gtfs_id, shape_id order by n) - size as done from seg),
-    cand as (
+    near as (
       select s.gtfs_id, x.route_id, s.trip_id, x.shape_id, s.stop_sequence, s.stop_id, n, done, size, x0, y0, x1, y1,
         p.stop_lon as px, p.stop_lat as py,
         coalesce(greatest(0.0::double, least(1.0::double, ((p.stop_lon - x0) * (x1 - x0) + (p.stop_lat - y0) * (y1 - y0))
@@ -163,24 +164,76 @@ def _(feed):
       from stop_times s join sample x on x.gtfs_id = s.gtfs_id and x.trip_id = s.trip_id
         join stops p on p.gtfs_id = s.gtfs_id and p.stop_id = s.stop_id
         join line l on l.gtfs_id = x.gtfs_id and l.shape_id = x.shape_id),
-    best as (select * from (select *, row_number() over (partition by gtfs_id, trip_id, stop_sequence order by
-        round(sqrt((px - x0 - u * (x1 - x0)) * (px - x0 - u * (x1 - x0)) + (py - y0 - u * (y1 - y0)) * (py - y0 - u * (y1 - y0))), 12), n) as k
-      from cand) where k = 1),
-    legs as (select *, done + u * size as along, lead(stop_id) over w as to_stop, lead(done + u * size) over w as to_along
-      from best window w as (partition by gtfs_id, trip_id order by stop_sequence))
-    select l.gtfs_id, l.route_id, l.stop_sequence, l.stop_id as from_stop, to_stop, round(along, 6) as from_along, round(to_along, 6) as to_along,
-      case when {M} > 2000 then '>2km' when {M} > 1000 then '1-2km' when {M} > 500 then '500-1000m' when {M} > 200 then '200-500m'
-        when {M} > 100 then '100-200m' when {M} > 50 then '50-100m' when {M} > 0 then '0-50m' end as class
+    cand as (select *, done + u * size as spot,
+        sqrt((px - x0 - u * (x1 - x0)) * (px - x0 - u * (x1 - x0)) + (py - y0 - u * (y1 - y0)) * (py - y0 - u * (y1 - y0))) as off
+      from near)"""
+NEAREST_LEGS = """best as (select * from (select *, row_number() over (
+        partition by gtfs_id, trip_id, stop_sequence order by round(off, 12), n) as k from cand) where k = 1),
+    legs as (select *, spot as along, lead(stop_id) over w as to_stop, lead(spot) over w as to_along
+      from best window w as (partition by gtfs_id, trip_id order by stop_sequence))"""
+ORDERED_LEGS = """ranked as (select *, min(off) over (partition by gtfs_id, trip_id, stop_sequence) as low,
+        row_number() over (partition by gtfs_id, trip_id, stop_sequence order by round(off, 12), n) as k from cand),
+    place as (
+      select *, dense_rank() over (partition by gtfs_id, trip_id order by stop_sequence) as i from (
+        select distinct gtfs_id, trip_id, route_id, shape_id, stop_sequence, stop_id, round(spot, 9) as along, round(off, 9) as away
+        from ranked where off <= 0.01 or (low > 0.01 and k = 1))),
+    walked as (
+      with recursive dp as (
+        select gtfs_id, trip_id, i, along, away * away as cost, [along] as path from place where i = 1
+        union all
+        select p.gtfs_id, p.trip_id, p.i, p.along, min(d.cost) + p.away * p.away as cost,
+          list_append(arg_min(d.path, struct_pack(c := d.cost, a := d.along)), p.along) as path
+        from dp d join place p on p.gtfs_id = d.gtfs_id and p.trip_id = d.trip_id and p.i = d.i + 1 and d.along <= p.along
+        group by p.gtfs_id, p.trip_id, p.i, p.along, p.away)
+      select * from dp),
+    kept as (
+      select w.gtfs_id, w.trip_id, arg_min(path, struct_pack(c := cost, a := along)) as path
+      from walked w join (select gtfs_id, trip_id, max(i) as last from place group by 1, 2) e
+        on e.gtfs_id = w.gtfs_id and e.trip_id = w.trip_id and e.last = w.i group by 1, 2),
+    best as (
+      select p.gtfs_id, p.trip_id, p.route_id, p.shape_id, p.stop_sequence, p.stop_id,
+        coalesce(any_value(k.path[p.i]), arg_min(p.along, struct_pack(o := away, a := p.along))) as along
+      from place p left join kept k on k.gtfs_id = p.gtfs_id and k.trip_id = p.trip_id group by 1, 2, 3, 4, 5, 6),
+    legs as (select *, lead(stop_id) over w as to_stop, lead(along) over w as to_along
+      from best window w as (partition by gtfs_id, trip_id order by stop_sequence))"""
+SPACING = f"""select l.gtfs_id, l.route_id, l.stop_sequence, l.stop_id as from_stop, to_stop,
+      round(along, 6) as from_along, round(to_along, 6) as to_along, {SPACING_CLASS} as class
     from legs l join stops a on a.gtfs_id = l.gtfs_id and a.stop_id = l.stop_id
-      join stops b on b.gtfs_id = l.gtfs_id and b.stop_id = l.to_stop""".replace("{M}", METRES))
-def _(feed):
-    legs = P.spacing_along_shapes(feed)
+      join stops b on b.gtfs_id = l.gtfs_id and b.stop_id = l.to_stop"""
+PATH = """select l.gtfs_id, l.shape_id, l.route_id, l.stop_sequence, round(l.along, 6) as from_along, round(l.to_along, 6) as to_along,
+      round(v.done, 6) as along, v.x0 as lon, v.y0 as lat
+    from legs l join line v on v.gtfs_id = l.gtfs_id and v.shape_id = l.shape_id
+    where to_stop is not null and round(v.done - l.along, 9) > 0 and round(l.to_along - v.done, 9) > 0"""
+
+
+def _spacing(feed, *, in_order=False):
+    legs = P.spacing_along_shapes(feed, in_order=in_order)
     return rounded(
         legs.select("gtfs_id", "route_id", "stop_sequence", "from_stop", "to_stop", "from_along", "to_along", "class"),
         "from_along", "to_along",
     )
 
 
-@check("s7_path_points", "S7")
+def _path(feed, *, in_order=False):
+    legs = P.spacing_along_shapes(feed, in_order=in_order)
+    return rounded(P.path_points(feed, legs), "from_along", "to_along", "along")
+
+
+@check("s7_spacing_along_shapes", "S7 B22", f"with {PLACES}, {NEAREST_LEGS} {SPACING}")
+def _(feed):
+    return _spacing(feed)
+
+
+@check("s7_spacing_in_order", "S7 B22", f"with {PLACES}, {ORDERED_LEGS} {SPACING}")
+def _(feed):
+    return _spacing(feed, in_order=True)
+
+
+@check("s7_path_points", "S7", f"with {PLACES}, {NEAREST_LEGS} {PATH}")
+def _(feed):
+    return _path(feed)
+
+
+@check("s7_path_points_in_order", "S7", f"with {PLACES}, {ORDERED_LEGS} {PATH}")
 def _(feed):
-    return P.path_points(feed, P.spacing_along_shapes(feed))
+    return _path(feed, in_order=True)

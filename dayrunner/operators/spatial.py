@@ -276,24 +276,31 @@ def _measured_segments(shapes: DataFrame) -> DataFrame:
     )
 
 
-def project_stops(feed: Feed, samples: DataFrame, reach_degrees: float = 0.01) -> DataFrame:
-    """Each stop event of the sample trips put on the nearest point of its shape.
+def _placements(feed: Feed, samples: DataFrame, reach_degrees: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Stop events of the sample trips with every segment found near them, the
+    lines themselves, and the columns of an event.
 
-    Adds ``along`` (distance along the line) and ``off`` (distance from it), in
-    degrees. Segments within reach of a stop are found by grid cells; only
-    stops with none in reach are compared with their whole shape.
+    ``off`` is the distance from the segment and ``at`` the place on the line, in
+    degrees; an event without a segment in the cells around it has neither.
     """
     events = (
         feed.stop_times.select(*TRIP, "stop_id", "stop_sequence").join(samples, TRIP)
         .join(feed.stops.select(*STOP, F.col("stop_lon").alias("px"), F.col("stop_lat").alias("py")), STOP)
     )
-    # Read by both searches below, so computed once.
+    # Read by both searches, so computed once.
     lines = written(_measured_segments(feed.shapes.join(samples.select(*SHAPE), SHAPE, "left_semi")))
     gridded = (
         lines.withColumn("cx", F.explode(M.cell_range(F.col("x0"), F.col("x1"), reach_degrees)))
         .withColumn("cy", F.explode(M.cell_range(F.col("y0"), F.col("y1"), reach_degrees)))
     )
     around = lambda c: F.explode(F.sequence(M.cell(F.col(c), reach_degrees) - 1, M.cell(F.col(c), reach_degrees) + 1))
+    key = [*TRIP, "route_id", "shape_id", "stop_id", "stop_sequence", "px", "py"]
+    cells = events.withColumn("cx", around("px")).withColumn("cy", around("py"))
+    return _on_segments(cells.join(gridded, [*SHAPE, "cx", "cy"], "left")), lines, key
+
+
+def _on_segments(pairs: DataFrame) -> DataFrame:
+    """Distance ``off`` and place ``at`` of the point of a segment nearest to a stop."""
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     dot = (F.col("px") - F.col("x0")) * dx + (F.col("py") - F.col("y0")) * dy
     share = F.coalesce(
@@ -303,31 +310,104 @@ def project_stops(feed: Feed, samples: DataFrame, reach_degrees: float = 0.01) -
         F.pow(F.col("px") - (F.col("x0") + F.col("t") * dx), F.lit(2))
         + F.pow(F.col("py") - (F.col("y0") + F.col("t") * dy), F.lit(2))
     )
-    key = [*TRIP, "route_id", "shape_id", "stop_id", "stop_sequence", "px", "py"]
+    return pairs.withColumn("t", share).withColumns({
+        "off": F.when(F.col("x0").isNotNull(), off), "at": F.col("before") + F.col("t") * F.col("size"),
+    })
 
-    def nearest(pairs: DataFrame) -> DataFrame:
-        measured = pairs.withColumn("t", share).withColumn("off", F.when(F.col("x0").isNotNull(), off))
-        return measured.groupBy(*key).agg(
-            F.min("off").alias("off"),
-            # Distances equal to twelve places are ties; the earlier segment wins.
-            F.min_by(
-                F.col("before") + F.col("t") * F.col("size"),
-                F.when(F.col("off").isNotNull(), F.struct(F.round("off", 12), "shape_pt_sequence")),
-            ).alias("along"),
-        )
 
-    cells = events.withColumn("cx", around("px")).withColumn("cy", around("py"))
-    close = nearest(cells.join(gridded, [*SHAPE, "cx", "cy"], "left"))
+def _nearest(pairs: DataFrame, key: list[str]) -> DataFrame:
+    return pairs.groupBy(*key).agg(
+        F.min("off").alias("off"),
+        # Distances equal to twelve places are ties; the earlier segment wins.
+        F.min_by("at", F.when(F.col("off").isNotNull(), F.struct(F.round("off", 12), "shape_pt_sequence"))).alias("along"),
+    )
+
+
+def project_stops(feed: Feed, samples: DataFrame, reach_degrees: float = 0.01) -> DataFrame:
+    """Each stop event of the sample trips put on the nearest point of its shape.
+
+    Adds ``along`` (distance along the line) and ``off`` (distance from it), in
+    degrees. Segments within reach of a stop are found by grid cells; only
+    stops with none in reach are compared with their whole shape.
+    """
+    pairs, lines, key = _placements(feed, samples, reach_degrees)
+    close = _nearest(pairs, key)
     in_reach = F.coalesce(F.col("off") <= reach_degrees, F.lit(False))
-    far = nearest(close.filter(~in_reach).select(*key).join(lines, SHAPE))
+    far = _nearest(_on_segments(close.filter(~in_reach).select(*key).join(lines, SHAPE)), key)
     return close.filter(in_reach).unionByName(far).drop("px", "py")
 
 
-def spacing_along_shapes(feed: Feed, samples: DataFrame | None = None) -> DataFrame:
+def _kept_order(stops: Column) -> Column:
+    """Places along the line for a trip's stops, never going back, with the least
+    sum of squared distances; NULL where every choice goes back somewhere.
+
+    ``stops`` is an ordered array of structs whose ``places`` are (along, off).
+    A first pass over the stops keeps, for each place, the least cost of reaching
+    it in order; a second one goes back from the cheapest end. Of equal costs the
+    smaller place wins.
+    """
+    def reached(fronts: Column, stop: Column) -> Column:
+        def cost(place: Column) -> Column:
+            upto = F.array_min(F.filter(F.try_element_at(fronts, F.lit(-1)), lambda q: q["along"] <= place["along"]))
+            return F.when(F.size(fronts) == 0, F.lit(0.0)).otherwise(upto["cost"]) + place["off"] * place["off"]
+
+        front = F.transform(stop["places"], lambda p: F.struct(cost(p).alias("cost"), p["along"].alias("along")))
+        return F.concat(fronts, F.array(F.filter(front, lambda q: q["cost"].isNotNull())))
+
+    def chosen(places: Column, front: Column) -> Column:
+        limit = F.coalesce(F.try_element_at(places, F.lit(-1)), F.lit(float("inf")))
+        pick = F.array_min(F.filter(front, lambda q: q["along"] <= limit))
+        return F.concat(places, F.array(pick["along"]))
+
+    none = F.array().cast("array<array<struct<cost:double,along:double>>>")
+    fronts = F.aggregate(stops, none, reached)
+    back = F.aggregate(F.reverse(fronts), F.array().cast("array<double>"), chosen)
+    return F.when(~F.exists(back, lambda a: a.isNull()), F.reverse(back))
+
+
+def project_stops_in_order(feed: Feed, samples: DataFrame, reach_degrees: float = 0.01) -> DataFrame:
+    """``project_stops`` with places that never go back along a trip.
+
+    On loops and on lines that return the way they came, the nearest point may lie
+    on the wrong pass. Here each stop may take the nearest point of any segment
+    within reach (beyond reach: of the whole line), and the choice for all stops of
+    a trip together keeps their order at the least sum of squared distances.
+    ``in_order`` is false for trips for which no choice does; their stops stay at
+    the nearest places. Places and distances are rounded to nine decimals (0.1 mm).
+    One row holds the places in reach of one trip's stops.
+    """
+    pairs, lines, key = _placements(feed, samples, reach_degrees)
+    trip = [*TRIP, "route_id", "shape_id"]
+    place = F.struct(F.round("at", 9).alias("along"), F.round("off", 9).alias("off"))
+    close = pairs.groupBy(*key).agg(F.collect_set(F.when(F.col("off") <= reach_degrees, place)).alias("places"))
+    far = _nearest(_on_segments(close.filter(F.size("places") == 0).select(*key).join(lines, SHAPE)), key).withColumn(
+        "places", F.array(F.struct(F.round("along", 9).alias("along"), F.round("off", 9).alias("off")))
+    )
+    found = close.filter(F.size("places") > 0).select(*trip, "stop_sequence", "stop_id", "places").unionByName(
+        far.select(*trip, "stop_sequence", "stop_id", "places")
+    )
+    trips = found.groupBy(*trip).agg(
+        F.sort_array(F.collect_list(F.struct("stop_sequence", "stop_id", "places"))).alias("stops")
+    ).withColumn("kept", _kept_order(F.col("stops")))
+    # The nearest place: least distance, then the smaller place.
+    nearest = lambda s: F.array_min(F.transform(s["places"], lambda p: F.struct(p["off"], p["along"])))["along"]
+    placed = trips.select(
+        *trip, F.col("kept").isNotNull().alias("in_order"),
+        F.explode(F.arrays_zip("stops", F.coalesce("kept", F.transform("stops", nearest)).alias("along"))).alias("s"),
+    )
+    taken = F.filter("s.stops.places", lambda p: p["along"] == F.col("s.along"))
+    return placed.select(
+        *trip, "s.stops.stop_id", "s.stops.stop_sequence", F.array_min(F.transform(taken, lambda p: p["off"])).alias("off"),
+        F.col("s.along").alias("along"), "in_order",
+    )
+
+
+def spacing_along_shapes(feed: Feed, samples: DataFrame | None = None, *, in_order: bool = False) -> DataFrame:
     """Consecutive stops of a sample trip per route: where both lie on the shape,
-    their straight distance and its class."""
+    their straight distance and its class. With ``in_order`` the places on the
+    shape keep the order of the stops."""
     samples = sample_trips(feed) if samples is None else samples
-    placed = written(project_stops(feed, samples))
+    placed = written(project_stops_in_order(feed, samples) if in_order else project_stops(feed, samples))
     legs = neighbours(
         placed, TRIP, "stop_sequence", next={"to_stop": "stop_id", "to_along": "along"}
     ).filter("to_stop is not null").withColumnRenamed("stop_id", "from_stop")
@@ -339,12 +419,13 @@ def spacing_along_shapes(feed: Feed, samples: DataFrame | None = None) -> DataFr
 
 
 def path_points(feed: Feed, legs: DataFrame) -> DataFrame:
-    """Shape vertices between the two projected stops of each leg, in order."""
+    """Shape vertices between the two projected stops of each leg, in order. A
+    vertex within a billionth of a degree of a stop's place isn't between."""
     vertices = _measured_segments(
         feed.shapes.join(legs.select(*SHAPE), SHAPE, "left_semi")
     ).select(*SHAPE, F.col("before").alias("along"), F.col("x0").alias("lon"), F.col("y0").alias("lat"))
     return legs.select(*SHAPE, *ROUTE[1:], "stop_sequence", "from_along", "to_along").join(vertices, SHAPE).filter(
-        (F.col("along") > F.col("from_along")) & (F.col("along") < F.col("to_along"))
+        (F.round(F.col("along") - F.col("from_along"), 9) > 0) & (F.round(F.col("to_along") - F.col("along"), 9) > 0)
     )
 
 
