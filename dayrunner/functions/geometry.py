@@ -168,11 +168,11 @@ def angle_at(x0: Column, y0: Column, x1: Column, y1: Column, x2: Column, y2: Col
     return F.degrees(F.acos(clamped))
 
 
-def cell(value: Column, size: float) -> Column:
+def cell(value: Column, size: Column | float) -> Column:
     return F.floor(value / size)
 
 
-def cell_range(lo: Column, hi: Column, size: float, margin: int = 0) -> Column:
+def cell_range(lo: Column, hi: Column, size: Column | float, margin: int = 0) -> Column:
     """Array of the grid cells a span touches, widened by ``margin`` cells."""
     return F.sequence(cell(F.least(lo, hi), size) - margin, cell(F.greatest(lo, hi), size) + margin)
 

@@ -212,24 +212,57 @@ def longest_shapes(feed: Feed) -> DataFrame:
     )
 
 
-def crossing_routes(feed: Feed, targets: DataFrame, cell_degrees: float = 0.02) -> DataFrame:
+# The finest grid of segments, in degrees; every further level doubles it.
+FINEST_CELL = 2.0**-13
+
+
+def _levelled(lines: DataFrame) -> DataFrame:
+    """Segments with the first grid level whose cells are no smaller than their box."""
+    extent = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
+    level = F.when(extent > FINEST_CELL, F.ceil(F.log2(extent / FINEST_CELL)).cast("int")).otherwise(0)
+    return lines.withColumn("level", level)
+
+
+def _segment_cells(lines: DataFrame, others: DataFrame | None = None, *, own: bool = True) -> DataFrame:
+    """Segments in the cells of their own level, or of those levels from it upwards
+    (without ``own`` above it) that segments of ``others`` have.
+
+    On each level a segment is in four cells at most.
+    """
+    if others is None:
+        gridded = lines.withColumn("grid", F.col("level"))
+    else:
+        # A feed has no more levels than doublings from the finest cell to the globe.
+        present = others.groupBy(FEED).agg(F.collect_set("level").alias("_levels"))
+        upwards = F.filter("_levels", lambda v: (v >= F.col("level")) if own else (v > F.col("level")))
+        gridded = lines.join(present, FEED).withColumn("grid", F.explode(upwards)).drop("_levels")
+    wide = F.lit(FINEST_CELL) * F.pow(F.lit(2.0), F.col("grid"))
+    return (
+        gridded.withColumn("cx", F.explode(M.cell_range(F.col("x0"), F.col("x1"), wide)))
+        .withColumn("cy", F.explode(M.cell_range(F.col("y0"), F.col("y1"), wide)))
+    )
+
+
+def crossing_routes(feed: Feed, targets: DataFrame) -> DataFrame:
     """Other routes whose line touches or crosses a target route's line.
 
-    Equal segments of a route are taken once; candidate pairs share a grid cell
-    of their bounding boxes.
+    Equal segments of a route are taken once. Each lies on the grid level of its
+    own length, so long segments don't fill many cells and short ones, as in dense
+    centres, meet in small cells. Of a candidate pair the shorter segment climbs to
+    the level of the longer one, where both share a cell.
     """
-    lines = (
+    # Read by both directions, so computed once.
+    lines = written(_levelled(
         shape_segments(feed.shapes).join(feed.trips.select(*ROUTE, "shape_id").distinct(), SHAPE)
         .select(*ROUTE, "x0", "y0", "x1", "y1").distinct()
-    )
-    gridded = (
-        lines.withColumn("cx", F.explode(M.cell_range(F.col("x0"), F.col("x1"), cell_degrees)))
-        .withColumn("cy", F.explode(M.cell_range(F.col("y0"), F.col("y1"), cell_degrees)))
-    )
-    side = lambda df, p: df.select(FEED, "cx", "cy", *[F.col(c).alias(p + c) for c in ("route_id", "x0", "y0", "x1", "y1")])
-    chosen = side(gridded.join(targets.select(*ROUTE), ROUTE, "left_semi"), "a_")
+    ))
+    chosen = lines.join(targets.select(*ROUTE), ROUTE, "left_semi")
+    side = lambda df, p: df.select(FEED, "grid", "cx", "cy", *[F.col(c).alias(p + c) for c in ("route_id", "x0", "y0", "x1", "y1")])
+    cell = [FEED, "grid", "cx", "cy"]
+    others_climb = side(_segment_cells(chosen), "a_").join(side(_segment_cells(lines, chosen), "b_"), cell)
+    chosen_climb = side(_segment_cells(chosen, lines, own=False), "a_").join(side(_segment_cells(lines), "b_"), cell)
     return (
-        chosen.join(side(gridded, "b_"), [FEED, "cx", "cy"])
+        others_climb.unionByName(chosen_climb)
         .filter((F.col("a_route_id") != F.col("b_route_id")) & M.segments_touch("a_", "b_"))
         .select(FEED, F.col("a_route_id").alias("route_id"), F.col("b_route_id").alias("crossing_route_id"))
         .distinct()
