@@ -169,6 +169,12 @@ def _(feed):
     return rounded(R.retrieve(corpus(feed), asked(feed)), "score")
 
 
+@check("r4_cosine_top_k_skipping", "R4 G4", f"""
+    with {INDEX_SQL} select query_id, doc_id, round(score, 6) as score, cast(place as integer) as place from hits""")
+def _(feed):
+    return rounded(R.retrieve_skipping(corpus(feed), asked(feed)), "score")
+
+
 DOCS_SQL = """docs as (select doc_id, 'documents[' || doc_id || ']' as source,
       case when doc_id % 2 = 0 then 'few_shot' else 'sample_en' end as kind, text from documents)"""
 SNIPPET_SQL = """case when length(text) <= cap then text

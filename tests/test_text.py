@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import math
+import random
 import re
 
 import numpy as np
@@ -132,3 +133,46 @@ def test_header_longer_than_the_budget(spark):
     hits = spark.createDataFrame([("q", 1, 1, 0.5)], "query_id string, place int, doc_id bigint, score double")
     got = R.packed_messages(hits, docs, budget=30, header="H" * 40).first()
     assert (got.message, got.blocks) == ("H" * 10 + R.TRUNCATION_MARK, 0)
+
+
+def worded(spark, n):
+    """Texts that all hold "the", one word of twenty, and rare ones; some are equal."""
+    rng = random.Random(n)
+    texts = [
+        " ".join(["the"] * rng.randint(1, 3) + [f"common{rng.randrange(20)}"] + [f"rare{rng.randrange(n // 8)}" for _ in range(rng.randint(3, 9))])
+        for _ in range(n)
+    ]
+    texts[5::50] = [texts[0]] * len(texts[5::50])
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+QUESTIONS = ["the rare3", "the common5 rare1 rare2", "the", "the the common7", "rare4 rare5", "nothing known", "", None, "common1 rare9"]
+
+
+def questions(spark):
+    return spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id int, text string")
+
+
+@pytest.mark.parametrize("k", [1, 4, 30])
+def test_skipping_gives_the_rows_of_the_plain_join(spark, k):
+    docs, asked = worded(spark, 240), questions(spark)
+    want = rows(R.retrieve(docs, asked, k), "query_id", "doc_id", "place", "score")
+    assert rows(R.retrieve_skipping(docs, asked, k), "query_id", "doc_id", "place", "score") == want and want
+
+
+def test_skipping_without_texts_or_questions(spark):
+    docs, asked = worded(spark, 240), questions(spark)
+    assert R.retrieve_skipping(docs.limit(0), asked).count() == 0
+    assert R.retrieve_skipping(docs, asked.limit(0)).count() == 0
+
+
+def test_rows_joined_grow_less_than_the_corpus(spark):
+    """A word in every text: the plain join meets all of them, the kept blocks few."""
+    joined = {}
+    for n in (400, 3200):
+        index = R.Index(worded(spark, n))
+        asked = R._asked(index, questions(spark).filter("query_id = 0"))
+        plan = R.block_plan(asked, R.blocked_postings(index, asked), 4).collect()
+        joined[n] = sum(r["rows"] for r in plan if not r.skipped), sum(r["rows"] for r in plan)
+    (kept, every), (kept_later, every_later) = joined[400], joined[3200]
+    assert every_later > 7 * every and kept_later < 4 * kept and kept_later < every_later / 10, joined
