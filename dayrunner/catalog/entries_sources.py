@@ -11,8 +11,9 @@ from dayrunner.catalog.registry import check
 from dayrunner.catalog.tools import texts
 from dayrunner.functions import columns as C
 from dayrunner.operators import quality as V
+from dayrunner.plans import views
 from dayrunner.session import shared_dir
-from dayrunner.sources import corpus, gtfs, manifest, sinks
+from dayrunner.sources import corpus, gtfs, manifest, sinks, snapshots
 
 
 def _new_folder(spark) -> str:
@@ -123,6 +124,33 @@ def _(feed):
     return texts(back.calendar.select("gtfs_id", "service_id", "start_date", "monday"), "start_date")
 
 
+@check("a8_rewritten_feed", "A8", """
+    select gtfs_id, service_id, cast(start_date as varchar) as start_date, case when gtfs_id = 'r3' then 9 else monday end as monday
+    from calendar""")
+def _(feed):
+    """One feed is rewritten in a second run; the others stay as the first run left them."""
+    spark = feed.calendar.sparkSession
+    root = _new_folder(spark)
+    snapshots.commit(spark, root, {"calendar": feed.calendar})
+    snapshots.commit(spark, root, {"calendar": feed.calendar.filter("gtfs_id = 'r3'").withColumn("monday", F.lit(9))})
+    return texts(snapshots.load(spark, root, "calendar").select("gtfs_id", "service_id", "start_date", "monday"), "start_date")
+
+
+@check("c1_refreshed_service_days", "C1 A8", """
+    select gtfs_id, service_id, cast(service_date as varchar) as service_date
+    from service_days where gtfs_id <> 'r3' or service_id like 'r31%'""")
+def _(feed):
+    """A stored view after one feed lost some services and only that feed was worked out again."""
+    spark = feed.calendar.sparkSession
+    root, tables = _new_folder(spark), ["calendar", "calendar_dates"]
+    snapshots.commit(spark, root, {t: feed[t] for t in tables})
+    snapshots.refresh(spark, root, "service_days", tables, views.service_days)
+    fewer = "gtfs_id = 'r3' and service_id like 'r31%'"
+    snapshots.commit(spark, root, {t: feed[t].filter(fewer) for t in tables})
+    snapshots.refresh(spark, root, "service_days", tables, views.service_days)
+    return texts(snapshots.load(spark, root, "service_days").select("gtfs_id", "service_id", "service_date"), "service_date")
+
+
 @check("a10_worked_examples", "A10", """
     select 'documents/' || doc_id || '#example_' || n as source, 'few_shot' as kind, md5(case n when 7 then 'question: Why?'
         else 'feed: ' || lang || chr(10) || 'question: ' || source || chr(10) || 'answer:' || chr(10) ||
