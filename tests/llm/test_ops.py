@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dayrunner.llm import (
@@ -353,6 +354,37 @@ def test_personal_data_contexts_find_what_patterns_miss(docs_of, none):
     assert pii.find(none).count() == 0
 
 
+def test_personal_data_of_a_text_with_100_000_identifiers(docs_of):
+    words = [f"user{i}@mail.example.com" if i % 3 else f"10.{i % 256}.0.{i // 256 % 256}" for i in range(100_000)]
+    names, at = {"email": [], "ip": []}, 0
+    for i, word in enumerate(words):
+        kind = "email" if i % 3 else "ip"
+        names[kind].append(f"{kind}:{at}:{at + len(word)}")
+        at += len(word) + 1
+    got = by_id(pii.digests(pii.find(docs_of([(1, " ".join(words), "en", "s")]))))[1]
+    assert (got["n_email"], got["n_ip"], got["n_card"], got["n_phone"]) == (66_666, 33_334, 0, 0)
+    assert got["base_sha256"] == hashlib.sha256(",".join(names["email"] + names["ip"]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 1024, 1025, 40_000])
+def test_running_sums_of_any_length(spark, n):
+    numbers = [k * 7 % 13 for k in range(n)]
+    row = spark.createDataFrame([(numbers,)], "a array<int>").select(pii._running_sum(F.col("a")).alias("s")).first()
+    assert row["s"] == list(np.cumsum(numbers))
+
+
+def test_personal_data_contexts_find_malformed_phones_and_cards(docs_of):
+    known = [(i, f"please phone: +49 30 555 {1000 + i} soon", "en", "s") for i in range(20)]
+    known += [(100 + i, f"paid by card: {card} today", "en", "s") for i, card in enumerate(
+        f"{k}{check}" for k in range(400000000000000, 400000000000020) for check in range(10) if base_names(f"{k}{check}"))]
+    unseen = [(500, "please phone: 030-555-77 soon", "en", "s"), (501, "paid by card: 4000000000000003 today", "en", "s"),
+              (502, "the order 4000000000000003 came", "en", "s"), (503, "part 777-888-99 is none", "en", "s")]
+    got = by_id(pii.digests(pii.find(docs_of(known + unseen))))
+    assert got[500]["spans"] == "phone:14:24" and got[500]["n_phone"] == 0
+    assert got[501]["spans"] == "card:14:30" and got[502]["spans"] == "card:10:26" and got[501]["n_card"] == 0
+    assert got[503]["spans"] == "" and got[0]["n_phone"] == 1 and got[100]["n_card"] == 1
+
+
 # --- spans -----------------------------------------------------------------------------
 
 def test_repeated_passages_go_but_for_the_first(docs_of):
