@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
+import csv
 import re
 from collections.abc import Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,8 @@ from dayrunner.sources import manifest as M
 # Encodings in which a quote or a line break is more than one byte: such files
 # are not looked through for quoted line breaks and never split.
 WIDE_ENCODING = re.compile(r"(?i)utf-?(16|32)")
-HEADER_THREADS = 16
+# Columns of a first record that are read at once where it has line breaks.
+MOST_COLUMNS = 200
 # Signs that mean something in a path pattern.
 PATTERN_SIGNS = re.compile(r"([\\{}\[\]*?,])")
 
@@ -43,10 +45,36 @@ def _csv_options(encoding: str) -> dict[str, object]:
     return {"header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "encoding": encoding}
 
 
-def header_of(spark: SparkSession, path: str, encoding: str) -> tuple[str, ...]:
-    """Column names of a file's first record, however long it is; reads no further."""
-    names = spark.read.options(**_csv_options(encoding)).option("multiLine", True).csv(literal_path(path)).columns
-    return tuple(name.lstrip("\ufeff").strip() for name in names)
+def first_records(spark: SparkSession, paths: Sequence[str], encoding: str) -> dict[str, tuple[str, ...]]:
+    """The first record of every file in one read, however many lines it has.
+
+    Records of over ``MOST_COLUMNS`` columns are asked for file by file.
+    """
+    names = [f"c{i}" for i in range(MOST_COLUMNS + 1)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    options = {**_csv_options(encoding), "header": False, "multiLine": True}
+    rows = spark.read.schema(schema).options(**options).csv([literal_path(p) for p in paths])
+    firsts = rows.select(scanned_path().alias("path"), F.monotonically_increasing_id().alias("at"), F.array(*names).alias("record"))
+    out = {}
+    for row in firsts.groupBy("path").agg(F.min_by("record", "at").alias("record")).collect():
+        record = row.record
+        if record[-1] is not None:
+            record = spark.read.options(**options).csv(literal_path(row.path)).first()
+        filled = max((i + 1 for i, name in enumerate(record) if name is not None), default=0)
+        out[_plain(row.path)] = _names(record[:filled])
+    return out
+
+
+def _known(encoding: str) -> bool:
+    try:
+        codecs.lookup(encoding)
+    except LookupError:
+        return False
+    return True
+
+
+def _names(record: Sequence[str | None]) -> tuple[str, ...]:
+    return tuple((name or "").lstrip("\ufeff").strip() for name in record)
 
 
 def _bound(header: Sequence[str], wanted: Sequence[str]) -> tuple[str, ...]:
@@ -62,14 +90,39 @@ def _bound(header: Sequence[str], wanted: Sequence[str]) -> tuple[str, ...]:
     return tuple(out)
 
 
-def files_with_line_breaks(spark: SparkSession, paths: Sequence[str]) -> set[str]:
-    """The files with a line of unbalanced quotes, found in one scan of their lines.
-
-    The result is at most as long as the list of files.
+def looked_through(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[bytes | None, bool]]:
+    """For every file, its first line that isn't blank and whether a line has unbalanced
+    quotes, in one scan of all lines. A file's first split holds its first line, and rows
+    are numbered in the order of reading. One row a file is returned.
     """
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    found = spark.read.text([literal_path(p) for p in paths]).filter(quotes % 2 == 1).select(scanned_path().alias("path")).distinct()
-    return {_plain(r.path) for r in found.collect()}
+    heads = (F.col("_metadata.file_block_start") == 0) & (F.length(F.trim("value")) > 0)
+    lines = spark.read.text([literal_path(p) for p in paths]).select(
+        scanned_path().alias("path"), (quotes % 2 == 1).alias("odd"),
+        F.when(heads, F.monotonically_increasing_id()).alias("at"), F.when(heads, F.col("value").cast("binary")).alias("line"))
+    found = lines.groupBy("path").agg(F.bool_or("odd").alias("odd"), F.min_by("line", "at").alias("line"))
+    return {_plain(r.path): (None if r.line is None else bytes(r.line), r.odd) for r in found.collect()}
+
+
+def headers_of(
+    spark: SparkSession, encodings: Mapping[str, str], looked: Mapping[str, tuple[bytes | None, bool]]
+) -> dict[str, tuple[str, ...]]:
+    """Column names of every file; files without a line have none.
+
+    First lines already looked at are split here; where the first record goes on after
+    its first line, or in a wide encoding, one more read an encoding finds the rest.
+    """
+    headers: dict[str, tuple[str, ...]] = {}
+    others: dict[str, list[str]] = {}
+    for path, code in encodings.items():
+        line, _ = looked.get(_plain(path), (None, False))
+        if WIDE_ENCODING.match(code) or not _known(code) or (line is not None and line.count(b'"') % 2 == 1):
+            others.setdefault(code, []).append(path)
+        elif line is not None:
+            headers[_plain(path)] = _names(next(csv.reader([line.decode(code, "replace").lstrip("\ufeff")])))
+    for code, paths in others.items():
+        headers |= first_records(spark, paths, code)
+    return headers
 
 
 def read_raw(
@@ -86,13 +139,13 @@ def read_raw(
     chosen = files.select("path", "gtfs_id").distinct().collect()
     encodings = {r.path: encoding if isinstance(encoding, str) else encoding.get(r.gtfs_id) or "UTF-8" for r in chosen}
     narrow = [p for p, e in encodings.items() if not WIDE_ENCODING.match(e)]
-    whole = files_with_line_breaks(spark, narrow) if narrow else set()
-    with ThreadPoolExecutor(HEADER_THREADS) as pool:
-        headers = dict(zip(encodings, pool.map(lambda item: header_of(spark, *item), encodings.items()), strict=True))
+    looked = looked_through(spark, narrow) if narrow else {}
+    headers = {} if positional else headers_of(spark, encodings, looked)
     layouts: dict[tuple, list[str]] = {}
     for path, code in encodings.items():
-        names = tuple(wanted) if positional else _bound(headers[path], wanted)
-        layouts.setdefault((names, code, path not in narrow or _plain(path) in whole), []).append(path)
+        names = tuple(wanted) if positional else _bound(headers.get(_plain(path), ()), wanted)
+        _, odd = looked.get(_plain(path), (None, bool(WIDE_ENCODING.match(code))))
+        layouts.setdefault((names, code, odd), []).append(path)
     parts = []
     for (names, code, multi_line), paths in layouts.items():
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])

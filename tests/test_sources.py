@@ -135,6 +135,42 @@ def test_fractions_can_be_null(spark, root):
     assert rows(got.filter("arrival_time = '8:05:00'"), "stop_sequence") == [(None,)]
 
 
+def listing(spark, folder, table):
+    out = [(f"f{k}", table, str(path), path.name) for k, path in enumerate(sorted(folder.iterdir()))]
+    return spark.createDataFrame(out, "gtfs_id string, table string, path string, relative string")
+
+
+def test_headers_of_all_forms(spark, tmp_path):
+    wide = ",".join(f"x{k}" for k in range(300))
+    texts = {
+        "a": 'stop_name,stop_id\nn,a\n'.encode(), "b": b'\n  \nstop_id,stop_name\nb,n\n', "c": b"",
+        "d": 'stop_name,"odd\nname",stop_id\nn,x,d\n'.encode(), "e": "stop_name,stop_id\nn,e\n".encode("utf-16"),
+        "f": '\ufeff"stop_id","stop_name"\nf,n\n'.encode(), "g": f'"odd\nname",{wide},stop_id,stop_name\n,{"," * 300}g,n\n'.encode(),
+        "h": "stop_id,stop_name,größe\nh,n,1\n".encode("latin-1"), "i": b" stop_id , stop_name\ni,n\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    got = gtfs.read_raw(spark, "stops", listing(spark, tmp_path, "stops"), encoding={"f4": "UTF-16", "f7": "ISO-8859-1"})
+    assert rows(got, "stop_id", "stop_name") == [(name, "n") for name in "abdefghi"]
+
+
+@pytest.mark.parametrize("first", ["stop_id,stop_name", 'stop_id,"stop\nname"'])
+def test_headers_take_as_many_jobs_for_many_files_as_for_few(spark, tmp_path, first):
+    def jobs(count):
+        folder = tmp_path / str(count)
+        folder.mkdir()
+        for k in range(count):
+            (folder / f"{k}.txt").write_text(f"{first}{',x' * (k % 3)}\n{k},n\n")
+        files, group = listing(spark, folder, "stops"), f"headers of {count}"
+        spark.sparkContext.setJobGroup(group, group)
+        rows_read = gtfs.read_raw(spark, "stops", files)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert rows_read.count() == count
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(30) == jobs(3)
+
+
 def test_report_of_files(spark, root):
     feeds = manifest.active_feeds(manifest.read_manifest(spark, str(root / "manifest.csv")))
     found = manifest.table_files(manifest.list_files(spark, str(root / "data")), feeds)
