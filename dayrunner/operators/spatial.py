@@ -1,12 +1,15 @@
 """Nearness, route geometry and linear referencing.
 
 Searches go through an equi-join on grid cells no smaller than the radius, so
-nothing is compared with everything. Points at equal coordinates are searched
+nothing is compared with everything. A cell with many points is split into a tree
+of smaller ones until each holds few. Points at equal coordinates are searched
 once. Longitudes are not wrapped at the antimeridian.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,13 @@ from dayrunner.plans.views import FEED, ROUTE, STOP, TRIP
 from dayrunner.session import written
 
 SHAPE = [FEED, "shape_id"]
+CELL = [FEED, "_band", "_cell"]
+NODE = [*CELL, "_level", "_row", "_col"]
+# A cell or node with more points is split; each level halves both sides twice.
+LEAF_POINTS = 512
+LEVELS = 5
+# Lots that the points of a split cell are dealt to, so that no key holds them all.
+LOTS = 32
 
 
 def _cosine(lat: Column) -> Column:
@@ -49,6 +59,105 @@ def _cells(df: DataFrame, lat: str, lon: str, radius_m: float, *, spread: bool)
     )
 
 
+def _node_of(level: Column) -> tuple[Column, Column]:
+    """Row and column of a point's node at a level, from those at the last level."""
+    down = (2 * (LEVELS - level)).cast("int")
+    return (F.call_function("shiftright", F.col("_y"), down).alias("_row"),
+            F.call_function("shiftright", F.col("_x"), down).alias("_col"))
+
+
+def _lot(lat: str, lon: str) -> Column:
+    return F.pmod(F.xxhash64(lat, lon), F.lit(LOTS)).cast("int")
+
+
+def _all_lots(df: DataFrame) -> DataFrame:
+    return df.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))))
+
+
+def _leaves(points: DataFrame, crowded: DataFrame) -> DataFrame:
+    """The leaves of crowded cells: cells of few points, and nodes of few points, or of the
+    last level, whose parent has many.
+
+    ``points`` has the cells and the place ``_y``, ``_x`` inside them. ``_salts`` parts a
+    leaf of the last level that still has many points.
+    """
+    row, col = _node_of(F.col("_level"))
+    nodes = written(
+        points.join(crowded, CELL, "left_semi").groupBy(*CELL, "_y", "_x").agg(F.count("*").alias("n"))
+        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+        .select(*CELL, "_level", row, col, "n").groupBy(*NODE).agg(F.sum("n").alias("n"))
+    )
+    many = F.col("n") > LEAF_POINTS
+    up = [(F.col("_level") + 1).alias("_level"), F.col("_row").alias("_up_row"), F.col("_col").alias("_up_col")]
+    parents = nodes.filter(many).select(*CELL, *up)
+    below = nodes.withColumns({"_up_row": F.shiftright("_row", 2), "_up_col": F.shiftright("_col", 2)})
+    ends = below.filter(~many | (F.col("_level") == LEVELS)).join(parents, [*CELL, "_level", "_up_row", "_up_col"], "left_semi")
+    whole = nodes.filter((F.col("_level") == 0) & ~many)
+    return ends.select(*NODE, "n").unionByName(whole.select(*NODE, "n")).select(
+        *NODE, F.ceil(F.col("n") / LEAF_POINTS).cast("int").alias("_salts"))
+
+
+def _meeting(left: DataFrame, right: DataFrame, radius_m: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the columns on which points within a radius meet, and those columns.
+
+    ``left`` is (gtfs_id, lat, lon), ``right`` (gtfs_id, other_lat, other_lon), both distinct.
+    Where no cell is crowded with points of either side, points meet on cells. In a
+    crowded one a left point goes to every leaf its circle may reach, a right point to its
+    own leaf; the left points of a leaf are dealt in lots, which its right points are copied to.
+    """
+    left = _cells(left, "lat", "lon", radius_m, spread=True)
+    right = _cells(right, "other_lat", "other_lon", radius_m, spread=False)
+    crowded = written(
+        left.groupBy(*CELL).agg(F.count("*").alias("n")).unionByName(right.groupBy(*CELL).agg(F.count("*").alias("n")))
+        .filter(F.col("n") > LEAF_POINTS).select(*CELL).distinct()
+    )
+    if crowded.isEmpty():
+        return left, right, CELL
+    high = radius_m / M.METRES_PER_DEGREE * 1.0001
+    wide = high / _cosine((F.col("_band") + 0.5) * high)
+    side = 4 ** LEVELS
+
+    def place(share: Column) -> Column:
+        return F.least(F.greatest(F.floor(share * side), F.lit(0)), F.lit(side - 1)).cast("int")
+
+    right = right.withColumns({
+        "_y": place(F.col("other_lat") / high - F.col("_band")), "_x": place(F.col("other_lon") / wide - F.col("_cell")),
+        "_lot": _lot("other_lat", "other_lon")})
+    leaves = written(_leaves(right, crowded))
+    dealt = _all_lots(leaves)
+    none = {"_level": F.lit(0), "_row": F.lit(0), "_col": F.lit(0), "_salt": F.lit(0), "_lot": F.lit(0)}
+    keys = [*NODE, "_salt", "_lot"]
+    ends = ["other_lat", "other_lon"]
+
+    split_cells = _all_lots(crowded.withColumn("_split", F.lit(True)))
+    flagged = right.join(split_cells, [*CELL, "_lot"], "left")
+    row, col = _node_of(F.col("_level"))
+    split = (
+        flagged.filter("_split").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+        .select(*CELL, "_level", row, col, "_lot", *ends).join(dealt, [*NODE, "_lot"])
+        .withColumn("_salt", F.pmod(F.xxhash64(*ends), F.col("_salts")).cast("int")).drop("_lot")
+    )
+    here = flagged.filter("_split is null").select(*CELL, *ends).withColumns(none)
+    right = here.select(*keys, *ends).unionByName(_all_lots(split).select(*keys, *ends))
+
+    part = F.lit(1.0) / F.pow(F.lit(4.0), F.col("_level"))
+    reach = F.lit(1.01 * high) / _cosine(F.abs(F.col("lat")) + 2 * high)
+    # A node's box, a little wider than it is, as places are rounded.
+    low_lat, low_lon = (F.col("_band") + F.col("_row") * part) * high, (F.col("_cell") + F.col("_col") * part) * wide
+    may_reach = (
+        F.col("lat").between(low_lat - 1.01 * high, low_lat + (part + 1.01) * high)
+        & F.col("lon").between(low_lon - reach, low_lon + part * wide + reach)
+    )
+    copies = left.withColumn("_lot", _lot("lat", "lon")).join(split_cells, [*CELL, "_lot"], "left")
+    spread = (
+        copies.filter("_split").join(dealt, [*CELL, "_lot"]).filter(may_reach)
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    )
+    alone = copies.filter("_split is null").select(*CELL, "lat", "lon").withColumns(none)
+    left = alone.select(*keys, "lat", "lon").unionByName(spread.select(*keys, "lat", "lon"))
+    return left, right, keys
+
+
 def near_places(places: DataFrame, others: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of distinct coordinates within a radius.
 
@@ -56,17 +165,15 @@ def near_places(places: DataFrame, others: DataFrame, radius_m: float) -> DataFr
     ``other_lon`` and ``metres``.
     """
     wide = radius_m * M.SPHERE_EXCESS
-    left = _cells(places.select(FEED, "lat", "lon").distinct(), "lat", "lon", wide, spread=True)
-    right = _cells(
-        others.select(FEED, F.col("lat").alias("other_lat"), F.col("lon").alias("other_lon")).distinct(),
-        "other_lat", "other_lon", wide, spread=False,
-    )
+    left, right, keys = _meeting(
+        places.select(FEED, "lat", "lon").distinct(),
+        others.select(FEED, F.col("lat").alias("other_lat"), F.col("lon").alias("other_lon")).distinct(), wide)
     ends = [F.col(c) for c in ("lat", "lon", "other_lat", "other_lon")]
     return (
-        left.join(right, [FEED, "_band", "_cell"]).filter(M.haversine(*ends) <= wide)
+        left.join(right, keys).filter(M.haversine(*ends) <= wide)
         # Exploded, so that the distance is worked out once and not again by a pushed filter.
         .withColumn("metres", F.explode(F.filter(F.array(M.geodesic(*ends)), lambda m: m <= radius_m)))
-        .drop("_band", "_cell")
+        .select(FEED, "lat", "lon", "other_lat", "other_lon", "metres")
     )
 
 
@@ -114,18 +221,15 @@ def stops_near_mode(
         FEED, F.col("stop_lat").alias("other_lat"), F.col("stop_lon").alias("other_lon")
     ).distinct()
     wide = radius_m * M.SPHERE_EXCESS
-    left = _cells(mine.select(FEED, "lat", "lon").distinct(), "lat", "lon", wide, spread=True).alias("l")
-    right = _cells(theirs, "other_lat", "other_lon", wide, spread=False).alias("r")
+    left, right, keys = _meeting(mine.select(FEED, "lat", "lon").distinct(), theirs, wide)
+    left, right = left.alias("l"), right.alias("r")
     ends = [F.col(c) for c in ("l.lat", "l.lon", "r.other_lat", "r.other_lon")]
     # Most pairs are decided on the sphere; the ellipsoid is asked about the rest.
     sphere = M.haversine(*ends)
     near = (sphere <= wide) & ((sphere <= radius_m / M.SPHERE_EXCESS) | (M.geodesic(*ends) <= radius_m))
     if drop_same_place:
         near = near & (sphere > 0)
-    same_cell = (
-        (F.col(f"l.{FEED}") == F.col(f"r.{FEED}")) & (F.col("l._band") == F.col("r._band"))
-        & (F.col("l._cell") == F.col("r._cell"))
-    )
+    same_cell = reduce(Column.__and__, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
     places = left.join(right, same_cell & near, "left_semi").select(FEED, "lat", "lon")
     return mine.join(places, [FEED, "lat", "lon"], "left_semi").select(*STOP)
 
