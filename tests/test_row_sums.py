@@ -15,7 +15,7 @@ def renamed(df):
     return df.withColumn("trip_id", F.concat(F.lit("q"), F.substring("trip_id", 2, 9)))
 
 
-@pytest.mark.parametrize("key", ["c2_stop_times_norm"])
+@pytest.mark.parametrize("key", ["c2_stop_times_norm", "c3_departures"])
 def test_row_sums_tell_other_ids(spark, key):
     feed = small_feed(spark)
     other = feed.replace(trips=renamed(feed.trips), stop_times=renamed(feed.stop_times))
