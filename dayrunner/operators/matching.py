@@ -33,6 +33,8 @@ from dayrunner.plans.views import FEED, ROUTE, STOP
 # Words that do not belong to a street's own name.
 STREET_WORDS = "st|street|ave|avenue|rd|road|blvd|dr|drive|ln|lane|way"
 
+# Lots that the stops with the same streets are dealt to.
+LOTS = 32
 WORD = 32  # bits of a vector held in one long, which leaves room for the carry
 # Signs that names have often, rarest first; all others count as rarer. Any order is right, this one is quick.
 COMMON_LAST = "zqxjkvbywgpfmucdlhrsniotae9876543210 "
@@ -207,15 +209,28 @@ def stops_at_intersection(stops: DataFrame, crossings: DataFrame, threshold: flo
     """
     asked = crossings.select(F.explode(F.array("street_a", "street_b")).alias("query")).distinct()
     streets = stop_streets(stops)
-    named = streets.select(*STOP, F.col("name").alias("street"), normalized("name").alias("name_text"))
+    # Stops that name the same streets match the same crossings: a class holds the streets of one kind of stop.
+    known = streets.filter(F.col(FEED).isNotNull() & F.col("stop_id").isNotNull())
+    kinds = known.groupBy(*STOP).agg(F.sort_array(F.collect_list("name")).alias("streets"))
+    classes = kinds.select("streets").distinct()
+    parts = classes.select("streets", F.explode("streets").alias("street")).select(
+        "streets", "street", normalized("street").alias("name_text"))
     texts = asked.select("query", normalized("query").alias("query_text"))
     pairs = match_texts(
-        named.select(F.col("name_text").alias("text")), texts.select(F.col("query_text").alias("text")), threshold
+        parts.select(F.col("name_text").alias("text")), texts.select(F.col("query_text").alias("text")), threshold
     )
-    hits = pairs.join(texts, "query_text").join(named, "name_text").select("query", *STOP, "street", "score")
-    side = lambda n: hits.select(F.col("query").alias(f"street_{n}"), *STOP, F.col("street").alias(f"on_{n}"), F.col("score").alias(f"score_{n}"))
-    return (
-        crossings.join(side("a"), "street_a").join(side("b"), ["street_b", *STOP])
+    hits = pairs.join(texts, "query_text").join(parts, "name_text").select("query", "streets", "street", "score")
+    side = lambda n: hits.select(F.col("query").alias(f"street_{n}"), "streets", F.col("street").alias(f"on_{n}"), F.col("score").alias(f"score_{n}"))
+    named = crossings.select("street_a", "street_b").distinct()
+    matched = (
+        named.join(side("a"), "street_a").join(side("b"), ["street_b", "streets"])
         .filter("on_a <> on_b")
-        .groupBy("crossing_id", *STOP).agg(F.max(F.col("score_a") + F.col("score_b")).alias("score"))
+        .groupBy("street_a", "street_b", "streets").agg(F.max(F.col("score_a") + F.col("score_b")).alias("score"))
     )
+    # A crossing counts once for each of its ids, at the best score of the streets it stands with.
+    spelled = crossings.select("crossing_id", "street_a", "street_b").distinct()
+    scored = spelled.join(matched, ["street_a", "street_b"]).groupBy("crossing_id", "streets").agg(F.max("score").alias("score"))
+    # The stops of a kind are dealt in lots, which its crossings are copied to, so no key holds them all.
+    dealt = kinds.withColumn("_lot", F.pmod(F.xxhash64(*STOP), F.lit(LOTS)).cast("int"))
+    copied = scored.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))))
+    return copied.join(dealt, ["streets", "_lot"]).select("crossing_id", *STOP, "score")
