@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayrunner.feed import Feed
@@ -181,17 +181,23 @@ def stops_near(feed: Feed, points: DataFrame, radius_m: float = 200, *, k: int |
     """Stops within a radius of each point; with ``k`` the nearest k.
 
     ``points``: (gtfs_id, point_id, lat, lon). Distances are found between
-    distinct coordinates; ids are attached to the hits.
+    distinct coordinates; ids are attached to the hits. With ``k`` a place first
+    keeps its own nearest k, as all points at it have the same.
     """
     stops = feed.stops.select(*STOP, F.col("stop_lat").alias("other_lat"), F.col("stop_lon").alias("other_lon"))
     hits = near_places(points, stops.toDF(FEED, "stop_id", "lat", "lon"), radius_m)
-    found = (
-        points.select(FEED, "point_id", "lat", "lon").join(hits, [FEED, "lat", "lon"])
-        .join(stops, [FEED, "other_lat", "other_lon"])
-        .select(FEED, "point_id", "stop_id", "metres")
-    )
+    asked = points.select(FEED, "point_id", "lat", "lon")
     if k is None:
-        return found
+        return (
+            asked.join(hits, [FEED, "lat", "lon"]).join(stops, [FEED, "other_lat", "other_lon"])
+            .select(FEED, "point_id", "stop_id", "metres")
+        )
+    # Any k places hold at least k stops; equal distances at the edge are kept until the ids decide.
+    edge = Window.partitionBy(FEED, "lat", "lon").orderBy("metres")
+    nearest = hits.withColumn("_place", F.rank().over(edge)).filter(F.col("_place") <= k).drop("_place")
+    first = G.top_per(stops, [FEED, "other_lat", "other_lon"], ["stop_id"], k)
+    offered = G.top_per(nearest.join(first, [FEED, "other_lat", "other_lon"]), [FEED, "lat", "lon"], ["metres", "stop_id"], k)
+    found = asked.join(offered, [FEED, "lat", "lon"]).select(FEED, "point_id", "stop_id", "metres")
     return G.top_per(found, [FEED, "point_id"], ["metres", "stop_id"], k, rank="place")
 
 
