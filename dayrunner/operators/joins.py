@@ -15,6 +15,7 @@ from dayrunner.feed import Feed
 from dayrunner.functions import columns as C
 from dayrunner.plans import views as V
 from dayrunner.plans.views import FEED, ROUTE, SERVICE, STOP, TRIP
+from dayrunner.session import written
 
 
 def trip_events(feed: Feed, event_cols: Sequence[str], trip_cols: Sequence[str]) -> DataFrame:
@@ -88,6 +89,9 @@ def routes_without(feed: Feed, what: str) -> DataFrame:
 
 # --- route connectivity ----------------------------------------------------
 
+# Routes that one number tells by its bits.
+WORD = 32
+
 def _telling_stops(served: DataFrame) -> DataFrame:
     """(route, stop) of one stop for every set of routes that share a stop.
 
@@ -102,9 +106,27 @@ def _telling_stops(served: DataFrame) -> DataFrame:
 
 
 def connections(served: DataFrame) -> DataFrame:
-    """All (route, connected route) pairs, each exactly once per direction."""
-    return connections_from(served, _telling_stops(served)).select(
-        FEED, F.col("from_route_id").alias("route_id"), F.col("route_id").alias("connected_route_id"))
+    """All (route, connected route) pairs, each exactly once per direction.
+
+    Routes are numbered; a stop holds its routes as the bits of numbers of WORD bits. The
+    bits of a route's stops are put together, so pairs are first formed when each is
+    found: a stop of many routes costs a row for each route and word, not for each pair.
+    """
+    known = served.filter(" and ".join(f"{c} is not null" for c in (*ROUTE, "stop_id")))
+    telling = written(_telling_stops(known))
+    numbers = written(
+        telling.select(*ROUTE).distinct().orderBy(*ROUTE).select(*ROUTE, F.monotonically_increasing_id().alias("no")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("no") % WORD).cast("int"))
+    word = F.floor(F.col("no") / WORD).alias("word")
+    bits = telling.join(numbers, ROUTE).groupBy(*STOP, word).agg(F.bit_or(bit).alias("bits"))
+    met = telling.join(bits, STOP).groupBy(*ROUTE, "word").agg(F.bit_or("bits").alias("bits"))
+    places = F.explode(F.sequence(F.lit(0), F.lit(WORD - 1)))
+    pairs = (
+        met.withColumn("_bit", places).filter(F.expr("shiftright(bits, _bit) & 1 = 1"))
+        .select(*ROUTE, (F.col("word") * WORD + F.col("_bit")).alias("no"))
+    )
+    others = numbers.select("no", F.col("route_id").alias("connected_route_id"))
+    return pairs.join(others, "no").filter("route_id <> connected_route_id").select(*ROUTE, "connected_route_id")
 
 
 def connection_counts(served: DataFrame) -> DataFrame:
