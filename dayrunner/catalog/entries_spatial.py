@@ -24,7 +24,7 @@ MODE_STOPS = f"""mode_stops as (
     from steps s join stops a on a.gtfs_id = s.gtfs_id and a.stop_id = s.stop_id
       join stops b on b.gtfs_id = s.gtfs_id and b.stop_id = s.next_stop group by 1, 2, 3""")
 def _(feed):
-    pairs = Q.pair_coordinates(Q.stop_pairs(feed), feed).withColumn("metres", Q.pair_metres())
+    pairs = Q.with_pair_metres(Q.pair_coordinates(Q.stop_pairs(feed), feed))
     return rounded(pairs.select("gtfs_id", "from_stop", "to_stop", "metres"), "metres", places=4)
 
 

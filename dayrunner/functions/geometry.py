@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import pi
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6371008.8
@@ -151,6 +151,65 @@ def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.when(known, F.when(same, F.lit(0.0)).otherwise(_let(base, metres)))
 
 
+def with_geodesic(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, name: str) -> DataFrame:
+    """``df`` with a column of ``geodesic`` between its coordinates, for many rows.
+
+    The same formulas, step by step as columns: Spark compiles those, whereas it interprets
+    the nested functions that one expression needs. Points almost opposite take the expression.
+    Missing coordinates are 0 on the way, which saves checks for nulls.
+    """
+    own = "_geodesic_"
+    c = lambda n: F.col(own + n)
+    out = df
+
+    def put(**columns: Column) -> None:
+        nonlocal out
+        out = out.withColumns({own + n: v for n, v in columns.items()})
+
+    def arc(longitude: Column) -> None:
+        """sin_az, arc, sin_arc, cos_arc, cos_mid of the great circle at this difference of longitude, as in ``_arc``."""
+        put(lon=longitude)
+        put(half=c("h") + c("c12") * _square(F.sin(c("lon") / 2)))
+        put(half=F.when(c("half") > 1, F.lit(1.0)).otherwise(c("half")))
+        put(root=F.sqrt(c("half")), rest=F.sqrt(1 - c("half")))
+        put(arc=2 * F.atan2(c("root"), c("rest")), sin=2 * F.sqrt(c("half") * (1 - c("half"))), cos=1 - 2 * c("half"))
+        put(az=F.coalesce(F.try_divide(c("c12") * F.sin(c("lon")), c("sin")), F.lit(0.0)))
+        put(cos2=1 - _square(c("az")))
+        put(mid=F.when(c("cos2") > 1e-14, c("cos") - 2 * c("s1") * c("s2") / c("cos2")).otherwise(0.0))
+
+    a, b = F.col(lat1), F.col(lat2)
+    polar = 1 - FLATTENING
+    filled = lambda n: F.coalesce(F.col(n).cast("double"), F.lit(0.0))
+    put(p1=F.radians(filled(lat1)), p2=F.radians(filled(lat2)), d=F.radians(filled(lat2) - filled(lat1)),
+        l=F.coalesce(F.radians(F.abs(F.pmod(filled(lon2) - filled(lon1) + 180.0, F.lit(360.0)) - 180.0)), F.lit(0.0)))
+    put(sp1=F.sin(c("p1")), cp1=F.cos(c("p1")), sp2=F.sin(c("p2")), cp2=F.cos(c("p2")))
+    put(r1=F.atan2(polar * c("sp1"), c("cp1")), r2=F.atan2(polar * c("sp2"), c("cp2")),
+        between=F.atan2(polar * F.sin(c("d")), c("cp1") * c("cp2") + polar**2 * c("sp1") * c("sp2")))
+    put(s1=F.sin(c("r1")), c1=F.cos(c("r1")), s2=F.sin(c("r2")), c2=F.cos(c("r2")), h=_square(F.sin(c("between") / 2)))
+    put(c12=c("c1") * c("c2"), now=c("l"))
+    for step in range(LONGITUDE_STEPS):
+        if step % 3 == 2:
+            # Parts the generated code: Java leaves methods of over 8,000 bytes uncompiled.
+            put(now=_let(c("now"), lambda x: x))
+        arc(c("now"))
+        put(k=FLATTENING / 16 * c("cos2") * (4 + FLATTENING * (4 - 3 * c("cos2"))), last=c("now"))
+        put(now=c("l") + (1 - c("k")) * FLATTENING * c("az") * (c("arc") + c("k") * c("sin") * (
+            c("mid") + c("k") * c("cos") * (2 * _square(c("mid")) - 1))))
+    arc(c("now"))
+    put(u2=c("cos2") * ((MAJOR_M**2 - MINOR_M**2) / MINOR_M**2), mid2=_square(c("mid")))
+    u2 = c("u2")
+    put(a=1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2))), b=u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2))))
+    less = c("b") * c("sin") * (c("mid") + c("b") / 4 * (
+        c("cos") * (2 * c("mid2") - 1) - c("b") / 6 * c("mid") * (4 * _square(c("sin")) - 3) * (4 * c("mid2") - 3)))
+    put(metres=MINOR_M * c("a") * (c("arc") - less), settled=(F.abs(c("now") - c("last")) <= CONVERGED) & (c("now") <= pi))
+    known = a.isNotNull() & F.col(lon1).isNotNull() & b.isNotNull() & F.col(lon2).isNotNull()
+    same = (a == b) & (F.col(lon1) == F.col(lon2))
+    metres = F.when(~known, F.lit(None).cast("double")).when(same, F.lit(0.0)).when(c("settled"), c("metres")).otherwise(
+        geodesic(a, F.col(lon1), b, F.col(lon2)))
+    kept = [n for n in df.columns if n != name]
+    return out.select(*kept, metres.alias(name))
+
+
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Initial compass bearing in degrees, 0 <= b < 360."""
     p1, p2, dl = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dayrunner.feed import Feed
 from dayrunner.functions import columns as C
-from dayrunner.functions.geometry import angle_at, bearing, geodesic
+from dayrunner.functions.geometry import angle_at, bearing, geodesic, with_geodesic
 from dayrunner.functions.ordered import exact_median, neighbours, positions
 from dayrunner.operators import choose as G
 from dayrunner.operators import service as S
@@ -192,6 +192,11 @@ def pair_metres() -> Column:
     return geodesic(F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon"))
 
 
+def with_pair_metres(pairs: DataFrame) -> DataFrame:
+    """Pairs with their coordinates, and ``metres``."""
+    return with_geodesic(pairs, "from_lat", "from_lon", "to_lat", "to_lon", "metres")
+
+
 def stop_spacing(feed: Feed, route_type: int | None = 3) -> DataFrame:
     """Mean spacing per route: travelled distance, else straight line."""
     routes = feed.routes if route_type is None else feed.routes.filter(F.col("route_type") == route_type)

@@ -96,3 +96,16 @@ def test_a_sphere_exceeds_the_ellipsoid_by_its_bound_at_most(spark):
     df = spark.createDataFrame(pairs.tolist(), "a double, b double, c double, d double")
     cols = [F.col(c) for c in "abcd"]
     assert df.filter(M.haversine(*cols) > M.SPHERE_EXCESS * M.geodesic(*cols)).count() == 0
+
+
+def test_steps_as_columns_equal_the_expression(spark):
+    """with_geodesic is geodesic bit by bit: short, long, almost opposite, equal and missing ends; its steps are compiled."""
+    rows = [(35.0 + i / 7e3, 139.0 + i / 3e3, 35.01, 139.0 - i / 5e3) for i in range(200)]
+    rows += [(i - 80.0, 3.0 * i, 79.5 - i, 3.0 * i + 179.0 + i / 100) for i in range(160)] + [(0.0, 0.0, 0.0, 180.0), (90.0, 5.0, -90.0, 7.0)]
+    rows += [(1.0, 2.0, 1.0, 2.0), (None, 2.0, 1.0, 2.0), (1.0, None, 1.0, 2.0), (1.0, 2.0, None, None), (float("nan"), 2.0, 1.0, 2.0)]
+    ends = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    both = M.with_geodesic(ends, "a", "b", "c", "d", "m").withColumn("want", M.geodesic(*map(F.col, "abcd")))
+    for r in both.collect():
+        assert r.m is r.want is None or r.m == r.want or abs(r.m - r.want) < 1e-7 or (r.m != r.m and r.want != r.want), r
+    plan = M.with_geodesic(ends, "a", "b", "c", "d", "m")._jdf.queryExecution().executedPlan().toString()
+    assert len([1 for line in plan.splitlines() if "*(" in line]) > 40
