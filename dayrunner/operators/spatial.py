@@ -9,6 +9,7 @@ once. Longitudes are not wrapped at the antimeridian.
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ LEAF_POINTS = 512
 LEVELS = 5
 # Lots that the points of a split cell are dealt to, so that no key holds them all.
 LOTS = 32
+# Pairs of a point and a stop that one task puts out.
+TASK_HITS = 1_000_000
 
 
 def _cosine(lat: Column) -> Column:
@@ -169,10 +172,11 @@ def near_places(places: DataFrame, others: DataFrame, radius_m: float) -> DataFr
         places.select(FEED, "lat", "lon").distinct(),
         others.select(FEED, F.col("lat").alias("other_lat"), F.col("lon").alias("other_lon")).distinct(), wide)
     ends = [F.col(c) for c in ("lat", "lon", "other_lat", "other_lon")]
+    near = left.join(right, keys).filter(M.haversine(*ends) <= wide)
     return (
-        left.join(right, keys).filter(M.haversine(*ends) <= wide)
         # Exploded, so that the distance is worked out once and not again by a pushed filter.
-        .withColumn("metres", F.explode(F.filter(F.array(M.geodesic(*ends)), lambda m: m <= radius_m)))
+        M.with_geodesic(near, "lat", "lon", "other_lat", "other_lon", "metres")
+        .withColumn("metres", F.explode(F.filter(F.array("metres"), lambda m: m <= radius_m)))
         .select(FEED, "lat", "lon", "other_lat", "other_lon", "metres")
     )
 
@@ -188,8 +192,17 @@ def stops_near(feed: Feed, points: DataFrame, radius_m: float = 200, *, k: int |
     hits = near_places(points, stops.toDF(FEED, "stop_id", "lat", "lon"), radius_m)
     asked = points.select(FEED, "point_id", "lat", "lon")
     if k is None:
+        hits = written(hits)
+        there = [FEED, "other_lat", "other_lon"]
+        ends = (
+            hits.join(asked.groupBy(FEED, "lat", "lon").agg(F.count("*").alias("n")), [FEED, "lat", "lon"])
+            .join(stops.groupBy(*there).agg(F.count("*").alias("m")), there)
+        )
+        # Sized by the rows that come out: those that go in are few, and would be put in few tasks.
+        found = ends.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+        tasks = max(1, ceil(found / TASK_HITS))
         return (
-            asked.join(hits, [FEED, "lat", "lon"]).join(stops, [FEED, "other_lat", "other_lon"])
+            asked.join(hits, [FEED, "lat", "lon"]).repartition(tasks, *there).join(stops.repartition(tasks, *there), there)
             .select(FEED, "point_id", "stop_id", "metres")
         )
     # Any k places hold at least k stops; equal distances at the edge are kept until the ids decide.

@@ -113,3 +113,14 @@ def test_matrices_of_a_part_are_cut_to_size(monkeypatch):
     want = products(texts, asked)
     fourth = {q: sorted((v for (x, _), v in want.items() if x == q), reverse=True)[:4][-1] for q in {a[0] for a in asked}}
     assert got() == plain == {k: round(v, 9) for k, v in want.items() if v + 0.1 >= max(0.2, fourth[k[0]]) - R.MARGIN}
+
+
+def test_stops_within_a_radius_are_put_out_by_many_tasks(spark, feed, monkeypatch):
+    """Tasks are counted by the pairs they put out, however few places there are."""
+    monkeypatch.setattr(P, "TASK_HITS", 100)
+    spots = [("f", f"s{i}", 35.0 + (i % 9) * 0.001, 139.0) for i in range(90)] + [("f", "s1", 35.001, 139.0), ("f", None, None, 139.0)]
+    stops = spark.createDataFrame(spots, "gtfs_id string, stop_id string, stop_lat double, stop_lon double")
+    found = P.stops_near(feed.replace(stops=stops), P.stop_points(stops), 300)
+    want = [(a, b) for _, a, x, _ in spots[:91] for _, b, y, _ in spots[:91] if abs(x - y) < 0.0025]
+    assert sorted((r.point_id, r.stop_id) for r in found.collect()) == sorted(want)
+    assert found.rdd.getNumPartitions() > 10
