@@ -24,15 +24,20 @@ def neighbours(
     prev: Mapping[str, str] | None = None,
     next: Mapping[str, str] | None = None,
     width: int = SLICE,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add columns of the previous and next row within ``keys``.
 
     ``prev`` and ``next`` map new column names to source columns. ``order`` is
-    numeric, not null and unique within a group.
+    numeric, not null and unique within a group. ``parts`` deals the slices and
+    their ends to so many tasks, whatever the number of shuffle partitions.
     """
     prev, next = dict(prev or {}), dict(next or {})
     within = Window.partitionBy(*keys, "_slice").orderBy(order)
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / width)).select(
+    dealt = df.withColumn("_slice", F.floor(F.col(order) / width))
+    if parts:
+        dealt = dealt.repartition(parts, *keys, "_slice")
+    sliced = dealt.select(
         "*",
         F.lag(order).over(within).isNull().alias("_opens"),
         F.lead(order).over(within).isNull().alias("_closes"),
@@ -42,7 +47,8 @@ def neighbours(
     edge = F.col("_opens") | F.col("_closes")
     across = Window.partitionBy(*keys).orderBy(order)
     drop = ("_slice", "_opens", "_closes")
-    edges = sliced.filter(edge).select(
+    ends = sliced.filter(edge).repartition(parts, *keys) if parts else sliced.filter(edge)
+    edges = ends.select(
         *[c for c in df.columns if c not in prev and c not in next],
         *[
             F.when(F.col("_opens"), F.lag(c).over(across)).otherwise(F.col(n)).alias(n)

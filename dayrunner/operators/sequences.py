@@ -8,6 +8,7 @@ service day has seconds, however busy its stop or route is.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -318,6 +319,9 @@ def longest_trip_stops(feed: Feed) -> DataFrame:
 
 # --- shared stop sequences -------------------------------------------------
 
+# Stop events that one task puts in order.
+TASK_STOPS = 250_000
+
 
 def _pattern_stops(feed: Feed) -> DataFrame:
     """Stop events of one sample trip per route and stop pattern."""
@@ -329,24 +333,30 @@ def _pattern_stops(feed: Feed) -> DataFrame:
     return feed.stop_times.select(*TRIP, "stop_sequence", "stop_id").join(samples, TRIP)
 
 
-def _extend(grams: DataFrame) -> DataFrame:
+def _extend(grams: DataFrame, parts: int) -> DataFrame:
     """Sequences of n+1 stops out of those of n: a stop and the next row's sequence."""
-    longer = neighbours(grams, TRIP, "stop_sequence", next={"_next": "gram"})
+    longer = neighbours(grams, TRIP, "stop_sequence", next={"_next": "gram"}, parts=parts)
     return longer.filter("_next is not null").withColumn(
         "gram", F.concat_ws(" > ", "stop_id", "_next")
     ).drop("_next")
 
 
-def _shared(grams: DataFrame) -> DataFrame:
-    return grams.groupBy(FEED, "gram").agg(F.count_distinct("route_id").alias("routes")).filter("routes > 1")
+def _shared(grams: DataFrame, parts: int) -> DataFrame:
+    """Routes are made distinct first, so that the rows of a common sequence are at most its routes."""
+    once = grams.select(FEED, "gram", "route_id").repartition(parts, FEED, "gram", "route_id").distinct()
+    return once.repartition(parts, FEED, "gram").groupBy(FEED, "gram").agg(F.count("route_id").alias("routes")).filter("routes > 1")
 
 
 def shared_sequences(feed: Feed, n: int) -> DataFrame:
-    """Sequences of ``n`` consecutive stops that several routes share."""
-    grams = _pattern_stops(feed).withColumn("gram", F.col("stop_id"))
+    """Sequences of ``n`` consecutive stops that several routes share.
+
+    Each length is written before the next, in tasks of bounded size.
+    """
+    grams = written(_pattern_stops(feed).withColumn("gram", F.col("stop_id")))
+    parts = max(grams.sparkSession.sparkContext.defaultParallelism, ceil(grams.count() / TASK_STOPS))
     for _ in range(n - 1):
-        grams = _extend(grams)
-    return _shared(grams)
+        grams = written(_extend(grams, parts))
+    return _shared(grams, parts)
 
 
 def _shared_hash(grams: DataFrame) -> DataFrame:

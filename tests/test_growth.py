@@ -10,6 +10,7 @@ import pytest
 from dayrunner.operators import joins as J
 from dayrunner.operators import matching as N
 from dayrunner.operators import retrieval as R
+from dayrunner.operators import sequences as Q
 from dayrunner.operators import spatial as P
 from tests.conftest import rows
 from tests.feeds import small_feed
@@ -124,3 +125,20 @@ def test_stops_within_a_radius_are_put_out_by_many_tasks(spark, feed, monkeypatc
     want = [(a, b) for _, a, x, _ in spots[:91] for _, b, y, _ in spots[:91] if abs(x - y) < 0.0025]
     assert sorted((r.point_id, r.stop_id) for r in found.collect()) == sorted(want)
     assert found.rdd.getNumPartitions() > 10
+
+
+def test_shared_sequences_are_put_in_order_by_tasks_of_bounded_size(spark, monkeypatch):
+    """More stop events give more tasks; sequences over the ends of slices and of several lengths stay whole."""
+    walks = [("f", f"t{r}", f"r{r % 7}", i, f"s{(i * 3 + r) % 11}") for r in range(14) for i in (*range(1, 9), 4094, 4095, 4097, 9000)]
+    events = spark.createDataFrame(walks, "gtfs_id string, trip_id string, route_id string, stop_sequence int, stop_id string")
+    monkeypatch.setattr(Q, "_pattern_stops", lambda _: events)
+    monkeypatch.setattr(Q, "TASK_STOPS", 5)
+    for n in (2, 3):
+        routes = {}
+        for trip in {w[1] for w in walks}:
+            stops = [w[4] for w in walks if w[1] == trip]
+            for i in range(len(stops) - n + 1):
+                routes.setdefault(" > ".join(stops[i:i + n]), set()).add(next(w[2] for w in walks if w[1] == trip))
+        found = Q.shared_sequences(None, n)
+        assert {r.gram: r.routes for r in found.collect()} == {g: len(s) for g, s in routes.items() if len(s) > 1}
+        assert "RepartitionByExpression" in plan_of(found) and f", {-(-len(walks) // 5)}" in plan_of(found)
