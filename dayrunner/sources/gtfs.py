@@ -90,17 +90,26 @@ def _bound(header: Sequence[str], wanted: Sequence[str]) -> tuple[str, ...]:
     return tuple(out)
 
 
-def looked_through(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[bytes | None, bool]]:
-    """For every file, its first line that isn't blank and whether a line has unbalanced
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Of every file, its first line that isn't blank and whether a line has unbalanced
     quotes, in one scan of all lines. A file's first split holds its first line, and rows
     are numbered in the order of reading. One row a file is returned.
+
+    Only first blocks and unbalanced lines are aggregated, and ``collect_set`` (of one
+    boolean) has them aggregated by hash: a line alone would have all lines sorted.
     """
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     heads = (F.col("_metadata.file_block_start") == 0) & (F.length(F.trim("value")) > 0)
     lines = spark.read.text([literal_path(p) for p in paths]).select(
         scanned_path().alias("path"), (quotes % 2 == 1).alias("odd"),
         F.when(heads, F.monotonically_increasing_id()).alias("at"), F.when(heads, F.col("value").cast("binary")).alias("line"))
-    found = lines.groupBy("path").agg(F.bool_or("odd").alias("odd"), F.min_by("line", "at").alias("line"))
+    return lines.filter("odd or at is not null").groupBy("path").agg(
+        F.array_contains(F.collect_set("odd"), True).alias("odd"), F.min_by("line", "at").alias("line"))
+
+
+def looked_through(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[bytes | None, bool]]:
+    """``first_lines`` by plain path; files without one, and with balanced quotes, may lack."""
+    found = first_lines(spark, paths)
     return {_plain(r.path): (None if r.line is None else bytes(r.line), r.odd) for r in found.collect()}
 
 

@@ -12,6 +12,7 @@ from dayrunner.operators import matching as N
 from dayrunner.operators import retrieval as R
 from dayrunner.operators import sequences as Q
 from dayrunner.operators import spatial as P
+from dayrunner.sources import gtfs
 from tests.conftest import rows
 from tests.feeds import small_feed
 
@@ -142,3 +143,17 @@ def test_shared_sequences_are_put_in_order_by_tasks_of_bounded_size(spark, monke
         found = Q.shared_sequences(None, n)
         assert {r.gram: r.routes for r in found.collect()} == {g: len(s) for g, s in routes.items() if len(s) > 1}
         assert "RepartitionByExpression" in plan_of(found) and f", {-(-len(walks) // 5)}" in plan_of(found)
+
+
+def physical_plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_lines_of_files_need_no_sort_of_all_lines(spark, tmp_path):
+    """A line as an aggregate would have every line of a task sorted by its long path."""
+    (tmp_path / "a.txt").write_text('\n  \nid,name\n1,"x\n2,y\n')
+    (tmp_path / "b.txt").write_text("id\n1\n")
+    (tmp_path / "c.txt").write_text("")
+    paths = [str(tmp_path / f"{n}.txt") for n in "abc"]
+    assert "Sort" not in physical_plan_of(gtfs.first_lines(spark, paths)).replace("ObjectHash", "")
+    assert gtfs.looked_through(spark, paths) == {paths[0]: (b"id,name", True), paths[1]: (b"id", False)}
