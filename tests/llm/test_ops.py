@@ -540,3 +540,15 @@ def test_licences_defined_cases(odd):
     got = licenses.scan(odd).collect()
     assert len(got) == odd.count() and all(r["licences"] == [] for r in got)
     assert {r["n_paragraphs"] for r in got if r["doc_id"] in (2, 3, 4)} == {0}
+
+
+def test_styles_drop_runs_of_characters_at_once(spark):
+    """One match a run, not a character: texts of the sizes here made garbage that filled an executor."""
+    texts = ["", "plain words", "A" * 10 + "b" * 29, "A" * 10 + "b" * 30, "12" + "é" * 37, "12" + "é" * 38, "*|" + "x" * 47, "*|" + "x" * 48, "😀\n\t*A9"]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.style(F.col("text")).alias("style"))
+    assert "[^A-Z]++" in found._jdf.queryExecution().optimizedPlan().toString()
+    def count(letters, t):
+        return len(re.findall(f"[{letters}]", t))
+    assert [r.style for r in found.collect()] == [
+        "empty" if not t else "symbols" if count("*#$%&|!", t) * 25 > len(t) else "capitals" if count("A-Z", t) * 4 > len(t)
+        else "figures" if count("0-9", t) * 20 > len(t) else "prose" for t in texts]
