@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from dayrunner.feed import Feed
 from dayrunner.functions import columns as C
 from dayrunner.functions.geometry import angle_at, bearing, geodesic, with_geodesic
-from dayrunner.functions.ordered import exact_median, neighbours, positions
+from dayrunner.functions.ordered import SLICE, exact_median, neighbours, positions
 from dayrunner.operators import choose as G
 from dayrunner.operators import service as S
 from dayrunner.operators import trips as T
@@ -323,14 +323,43 @@ def longest_trip_stops(feed: Feed) -> DataFrame:
 TASK_STOPS = 250_000
 
 
-def _pattern_stops(feed: Feed) -> DataFrame:
-    """Stop events of one sample trip per route and stop pattern."""
-    samples = (
-        S.pattern_signatures(feed).join(feed.trips.select(*TRIP, "route_id"), TRIP)
-        .groupBy(*ROUTE, "s1", "s2", "s3", "s4", "length").agg(F.min("trip_id").alias("trip_id"))
+# The key of a trip behind its hash, which spares sorts the comparing of texts.
+HASHED = ["trip", *TRIP]
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    return df.withColumn("trip", F.xxhash64(*TRIP))
+
+
+def _walks(feed: Feed) -> DataFrame:
+    """Stop events with their ``position`` in the trip and the ``next_stop``, put in order and written once.
+
+    Slices are ordered on their own. Their ends meet in further steps, and only
+    where a trip has numbers beyond the first slice, which few feeds have.
+    """
+    stops = feed.stop_times.select(*TRIP, "stop_sequence", "stop_id")
+    within = Window.partitionBy(F.xxhash64(*TRIP), *TRIP, "_slice").orderBy("stop_sequence")
+    sliced = written(stops.withColumn("_slice", F.floor(F.col("stop_sequence") / SLICE)).select(
+        "*", F.row_number().over(within).cast("bigint").alias("position"), F.lead("stop_id").over(within).alias("next_stop")))
+    if sliced.filter("_slice <> 0 or _slice is null").isEmpty():
+        return sliced.drop("_slice")
+    ranked = written(positions(sliced.drop("_slice", "position", "next_stop"), TRIP, "stop_sequence"))
+    return written(neighbours(ranked, TRIP, "position", next={"next_stop": "stop_id"}))
+
+
+def _samples(feed: Feed, walks: DataFrame) -> DataFrame:
+    """One sample trip per route and stop pattern."""
+    return (
+        S.pattern_signatures(feed, walks).join(feed.trips.select(*TRIP, "route_id"), TRIP)
+        .groupBy("s1", "s2", "s3", "s4", "length", *ROUTE).agg(F.min("trip_id").alias("trip_id"))
         .select(*TRIP, "route_id")
     )
-    return feed.stop_times.select(*TRIP, "stop_sequence", "stop_id").join(samples, TRIP)
+
+
+def _pattern_stops(feed: Feed) -> DataFrame:
+    """Stop events of one sample trip per route and stop pattern."""
+    walks = _walks(feed)
+    return _hashed(walks.drop("position", "next_stop")).join(_hashed(_samples(feed, walks)), HASHED).drop("trip")
 
 
 def _extend(grams: DataFrame, parts: int) -> DataFrame:
@@ -359,47 +388,63 @@ def shared_sequences(feed: Feed, n: int) -> DataFrame:
     return _shared(grams, parts)
 
 
-def _shared_hash(grams: DataFrame) -> DataFrame:
-    """The sequences, by hash, that several routes share."""
-    return grams.groupBy(FEED, "h").agg(F.count_distinct("route_id").alias("routes")).filter("routes > 1")
+# A sequence of stops by two 64-bit hashes.
+GRAM = ["h1", "h2", FEED]
 
 
-def _joined(left: DataFrame, right: DataFrame, shift: int) -> DataFrame:
-    """Sequences of a left one and the right one that starts ``shift`` stops later."""
-    after = right.select(*TRIP, (F.col("place") - shift).alias("place"), F.col("h").alias("next_h"))
-    return left.join(after, [*TRIP, "place"]).withColumn("h", F.md5(F.concat("h", "next_h"))).drop("next_h")
+def _gram(left: str, right: str) -> list[Column]:
+    return [F.xxhash64(left, right).alias("h1"), F.xxhash64(right, F.lit(1), left).alias("h2")]
 
 
 def _within(grams: DataFrame) -> DataFrame:
-    """Only sequences that are shared; longer ones start with one of them."""
-    return written(grams.join(_shared_hash(grams).select(FEED, "h"), [FEED, "h"], "left_semi"))
+    """Only sequences that several routes share; longer ones start with one of them."""
+    route = F.when(F.col("route_id").isNotNull(), F.xxhash64("route_id"))
+    shared = grams.groupBy(*GRAM).agg(F.min(route).alias("least"), F.max(route).alias("most")).filter("least <> most")
+    return written(grams.join(shared.select(*GRAM), GRAM, "left_semi"))
+
+
+def _joined(left: DataFrame, right: DataFrame, shift: int) -> DataFrame:
+    """Sequences of a left one and the right one that starts ``shift`` stops later."""
+    after = right.select(*TRIP, (F.col("place") - shift).alias("place"), F.col("h1").alias("n1"), F.col("h2").alias("n2"))
+    return written(_hashed(left).join(_hashed(after), [*HASHED, "place"]).select(
+        *TRIP, "place", "route_id", F.xxhash64("h1", "n1").alias("h1"), F.xxhash64("n2", F.lit(1), "h2").alias("h2")))
 
 
 def longest_shared_sequences(feed: Feed) -> DataFrame:
     """Shared sequences of the greatest length there is, and that length.
 
-    Sequences are hashes; their length is doubled while any is shared, then
-    extended by falling powers of two. So the number of steps is logarithmic, and
-    stops are spelled out at the end, for the longest sequences alone.
+    Sequences are hashes of steps from a stop to the next; the number of steps is doubled
+    while any is shared, then extended by falling powers of two. So the number of jobs
+    is logarithmic, and stops are spelled out at the end, for the longest sequences
+    alone. Single stops are looked at only where no step is shared.
     """
-    events = written(positions(_pattern_stops(feed), TRIP, "stop_sequence", name="place"))
-    grams = _within(events.select(*TRIP, "route_id", "place", F.md5("stop_id").alias("h")))
-    if grams.isEmpty():
-        return events.select(FEED, F.lit("").alias("gram"), F.lit(0).cast("bigint").alias("routes"), F.lit(0).alias("n")).limit(0)
-    powers = [grams]
-    while True:
-        longer = _within(_joined(powers[-1], powers[-1], 1 << (len(powers) - 1)))
-        if longer.isEmpty():
-            break
-        powers.append(longer)
-    n, best = 1 << (len(powers) - 1), powers[-1]
-    for k in range(len(powers) - 2, -1, -1):
-        longer = _within(_joined(best, powers[k], n))
-        if not longer.isEmpty():
-            n, best = n + (1 << k), longer
-    one = best.groupBy(FEED, "h").agg(F.min(F.struct("trip_id", "place")).alias("at"), F.count_distinct("route_id").alias("routes"))
-    span = one.select(FEED, "h", "routes", F.col("at.trip_id").alias("trip_id"), F.explode(
-        F.sequence(F.col("at.place"), F.col("at.place") + n - 1)).alias("place"))
+    walks = _walks(feed)
+    # A trip of several routes has its events once for each, one after the other.
+    routes = Window.partitionBy(*HASHED)
+    samples = _hashed(_samples(feed, walks)).select(
+        "*", F.count("*").over(routes).alias("_of"), F.row_number().over(routes.orderBy("route_id")).alias("_nth"))
+    last = F.col("_nth") == F.col("_of")
+    events = written(_hashed(walks.drop("stop_sequence")).join(samples, HASHED).select(
+        *TRIP, ((F.col("position") - 1) * F.col("_of") + F.col("_nth")).alias("place"), "stop_id",
+        F.when(last, F.col("next_stop")).otherwise(F.col("stop_id")).alias("next_stop"), "route_id"))
+    keys = [*TRIP, "place", "route_id"]
+    powers = [_within(events.filter("stop_id is not null and next_stop is not null").select(*keys, *_gram("stop_id", "next_stop")))]
+    if powers[0].isEmpty():
+        steps, best = 0, _within(events.filter("stop_id is not null").select(*keys, *_gram("stop_id", "stop_id")))
+    else:
+        while True:
+            longer = _within(_joined(powers[-1], powers[-1], 1 << (len(powers) - 1)))
+            if longer.isEmpty():
+                break
+            powers.append(longer)
+        steps, best = 1 << (len(powers) - 1), powers[-1]
+        for k in range(len(powers) - 2, -1, -1):
+            longer = _within(_joined(best, powers[k], steps))
+            if not longer.isEmpty():
+                steps, best = steps + (1 << k), longer
+    one = best.groupBy(*GRAM).agg(F.min(F.struct("trip_id", "place")).alias("at"), F.count_distinct("route_id").alias("routes"))
+    span = one.select(*GRAM, "routes", F.col("at.trip_id").alias("trip_id"), F.explode(
+        F.sequence(F.col("at.place"), F.col("at.place") + steps)).alias("place"))
     stops = F.transform(F.array_sort(F.collect_list(F.struct("place", "stop_id"))), lambda s: s["stop_id"])
-    return span.join(events.select(*TRIP, "place", "stop_id"), [*TRIP, "place"]).groupBy(FEED, "h", "routes").agg(
-        F.concat_ws(" > ", stops).alias("gram")).select(FEED, "gram", "routes", F.lit(n).alias("n"))
+    return span.join(events.select(*TRIP, "place", "stop_id"), [*TRIP, "place"]).groupBy(*GRAM, "routes").agg(
+        F.concat_ws(" > ", stops).alias("gram")).select(FEED, "gram", "routes", F.lit(steps + 1).alias("n"))

@@ -136,13 +136,15 @@ def closure_gaps(feed: Feed) -> DataFrame:
     )
 
 
-def pattern_signatures(feed: Feed) -> DataFrame:
+def pattern_signatures(feed: Feed, ranked: DataFrame | None = None) -> DataFrame:
     """Per trip a signature of its ordered stop sequence.
 
     Two 64-bit sums over (position, stop) and the length stand in for the list,
     so no trip is gathered into one value and sums combine before the shuffle.
+    ``ranked`` are the stop events with their ``position``, if there are any yet.
     """
-    ranked = positions(feed.stop_times.select(*TRIP, "stop_id", "stop_sequence"), TRIP, "stop_sequence")
+    if ranked is None:
+        ranked = positions(feed.stop_times.select(*TRIP, "stop_id", "stop_sequence"), TRIP, "stop_sequence")
     h, g = F.xxhash64("position", "stop_id"), F.xxhash64("stop_id", "position", F.lit(1))
     low, high = (lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda x: F.shiftrightunsigned(x, 32))
     return ranked.groupBy(*TRIP).agg(

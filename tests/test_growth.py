@@ -6,7 +6,9 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from dayrunner.feed import Feed
 from dayrunner.operators import joins as J
 from dayrunner.operators import matching as N
 from dayrunner.operators import retrieval as R
@@ -145,6 +147,54 @@ def test_shared_sequences_are_put_in_order_by_tasks_of_bounded_size(spark, monke
         assert "RepartitionByExpression" in plan_of(found) and f", {-(-len(walks) // 5)}" in plan_of(found)
 
 
+@pytest.mark.parametrize("numbers", [range(40), (*range(1, 30), 4094, 4095, 4096, 8200, *range(9000, 9010))])
+def test_longest_shared_sequences_read_stop_events_once(spark, numbers):
+    """Stop events are derived in one pass, also where numbers run over slices; results equal brute force."""
+    rng = random.Random(len(numbers))
+    walks, routes = {}, {}
+    for i in range(24):
+        key = (f"f{i % 2}", f"t{i}")
+        walks[key] = [rng.choice([None, *"abcde"]) for _ in range(rng.randint(1, len(numbers)))]
+        routes[key] = rng.choice([None, "r1", "r2", "r3"])
+    walks["f0", "t24"], routes["f0", "t24"] = walks["f0", "t0"], routes["f0", "t0"]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(stop):
+        read.add(1)
+        return stop
+
+    events = [(*k, n, s) for k, stops in walks.items() for n, s in zip(numbers, stops)]
+    feed = Feed({
+        "stop_times": spark.createDataFrame(events, "gtfs_id string, trip_id string, stop_sequence int, stop_id string")
+        .withColumn("stop_id", counted.asNondeterministic()("stop_id")),
+        "trips": spark.createDataFrame([(*k, r) for k, r in routes.items()], "gtfs_id string, trip_id string, route_id string"),
+    })
+    got = {(r.gtfs_id, r.gram): (r.routes, r.n) for r in Q.longest_shared_sequences(feed).collect()}
+    assert read.value == len(events)
+    want = {}
+    for n in range(len(numbers), 0, -1):
+        found = {}
+        for key, stops in walks.items():
+            for i in range(len(stops) - n + 1):
+                if None not in stops[i:i + n] and routes[key]:
+                    found.setdefault((key[0], " > ".join(stops[i:i + n])), set()).add(routes[key])
+        want = {k: (len(r), n) for k, r in found.items() if len(r) > 1}
+        if want:
+            break
+    assert want and got == want
+
+
+def test_single_stops_are_shared_where_no_step_is(spark):
+    walks = {("t1", "r1"): "abc", ("t2", "r2"): "cxa", ("t3", "r2"): "y"}
+    feed = Feed({
+        "stop_times": spark.createDataFrame([("f", t, n, s) for (t, _), w in walks.items() for n, s in enumerate(w)],
+                                            "gtfs_id string, trip_id string, stop_sequence int, stop_id string"),
+        "trips": spark.createDataFrame([("f", *k) for k in walks], "gtfs_id string, trip_id string, route_id string"),
+    })
+    assert sorted((r.gram, r.routes, r.n) for r in Q.longest_shared_sequences(feed).collect()) == [("a", 2, 1), ("c", 2, 1)]
+
+
 def physical_plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
