@@ -107,7 +107,7 @@ def _(feed):
         F.concat(F.split_part("stop_name", F.lit(" & "), F.lit(1)), F.lit("s")).alias("street_a"),
         second.alias("street_b"),
     ).distinct()
-    return rounded(N.stops_at_intersection(feed.stops, crossings, 0.75), "score")
+    return N.stops_at_intersection(feed.stops, crossings, 0.75, places=6)
 
 
 # --- retrieval -------------------------------------------------------------

@@ -29,12 +29,15 @@ from pyspark.sql import functions as F
 
 from dayrunner.operators import choose as G
 from dayrunner.plans.views import FEED, ROUTE, STOP
+from dayrunner.session import written
 
 # Words that do not belong to a street's own name.
 STREET_WORDS = "st|street|ave|avenue|rd|road|blvd|dr|drive|ln|lane|way"
 
-# Lots that the stops with the same streets are dealt to.
-LOTS = 32
+# Stops with the same streets in one lot, and crossings that match them in another.
+LOT = 1_000
+# Pairs of a crossing and a stop that one task puts out.
+TASK_PAIRS = 8_000_000
 WORD = 32  # bits of a vector held in one long, which leaves room for the carry
 # Signs that names have often, rarest first; all others count as rarer. Any order is right, this one is quick.
 COMMON_LAST = "zqxjkvbywgpfmucdlhrsniotae9876543210 "
@@ -202,16 +205,45 @@ def stops_on_street(stops: DataFrame, queries: DataFrame, threshold: float = 0.8
     return _match(stop_streets(stops), STOP, queries, threshold)
 
 
-def stops_at_intersection(stops: DataFrame, crossings: DataFrame, threshold: float = 0.8) -> DataFrame:
+def _attached(scored: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Every crossing with every stop of the kinds it matches. A lot of stops is one row, which is
+    unfolded last; tasks are sized by the pairs that come out, as the rows that go in are few."""
+    sizes = kinds.groupBy("streets").agg(F.count("*").alias("n_stops")) \
+        .join(scored.groupBy("streets").agg(F.count("*").alias("n_crossings")), "streets")
+    sizes = written(sizes)
+    pairs = sizes.agg(F.sum(F.col("n_stops").cast("double") * F.col("n_crossings"))).first()[0] or 0
+    tasks, meet = max(1, ceil(pairs / TASK_PAIRS)), ["streets", "_stops", "_crossings"]
+    if tasks > 1:
+        # With fewer, the join would deal the lots anew, by their size.
+        tasks = max(tasks, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lots = {side: F.ceil(F.col(f"n{side}") / LOT).cast("int") for side in meet[1:]}
+    dealt = lambda side, *cols: F.pmod(F.xxhash64(*cols), lots[side]).cast("int").alias(side)
+    copied = lambda side: F.explode(F.sequence(F.lit(0), lots[side] - 1)).alias(side)
+    folded = (
+        kinds.join(sizes, "streets").select("streets", dealt("_stops", *STOP), "n_crossings", F.struct(*STOP).alias("stop"))
+        .groupBy("streets", "_stops", "n_crossings").agg(F.collect_list("stop").alias("lot"))
+        .select("streets", "_stops", copied("_crossings"), "lot").repartition(tasks, *meet)
+    )
+    asked = (
+        scored.join(sizes, "streets").select("streets", copied("_stops"), dealt("_crossings", "crossing_id"), "crossing_id", "score")
+        .repartition(tasks, *meet)
+    )
+    # Merged, so that one crossing after the other is met by a lot, and no task holds the pairs of two lots.
+    return asked.join(folded.hint("merge"), meet).select("crossing_id", "score", F.inline("lot")).select("crossing_id", *STOP, "score")
+
+
+def stops_at_intersection(stops: DataFrame, crossings: DataFrame, threshold: float = 0.8, places: int | None = None) -> DataFrame:
     """Stops where both streets of a crossing match, on different parts of the name.
 
-    ``crossings``: (crossing_id, street_a, street_b).
+    ``crossings``: (crossing_id, street_a, street_b). Scores are rounded to
+    ``places``, if given, before the stops are attached.
     """
-    asked = crossings.select(F.explode(F.array("street_a", "street_b")).alias("query")).distinct()
+    spelled = written(crossings.select("crossing_id", "street_a", "street_b").distinct())
+    asked = spelled.select(F.explode(F.array("street_a", "street_b")).alias("query")).distinct()
     streets = stop_streets(stops)
     # Stops that name the same streets match the same crossings: a class holds the streets of one kind of stop.
     known = streets.filter(F.col(FEED).isNotNull() & F.col("stop_id").isNotNull())
-    kinds = known.groupBy(*STOP).agg(F.sort_array(F.collect_list("name")).alias("streets"))
+    kinds = written(known.groupBy(*STOP).agg(F.sort_array(F.collect_list("name")).alias("streets")))
     classes = kinds.select("streets").distinct()
     parts = classes.select("streets", F.explode("streets").alias("street")).select(
         "streets", "street", normalized("street").alias("name_text"))
@@ -221,16 +253,14 @@ def stops_at_intersection(stops: DataFrame, crossings: DataFrame, threshold: flo
     )
     hits = pairs.join(texts, "query_text").join(parts, "name_text").select("query", "streets", "street", "score")
     side = lambda n: hits.select(F.col("query").alias(f"street_{n}"), "streets", F.col("street").alias(f"on_{n}"), F.col("score").alias(f"score_{n}"))
-    named = crossings.select("street_a", "street_b").distinct()
+    named = spelled.select("street_a", "street_b").distinct()
     matched = (
         named.join(side("a"), "street_a").join(side("b"), ["street_b", "streets"])
         .filter("on_a <> on_b")
         .groupBy("street_a", "street_b", "streets").agg(F.max(F.col("score_a") + F.col("score_b")).alias("score"))
     )
     # A crossing counts once for each of its ids, at the best score of the streets it stands with.
-    spelled = crossings.select("crossing_id", "street_a", "street_b").distinct()
     scored = spelled.join(matched, ["street_a", "street_b"]).groupBy("crossing_id", "streets").agg(F.max("score").alias("score"))
-    # The stops of a kind are dealt in lots, which its crossings are copied to, so no key holds them all.
-    dealt = kinds.withColumn("_lot", F.pmod(F.xxhash64(*STOP), F.lit(LOTS)).cast("int"))
-    copied = scored.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))))
-    return copied.join(dealt, ["streets", "_lot"]).select("crossing_id", *STOP, "score")
+    if places is not None:
+        scored = scored.withColumn("score", F.round("score", places))
+    return _attached(written(scored), kinds)

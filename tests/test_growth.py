@@ -44,6 +44,23 @@ def test_stops_at_intersections_are_attached_last(spark):
     assert plan_of(found).startswith("Project") and "Aggregate" not in plan_of(found).splitlines()[1]
 
 
+def test_crossings_meet_stops_in_tasks_of_bounded_size(spark, monkeypatch):
+    """More pairs give more tasks, however few rows go in; lots, hot ones too, lose and repeat no pair."""
+    monkeypatch.setattr(N, "TASK_PAIRS", 500, raising=False)
+    monkeypatch.setattr(N, "LOT", 7, raising=False)
+    stops = spark.createDataFrame(
+        [("f" if i % 3 else "g", str(i), "Neil & Oak" if i % 5 else "Oak & Main") for i in range(200)] + [("f", "1", "Neil & Green")],
+        "gtfs_id string, stop_id string, stop_name string")
+    asked = spark.createDataFrame([(f"c{i}" if i else None, "Neil", "Oak") for i in range(90)] + [("d", "Mains", "Oak")], "crossing_id string, street_a string, street_b string")
+    found = N.stops_at_intersection(stops, asked, 0.75, places=6)
+    want = {(f"c{c}" if c else None, "f" if i % 3 else "g", str(i), 2.0) for c in range(90) for i in range(200) if i % 5}
+    want |= {("d", "f" if i % 3 else "g", str(i), 1.888889) for i in range(0, 200, 5)}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert found.rdd.getNumPartitions() >= len(want) / 500
+    assert "round" not in plan_of(found)
+
+
 def test_nearest_stops_are_chosen_by_place(spark, feed):
     """The points at a place share its nearest k; ids are attached to those alone, repeated rows included."""
     spots = [("f", f"s{i}", 35.0 + (i % 5) * 0.001, 139.0) for i in range(40)] + [("f", "s1", 35.001, 139.0), ("f", None, 35.0, 139.0)]
